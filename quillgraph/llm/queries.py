@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.distinctive import term_scores, top_terms
 from quillgraph.llm.folding import fold_copies
+from quillgraph.llm.languages import document_labels, label_paragraphs, named_language
 from quillgraph.llm.leakage import leaked_items
 from quillgraph.llm.neighbours import similar_vectors
 from quillgraph.llm.similar import SimilarSets, similar_sets
 from quillgraph.llm.splitting import split_oversized
+from quillgraph.llm.syntax import broken_rates, broken_sources
 from quillgraph.llm.tokenizing import encode
 
 
@@ -83,6 +85,33 @@ def p9_found(s: SparkSession, d: str) -> DataFrame:
     return leaked_items(_t(s, d, "documents"), "doc_id", "text", _t(s, d, "eval_items"), "item_id", "text")
 
 
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    return broken_sources(_t(s, d, "raw_sources"), "file_id", "text", "ext").where("broken").select(F.col("id").alias("file_id")).distinct()
+
+
+def p4_rates(s: SparkSession, d: str) -> DataFrame:
+    return broken_rates(_t(s, d, "raw_sources"), "file_id", "text", "ext", "repo")
+
+
+def _p10(s: SparkSession, d: str) -> DataFrame:
+    return label_paragraphs(_t(s, d, "documents"), "doc_id", "text", "lang")
+
+
+def p10_found(s: SparkSession, d: str) -> DataFrame:
+    named = named_language(F.col("label"))
+    return _p10(s, d).where(named.isNull() | (named != F.col("lang"))).select(F.col("id").alias("doc_id"), "lang").distinct()
+
+
+def p10_segments(s: SparkSession, d: str) -> DataFrame:
+    """Every paragraph of prose with its language and confidence."""
+    return _p10(s, d).select(F.col("id").alias("doc_id"), "paragraph", "lang", "n_words", F.round("confidence", 4).alias("confidence"))
+
+
+def p10_labels(s: SparkSession, d: str) -> DataFrame:
+    """The main language of every document that has prose."""
+    return document_labels(_p10(s, d)).select(F.col("id").alias("doc_id"), "lang", F.round("confidence", 4).alias("confidence"), "n_langs")
+
+
 _P6_TERMS = r"""
 m AS (SELECT cluster_id, repo, path, max(class_name) AS name FROM cluster_members WHERE cluster_id IS NOT NULL GROUP BY ALL),
 w AS (SELECT cluster_id, unnest(regexp_split_to_array(lower(regexp_replace(regexp_replace(coalesce(name, ''), '[_-]', ' ', 'g'),
@@ -111,5 +140,5 @@ SELECT min(func_id) AS keep_id, count(*) AS n_copies FROM f WHERE len(ws) >= 8 G
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p2_found, p2_top, p5_found, p5_counts, p6_found, p6_dfr, p7_found, p7_balanced, p8_ids, p9_found)
+    for f in (p1_found, p1_classes, p2_found, p2_top, p4_found, p4_rates, p5_found, p5_counts, p6_found, p6_dfr, p7_found, p7_balanced, p8_ids, p9_found, p10_found, p10_segments, p10_labels)
 }
