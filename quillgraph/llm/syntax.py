@@ -218,6 +218,10 @@ def _c_family(lang: str, text: str, tokens: list[Token]) -> None:
         for k, t in enumerate(tokens[:-3]):
             if t.top == "(" and t.kind == "name" and t.text not in spec.keywords and tokens[k + 1].text == ":" and tokens[k + 2].kind == "name" and tokens[k + 3].text in (",", ")") and tokens[k - 1].text in ("(", ",") and "?" not in [x.text for x in tokens[max(0, k - 6) : k]]:
                 raise Broken(f"a type in a parameter list at line {t.line}")
+        for row in _lines(tokens):
+            for k in range(len(row) - 3):
+                if row[k].text == ")" and row[k + 1].text == ":" and row[k + 2].kind == "name" and row[k + 3].text == "{" and not any(x.text in ("?", "case") for x in row[:k]):
+                    raise Broken(f"a result type at line {row[k].line}")
     if spec.semicolons or lang in ("js", "ts", "go", "rs"):
         _heads(lang, tokens)
     if spec.semicolons:
