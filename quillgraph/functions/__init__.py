@@ -1 +1 @@
-"""functions of the engine."""
+"""Column functions: tokenisers, path and identifier parts, text normalisation, cosine."""
