@@ -17,7 +17,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.session import stage
@@ -85,7 +85,7 @@ def _place(curves: int, dims: int, bits: int, seed: int, dim: int):
         for b in batches:
             unit = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, dim)
             for c in range(curves):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), c, np.int32)), pa.array(curve_keys(unit, c, dims, bits, seed)), b.column(0), b.column(1)], ["curve", "pos", "cls", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), c, np.int32)), pa.array(curve_keys(unit, c, dims, bits, seed)), *b.columns], ["curve", "pos", "cls", "unit", "asked"])
 
     return run
 
@@ -105,55 +105,59 @@ def _best(sim: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray
 
 
 def _windows(k: int, window: int, block: int, floor: float, dim: int):
-    def compare(prev_ids, prev, ids, unit):
+    def compare(prev_ids, prev, prev_asked, ids, unit, asked):
         all_ids, every = np.concatenate([prev_ids, ids]), np.concatenate([prev, unit])
         sim = unit @ every.T
         own = np.arange(len(ids))
         sim[own, len(prev_ids) + own] = -2
-        r, c = _best(sim, k, floor)
-        out = [(ids[r], all_ids[c], sim[r, c])]
-        if len(prev_ids):
-            back = np.ascontiguousarray(sim[:, : len(prev_ids)].T)
+        mine = sim[asked] if not asked.all() else sim
+        r, c = _best(mine, k, floor)
+        out = [(ids[asked][r], all_ids[c], mine[r, c])]
+        if prev_asked.any():
+            back = np.ascontiguousarray(sim[:, : len(prev_ids)].T[prev_asked])
             r, c = _best(back, k, floor)
-            out.append((prev_ids[r], ids[c], back[r, c]))
+            out.append((prev_ids[prev_asked][r], ids[c], back[r, c]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        curve, prev_ids, prev = None, np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
+        curve, prev_ids, prev, prev_asked = None, np.zeros(0, np.int64), np.zeros((0, dim), np.float32), np.zeros(0, bool)
         for b in batches:
             cs = b.column(0).to_numpy(zero_copy_only=False)
             ids = b.column(2).to_numpy(zero_copy_only=False)
             unit = np.frombuffer(b"".join(b.column(3).to_pylist()), np.float32).reshape(-1, dim)
+            asked = b.column(4).to_numpy(zero_copy_only=False).astype(bool)
             edges = [0, *(np.nonzero(np.diff(cs))[0] + 1).tolist(), len(cs)]
             for lo, hi in zip(edges, edges[1:]):
                 if lo == hi:
                     continue
                 if cs[lo] != curve:
-                    curve, prev_ids, prev = cs[lo], prev_ids[:0], prev[:0]
+                    curve, prev_ids, prev, prev_asked = cs[lo], prev_ids[:0], prev[:0], prev_asked[:0]
                 for s in range(lo, hi, block):
                     e = min(hi, s + block)
-                    for a, c, v in compare(prev_ids, prev, ids[s:e], unit[s:e]):
+                    for a, c, v in compare(prev_ids, prev, prev_asked, ids[s:e], unit[s:e], asked[s:e]):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(v, pa.float32())], ["a", "b", "sim"])
-                    prev_ids, prev = np.concatenate([prev_ids, ids[s:e]])[-window:], np.concatenate([prev, unit[s:e]])[-window:]
+                    prev_ids, prev, prev_asked = (np.concatenate([x, y[s:e]])[-window:] for x, y in ((prev_ids, ids), (prev, unit), (prev_asked, asked)))
 
     return run
 
 
-def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 6, floor: float = -1.0, dim: int = 64, curves: int = 12, dims: int = 8, bits: int = 7, window: int = 1536, block: int = 1024, seed: int = 11) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 6, floor: float = -1.0, dim: int = 64, curves: int = 12, dims: int = 8, bits: int = 7, window: int = 1536, block: int = 1024, seed: int = 11, asked: Column | None = None) -> DataFrame:
     """(id, neighbour, cosine, rank): for every usable vector up to ``k`` most similar ones, at least ``floor``.
 
     Ties go to the smaller id. Vectors that are null, of another length, all zero or hold a null, NaN
     or infinity take no part. Redelivered ids count once. The result is approximate: a neighbour is
     missed if no curve brings it into a window (recall is measured against brute force in the
-    tests). An empty table gives no rows; other columns are ignored.
+    tests). ``asked``, a condition on ``id``, restricts the rows that are queries; all rows stay
+    possible neighbours. An empty table gives no rows; other columns are ignored.
     """
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id is not null and v is not null")
     usable = stage(src.mapInArrow(_usable(dim), "id long, cls long, unit binary"), "p2-unit", "none")
-    members = usable.select("cls", "id").distinct()
+    members = usable.select("cls", "id").distinct().withColumn("asked", F.lit(True) if asked is None else asked)
     w = Window.partitionBy("cls").orderBy("id")
     heads = members.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k + 1)
-    reps = usable.groupBy("cls").agg(F.first("unit").alias("unit"))
-    placed = reps.mapInArrow(_place(curves, dims, bits, seed, dim), "curve int, pos long, cls long, unit binary")
+    flagged = usable.withColumn("asked", F.lit(True) if asked is None else asked)
+    reps = flagged.groupBy("cls").agg(F.first("unit").alias("unit"), F.bool_or("asked").alias("asked"))
+    placed = reps.mapInArrow(_place(curves, dims, bits, seed, dim), "curve int, pos long, cls long, unit binary, asked boolean")
     found = (
         placed.repartitionByRange("curve", "pos").sortWithinPartitions("curve", "pos")
         .mapInArrow(_windows(k, window, block, floor, dim), "a long, b long, sim float")
@@ -177,6 +181,6 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 6, floor:
     options = exact.join(heads.select(F.col("cls").alias("b"), F.col("id").alias("neighbour")), "b")
     top = Window.partitionBy("a").orderBy(F.desc("cos"), "neighbour")
     options = options.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1)
-    pairs = members.withColumnRenamed("cls", "a").join(options.select("a", "neighbour", "cos", "r"), "a").where("id <> neighbour")
+    pairs = members.where("asked").select(F.col("cls").alias("a"), "id").join(options.select("a", "neighbour", "cos", "r"), "a").where("id <> neighbour")
     mine = Window.partitionBy("id").orderBy("r")
     return pairs.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k).select("id", "neighbour", F.col("cos").alias("cosine"), "rank")

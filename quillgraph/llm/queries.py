@@ -42,8 +42,8 @@ def p2_found(s: SparkSession, d: str) -> DataFrame:
 
 def p2_top(s: SparkSession, d: str) -> DataFrame:
     """The approximate six nearest at any similarity, of every vector whose id is divisible by 100."""
-    near = similar_vectors(_t(s, d, "vectors"), "vec_id", "embedding", k=6)
-    return near.where("id % 100 = 0").select(F.col("id").alias("vec_id"), "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
+    near = similar_vectors(_t(s, d, "vectors"), "vec_id", "embedding", k=6, asked=F.col("id") % 100 == 0)
+    return near.select(F.col("id").alias("vec_id"), "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
