@@ -1,7 +1,8 @@
 """Problem 3: references to records that do not exist at the time they are made.
 
-References are reduced to distinct non-null keys first. Keys that no parent ever had come out of a
-left anti-join. The rest is decided in time: a key is alive at t if some parent row begins at or
+References are reduced to distinct non-null keys first; only keys that some parent has go on to the
+decision in time, and a left anti-join against the keys that are alive at their time, back on all
+references, gives the orphans. In time: a key is alive at t if some parent row begins at or
 before t and ends after it, which holds exactly if the latest end among the parents that begin at or
 before t lies after t. That running maximum is kept per month, and one value per key and month is
 carried into the next months, so the rows of one hot key are sorted in as many pieces as it has
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIELDS = ("extends", "instances", "attached_script")
-_FOREVER = F.lit("9999-12-31").cast("timestamp")
+FOREVER = "9999-12-31"
 
 
 def reference_target(raw: Column) -> Column:
@@ -52,7 +53,7 @@ def parent_spans(files: DataFrame) -> DataFrame:
     ))
     return (
         files.where("indexed_at is not null")
-        .select("repo", keys.alias("k"), F.col("indexed_at").alias("lo"), F.coalesce("removed_at", _FOREVER).alias("hi"))
+        .select("repo", keys.alias("k"), F.col("indexed_at").alias("lo"), F.coalesce("removed_at", F.lit(FOREVER).cast("timestamp")).alias("hi"))
         .select("repo", "k.kind", "k.target", "lo", "hi")
         .where("target is not null and target <> ''")
         .groupBy("repo", "kind", "target", "lo")
@@ -71,10 +72,10 @@ def orphan_references(files: DataFrame, base_types: DataFrame) -> DataFrame:
     refs = references(files).join(builtin, ["target", "field", "kind"], "left_anti")
     key = ["repo", "kind", "target"]
     spans = parent_spans(files)
-    missing = refs.select(*key).distinct().join(spans.select(*key).distinct(), key, "left_anti").withColumn("gone", F.lit(True))
+    had = refs.select(*key).distinct().join(spans.select(*key).distinct(), key, "left_semi")
     month = F.trunc("at", "month")
     spans_m = spans.withColumnRenamed("lo", "at").withColumn("month", month)
-    asked = refs.select(*key, "at").where("at is not null").distinct().withColumn("month", month)
+    asked = refs.select(*key, "at").where("at is not null").distinct().join(had, key, "left_semi").withColumn("month", month)
     per_month = spans_m.groupBy(*key, "month").agg(F.max("hi").alias("month_hi")).unionByName(
         asked.select(*key, "month").distinct().withColumn("month_hi", F.lit(None).cast("timestamp"))
     ).groupBy(*key, "month").agg(F.max("month_hi").alias("month_hi"))
@@ -90,9 +91,7 @@ def orphan_references(files: DataFrame, base_types: DataFrame) -> DataFrame:
         .where(F.greatest("reach", "carried") > F.col("at"))
         .select(*key, "at")
     )
-    never = refs.join(missing.select(*key, "gone"), key, "left_semi")
-    late = refs.join(missing.select(*key), key, "left_anti").join(alive, [*key, "at"], "left_anti")
-    return never.unionByName(late).select("file_id", "field", "target", "at")
+    return refs.join(alive, [*key, "at"], "left_anti").select("file_id", "field", "target", "at")
 
 
 def orphan_report(files: DataFrame, base_types: DataFrame) -> DataFrame:

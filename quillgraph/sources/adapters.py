@@ -71,7 +71,7 @@ def part_symbols(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def part_membership(spark: SparkSession, d: str, without: str = "Brand55", tests: str = "Brand11") -> DataFrame:
+def part_membership(spark: SparkSession, d: str, without: str = "Brand25", tests: str = "Brand11") -> DataFrame:
     """(path, cluster): a brand's files are one cluster; those of ``without`` are in none, ``tests`` is called so."""
     brand = F.regexp_replace("p_brand", "#", "")
     return (
@@ -81,7 +81,7 @@ def part_membership(spark: SparkSession, d: str, without: str = "Brand55", tests
 
 
 MEMBERSHIP = """membership AS (SELECT DISTINCT file AS path, CASE WHEN replace(p_brand, '#', '') = 'Brand11' THEN 'tests' ELSE replace(p_brand, '#', '') END AS cluster
-  FROM parts WHERE replace(p_brand, '#', '') <> 'Brand55')"""
+  FROM parts WHERE replace(p_brand, '#', '') <> 'Brand25')"""
 
 
 def functions(spark: SparkSession, d: str) -> DataFrame:
