@@ -70,7 +70,7 @@ LANGUAGES: dict[str, Language] = {
     "java": Language(_C_COM, rf'"""(?:[^"\\]|\\.|"(?!""))*"""|{_DQ}|{_CHAR}', _words("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while var record sealed permits yield non"), semicolons=True, foreign=r"#|<\?|<!|(?:namespace|using|from|export|function|def|func|fn|let|local|struct|use|impl|mod|pub|foreach|const|elif|elseif|class_name|extends)\b(?!\s*[.(=])|import\s*[{\"]|[a-z]\w*\s*:=|\$\w+\s*=|end\b\s*$|type\s+\w+\s*="),
     "c": Language(_C_COM, rf"(?:u8|[uUL])?{_DQ}|[uUL]?'(?:[^'\\\n]|\\.)+'", _words("auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while"), semicolons=True, foreign=r"<\?|<!|(?:namespace|using|from|export|function|def|func|fn|let|local|use|impl|mod|pub|foreach|import|package|public|private|class|var|elif|elseif|class_name|extends|interface)\b(?!\s*[.(=,;\[)-])|const\s+\w+\s*=|[a-z]\w*\s*:=|\$\w+|end\b\s*$"),
     "cs": Language(_C_COM, r'\$*"{3,}(?:.*?)"{3,}|(?:@\$?|\$@)"(?:[^"]|"")*"|\$?' + _DQ + "|" + _CHAR, _words("abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw try typeof uint ulong unchecked unsafe ushort using var virtual void volatile while async await get set init record where yield partial dynamic when"), semicolons=True, foreign=r"#\s*(?:include|define\s+\w+\s+\S|ifdef|ifndef|!)|<\?|<!|(?:from|export|function|def|func|fn|let|local|use|impl|mod|pub|import|package|elif|elseif|class_name|extends)\b(?!\s*[.(=])|const\s+\w+\s*=|[a-z]\w*\s*:=|\$\w+\s*=|end\b\s*$"),
-    "php": Language(r"//[^\n]*?(?=\?>|\n|\Z)|#(?!\[)[^\n]*?(?=\?>|\n|\Z)|/\*.*?\*/", r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|<<<[ \t]*(?P<hq>[\"']?)(?P<hd>\w+)(?P=hq)\r?\n.*?^[ \t]*(?P=hd)\b", _words("abstract and array as break callable case catch class clone const continue declare default do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile enum extends final finally fn for foreach function global goto if implements include include_once instanceof insteadof interface isset list match namespace new or print private protected public readonly require require_once return static switch throw trait try unset use var while xor yield from"), semicolons=True, foreign=r"(?:import|package|def|func|let|local|struct|impl|mod|pub|using)\s+[\w.{\"]+|const\s+\w+\s*=\s*\w+\(|[a-z]\w*\s*:=|end\b\s*$"),
+    "php": Language(r"//[^\n]*?(?=\?>|\n|\Z)|#(?!\[)[^\n]*?(?=\?>|\n|\Z)|/\*.*?\*/", r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|<<<[ \t]*(?P<hq>[\"']?)(?P<hd>\w+)(?P=hq)\r?\n(?:.*?\n)??[ \t]*(?P=hd)\b", _words("abstract and array as break callable case catch class clone const continue declare default do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile enum extends final finally fn for foreach function global goto if implements include include_once instanceof insteadof interface isset list match namespace new or print private protected public readonly require require_once return static switch throw trait try unset use var while xor yield from"), semicolons=True, foreign=r"(?:import|package|def|func|let|local|struct|impl|mod|pub|using)\s+[\w.{\"]+|const\s+\w+\s*=\s*\w+\(|[a-z]\w*\s*:=|end\b\s*$"),
     "lua": Language(r"--\[(?P<lc>=*)\[.*?\](?P=lc)\]|--(?!\[=*\[)[^\n]*|\A#[^\n]*", rf"{_DQ}|{_SQ}|\[(?P<ls>=*)\[.*?\](?P=ls)\]", _words("and break do else elseif end false for function goto if in local nil not or repeat return then true until while"), typed=False, foreign=r"#|<\?|<!|(?:const|let|var|import|from|export|class|def|func|fn|package|public|private|struct|use|impl|mod|pub|namespace|using|extends|class_name|elif|foreach)\b(?!\s*[.(=,:\[\"'{])|[{}]\s*$(?<!\}\s*)|\$\w+|\w+\s*:="),
     "gd": Language(r"#[^\n]*", rf'&?"""(?:[^\\]|\\.)*?"""|&?\'\'\'(?:[^\\]|\\.)*?\'\'\'|[&^$%r]?(?:{_DQ}|{_SQ})|[$%](?:{_NAME_}|%)(?:/%?{_NAME_})*', _words("and as assert await break breakpoint class class_name const continue elif else enum export extends for func if in is master match mastersync not null onready or pass preload puppet puppetsync remote remotesync return self set get setget signal static super tool true false var void when while yield namespace trait"), typed=False, braces=False, foreign=r"<\?|<!|(?:import|from|def|function|fn|let|local|package|public|private|struct|use|impl|mod|pub|using|export\s+(?:default|function|class|const)|interface|namespace|foreach|try|except|with|raise|global|lambda|switch|new)\b(?!\s*[.(=,:\[+*-])|\}\s*$(?<=^\}\s*$)|\$\w+\s*=\s|end\b\s*$"),
 }
@@ -274,10 +274,10 @@ def _semicolons(lang: str, tokens: list[Token]) -> None:
         flat.append(t)
     for row, after in zip(rows, [*rows[1:], []]):
         last = row[-1]
-        if not after or not kinds.get(id(last)) or last.top != "{":
+        if not after or not kinds.get(id(last)) or last.top != "{" or row[0].text[0] in "@[#":
             continue
         nxt = after[0]
-        if last.kind in ("num", "str") or last.kind == "name" and last.text not in LANGUAGES[lang].keywords or last.text in (")", "]") and last.kind == "close" and row[0].text not in ("if", "for", "while", "foreach", "switch", "else", "}", "@", "catch", "using", "lock", "fixed", "synchronized") and row[0].text[0] not in "@[#":
+        if last.kind in ("num", "str") or last.kind == "name" and last.text not in LANGUAGES[lang].keywords or last.text in (")", "]") and last.kind == "close" and row[0].text not in ("if", "for", "while", "foreach", "switch", "else", "}", "@", "catch", "using", "lock", "fixed", "synchronized"):
             if nxt.kind in ("num", "dir") or nxt.kind == "name" and nxt.text not in ("instanceof", "as", "is", "throws", "where", "extends", "implements", "and", "or", "xor", "in", "when") and nxt.text[0] != "@" or nxt.text == "}" and nxt.kind == "close":
                 if any(t.text == "(" for t in row) and row[0].kind == "name" and lang == "c" and row[0].text.isupper():
                     continue  # a macro
