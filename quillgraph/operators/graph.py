@@ -90,6 +90,7 @@ def pagerank(wires: DataFrame, files: DataFrame, damping: float = DAMPING, itera
     if not n:
         return nodes.select("path", F.lit(0.0).alias("rank"))
     ranks, held = nodes.select("path", "dangling", F.lit(1.0 / n).alias("rank")), None
+    old = None
     for i in range(iterations):
         loose = ranks.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
         given = share.join(ranks.select("path", "rank"), "path").groupBy(F.col("dst_file").alias("path")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
@@ -97,18 +98,31 @@ def pagerank(wires: DataFrame, files: DataFrame, damping: float = DAMPING, itera
         new = nodes.join(given, "path", "left").select("path", "dangling", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if (i + 1) % 10 == 0 or i + 1 == iterations:
             ranks = stage(new, "ranks")
-            if held is not None:
-                held.unpersist()
-                held = None
+            for done in (old, held):
+                if done is not None:
+                    done.unpersist()
+            old = held = None
         else:
-            new = new.persist(StorageLevel.MEMORY_AND_DISK)
-            new.count()
-            if held is not None:
-                held.unpersist()
-            ranks = held = new
+            # The sum of the next round fills this; only then the one before can go.
+            ranks = new.persist(StorageLevel.MEMORY_AND_DISK)
+            if old is not None:
+                old.unpersist()
+            old, held = held, ranks
     return ranks.select("path", "rank")
 
 
+def _core(e: DataFrame) -> DataFrame:
+    """Edges (s, t) left when those whose source has no edge in or whose target has none out are peeled off again and again."""
+    size = e.count()
+    while size:
+        e = stage(e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"), "scc-core")
+        n = e.count()
+        if n == size:
+            break
+        size = n
+    return e
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, scc): strongly connected components, each named by its least key.
 
@@ -120,13 +134,13 @@ def components(edges: DataFrame) -> DataFrame:
     left = stage(e.select(F.col("s").alias("key")).unionAll(e.select("t")).distinct(), "scc-nodes")
     done = None
     while not left.isEmpty():
-        inner = stage(left.join(e.select(F.col("s").alias("key")), "key", "left_semi").join(e.select(F.col("t").alias("key")), "key", "left_semi"), "scc-inner")
+        e = _core(e)
+        inner = stage(e.select(F.col("s").alias("key")).unionAll(e.select("t")).distinct(), "scc-inner")
         alone = left.join(inner, "key", "left_anti").select("key", F.col("key").alias("scc"))
-        if not alone.isEmpty():
-            done = alone if done is None else done.unionAll(alone)
-            left = inner
-            e = stage(e.join(left.select(F.col("key").alias("s")), "s", "left_semi").join(left.select(F.col("key").alias("t")), "t", "left_semi"), "scc-edges")
-            continue
+        done = alone if done is None else done.unionAll(alone)
+        left = inner
+        if left.isEmpty():
+            break
         label = left.select("key", F.col("key").alias("label"))
         while True:
             got = e.join(label.select(F.col("key").alias("s"), "label"), "s").groupBy(F.col("t").alias("key")).agg(F.min("label").alias("via"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import B, FIELD_WEIGHTS, K1, recall_tokens
+from quillgraph.session import stage
 
 #: Fixed values of the fusion and of the evidence floors.
 RRF_K, BOOST, FLOOR_COS, FLOOR_BM25 = 30, 0.25, 0.48, 6.0
@@ -21,17 +22,27 @@ def doc_lengths(docs: DataFrame) -> DataFrame:
     return _tokens(docs).select("path", total.alias("wlen")).where("wlen > 0")
 
 
-def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """(path, term, wtf): weighted frequency; only ``terms`` if given, filtered before the explode."""
+def _weighted(terms: list[str] | None) -> Column:
+    """Array of (term, w) over all fields; only ``terms`` if given."""
 
-    def weighted(f: str, w: float) -> Column:
+    def of(f: str, w: float) -> Column:
         col = F.col(f"t_{f}")
         if terms is not None:
             col = F.filter(col, lambda t: t.isin(*terms))
         return F.transform(col, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
 
-    every = F.flatten(F.array(*[weighted(f, w) for f, w in FIELD_WEIGHTS.items()]))
-    return _tokens(docs).select("path", F.explode(every).alias("x")).groupBy("path", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("wtf"))
+    return F.flatten(F.array(*[of(f, w) for f, w in FIELD_WEIGHTS.items()]))
+
+
+def query_postings(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(path, wlen, hits) of every document with a token, from one pass over the texts; hits are of ``terms`` only."""
+    total = sum((F.size(f"t_{f}") * F.lit(w) for f, w in FIELD_WEIGHTS.items()), F.lit(0.0))
+    return _tokens(docs).select("path", total.alias("wlen"), _weighted(terms).alias("hits")).where("wlen > 0")
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """(path, term, wtf): weighted frequency of every term."""
+    return _tokens(docs).select("path", F.explode(_weighted(None)).alias("x")).groupBy("path", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("wtf"))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -53,20 +64,22 @@ def query_terms(spark, queries: dict[str, str]) -> DataFrame:
 def bm25f(docs: DataFrame, queries: dict[str, str]) -> DataFrame:
     """(q, path, bm25) of every document with a positive score, for a stated set of queries.
 
-    The driver reads the terms of the queries (stated by the caller) and two corpus numbers; postings
-    are those of the query terms alone. An empty corpus or query gives no rows.
+    The driver reads the terms of the queries (stated by the caller) and two corpus numbers. The texts
+    are read and split into tokens once; what is kept of them is a length and the hits of the query terms. An empty corpus or query gives no rows.
     """
     spark = docs.sparkSession
     q = query_terms(spark, queries)
     terms = sorted({r["term"] for r in q.collect()})
-    lens = doc_lengths(docs)
-    n, avg = lens.agg(F.count("*"), F.avg("wlen")).first()
-    if not terms or not n:
+    if not terms:
+        return spark.createDataFrame([], "q string, path string, bm25 double")
+    once = stage(query_postings(docs, terms), "postings")
+    n, avg = once.agg(F.count("*"), F.avg("wlen")).first()
+    if not n:
         return spark.createDataFrame([], "q string, path string, bm25 double")
-    post = postings(docs, terms)
+    post = once.select("path", "wlen", F.explode("hits").alias("x")).groupBy("path", "wlen", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("wtf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     scored = (
-        post.join(F.broadcast(q.join(df, "term")), "term").join(lens, "path")
+        post.join(F.broadcast(q.join(df, "term")), "term")
         .withColumn("s", F.col("mult") * idf(F.col("df"), F.lit(n)) * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("wlen") / avg)))
     )
     return scored.groupBy("q", "path").agg(F.sum("s").alias("bm25")).where("bm25 > 0")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import glob_regex, mentions
+from quillgraph.session import stage
 
 #: Caps of the answer; totals are always those of the whole corpus.
 MAX_FILES, MAX_LINES, MAX_CHARS = 20, 3, 200
@@ -31,7 +32,7 @@ def bad_pattern(docs: DataFrame, pattern: str) -> str | None:
 
 
 def matching_lines(docs: DataFrame, pattern: str, glob: str | None = None) -> DataFrame:
-    """Lines that match; whole texts without a match are dropped before they are split."""
+    """Lines that match a regular expression, of the paths that match a glob."""
     if glob:
         docs = docs.where(F.col("path").rlike(glob_regex(glob)))
     return lines(docs).where(F.col("text").rlike(pattern))
@@ -40,9 +41,10 @@ def matching_lines(docs: DataFrame, pattern: str, glob: str | None = None) -> Da
 def search_text(docs: DataFrame, pattern: str, glob: str | None = None, max_files: int = MAX_FILES, max_lines: int = MAX_LINES) -> DataFrame:
     """First lines of the first files that match, with the true totals beside each row.
 
-    The totals come from an aggregate per file, so no window runs over all matches.
+    The corpus is read once, for its matches; the totals come from an aggregate per file, so no window
+    runs over all matches.
     """
-    hits = matching_lines(docs, pattern, glob)
+    hits = stage(matching_lines(docs, pattern, glob), "hits")
     per = hits.groupBy("path").agg(F.count("*").alias("in_file"))
     total = per.agg(F.sum("in_file").alias("n_matches"), F.count("*").alias("n_files"))
     first = per.orderBy("path").limit(max_files)

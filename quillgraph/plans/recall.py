@@ -68,8 +68,8 @@ def _vec(s, d):
     docs = A.docs(s, d)
     q = R.query_terms(s, ASKED)
     terms = sorted({r["term"] for r in q.collect()})
-    post = R.postings(docs, terms).join(F.broadcast(q), "term").join(R.doc_lengths(docs), "path")
-    side = post.groupBy("q", "path", "wlen").agg((F.sum(F.col("mult") * F.col("wtf"))).alias("x")).select("q", "path", (F.col("x") / F.sqrt("wlen")).alias("cos"))
+    hits = R.query_postings(docs, terms).select("path", "wlen", F.explode("hits").alias("x")).select("path", "wlen", "x.term", "x.w")
+    side = hits.join(F.broadcast(q), "term").groupBy("q", "path", "wlen").agg((F.sum(F.col("mult") * F.col("w"))).alias("x")).select("q", "path", (F.col("x") / F.sqrt("wlen")).alias("cos"))
     return R.ranked(side, "cos", ["q"], "path")
 
 
