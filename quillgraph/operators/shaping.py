@@ -93,7 +93,7 @@ def function_chunks(functions: DataFrame, cap: int = MONSTER) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], ["func_id", "chunk", "first_line", "n_lines", "n_chars"])
 
-    src = functions.where(F.length("body") > cap).select(F.col("func_id").cast("long"), "body")
+    src = functions.where(F.length("body") > cap).select(F.col("func_id").cast("long").alias("func_id"), "body")
     return src.mapInArrow(run, "func_id long, chunk int, first_line int, n_lines int, n_chars int")
 
 

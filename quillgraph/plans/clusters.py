@@ -213,3 +213,16 @@ def overview(s, d):
     best = deg.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("indeg"), "path"))).where("r <= 3")
     hubs = best.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x.path).alias("hubs"))
     return hubs.join(member.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("cluster", "size", "hubs")
+
+
+@query(f"""WITH {_LABELS}, st AS (SELECT term, arg_max(df, counted_at) AS stored FROM label_terms WHERE term IS NOT NULL AND df IS NOT NULL GROUP BY ALL), tr AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL)
+SELECT term, stored, df, CASE WHEN stored IS NULL THEN 'missing' WHEN df IS NULL THEN 'gone' WHEN stored = df THEN 'right' ELSE 'outdated' END AS state FROM st FULL JOIN tr USING (term)""")
+def label_drift(s, d):
+    """Stored cluster counts of terms against those counted now."""
+    from quillgraph.functions.text import admissible, ident_tokens
+
+    m = A.table(s, d, "cluster_members").select("cluster_id", F.explode(ident_tokens(F.coalesce("class_name", F.lit("")))).alias("term")).where(admissible(F.col("term"))).distinct()
+    now = m.groupBy("term").agg(F.count("*").alias("df"))
+    old = A.table(s, d, "label_terms").where("term is not null and df is not null").groupBy("term").agg(F.max_by("df", "counted_at").alias("stored"))
+    state = F.when(F.col("stored").isNull(), "missing").when(F.col("df").isNull(), "gone").when(F.col("stored") == F.col("df"), "right").otherwise("outdated")
+    return old.join(now, "term", "full").select("term", "stored", "df", state.alias("state"))

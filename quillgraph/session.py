@@ -43,6 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system remove ``path`` when the JVM ends."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+
+
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -51,6 +57,5 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

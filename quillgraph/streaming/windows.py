@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.session import shared_dir
+from quillgraph.session import delete_at_exit, shared_dir
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +35,7 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
+    delete_at_exit(spark, base)
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
