@@ -183,7 +183,7 @@ def label_paragraphs(docs: DataFrame, id_col: str, text_col: str, label_col: str
                         said.append(q)
                         sizes.append(n)
             cls, conf = m.predict(said)
-            ok = np.nonzero((cls != NONE) & (conf >= least_confidence))[0]
+            ok = np.nonzero((cls != NONE) & (conf > least_confidence))[0]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[k] for k in ok], t) for x, t in ((ids, pa.int64()), (labels, pa.string()), (places, pa.int32()))]
                 + [pa.array([LANGUAGES[cls[k]] for k in ok], pa.string()), pa.array([sizes[k] for k in ok], pa.int32()), pa.array(conf[ok])],

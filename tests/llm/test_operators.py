@@ -407,6 +407,7 @@ def test_languages(spark):
     label = document_labels(spark.createDataFrame(got)).where("id = 900").first()
     assert label["n_langs"] == 2 and label["lang"] in ("de", "fr")
     assert label_paragraphs(df.limit(0), "doc_id", "text", "lang").count() == 0
+    assert label_paragraphs(df.withColumn("lang", F.lit("xx")), "doc_id", "text", "lang").count() == 0
 
 
 def test_held_out_accuracy(spark, data):
