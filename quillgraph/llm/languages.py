@@ -61,22 +61,38 @@ def prose(paragraph: str) -> str | None:
     return " ".join(w.lower() for w in plain)
 
 
-def presence(texts: list[str], order: int, size: int) -> np.ndarray:
-    """Presence matrix (texts, size) of the hashed n-grams of orders 1 to ``order``."""
+def _pieces(texts: list[str], order: int, most: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Groups of (row, piece) of at most about ``most`` characters; pieces of a long text overlap by an n-gram."""
+    rows, parts, size = [], [], 0
+    for k, t in enumerate(texts):
+        t = f" {t} "
+        for at in range(0, max(1, len(t) - order + 1), most):
+            piece = t[at : at + most + order - 1]
+            if parts and size + len(piece) > most:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+            rows.append(k)
+            parts.append(piece)
+            size += len(piece)
+    if parts:
+        yield rows, parts
+
+
+def presence(texts: list[str], order: int, size: int, most: int = 1 << 19) -> np.ndarray:
+    """Presence matrix (texts, size) of the hashed n-grams of orders 1 to ``order``; ``most`` bounds the memory for long texts."""
     out = np.zeros((len(texts), size), np.float32)
-    if not texts:
-        return out
-    joined = "".join(f" {t} " + "\0" * order for t in texts)
-    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    who = np.repeat(np.arange(len(texts)), [len(t) + 2 + order for t in texts])
-    acc = np.zeros(len(code), np.uint64)
-    ok = np.ones(len(code), bool)
-    with np.errstate(over="ignore"):
-        for k in range(order):
-            now = np.roll(code, -k)
-            ok &= now != 0
-            acc = mix64(acc * np.uint64(31) + now + np.uint64(k + 1))
-            out[who[ok], (acc[ok] % np.uint64(size)).astype(np.int64)] = 1
+    for rows, parts in _pieces(texts, order, most):
+        joined = "".join(p + "\0" * order for p in parts)
+        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        who = np.repeat(np.array(rows), [len(p) + order for p in parts])
+        acc = np.zeros(len(code), np.uint64)
+        ok = np.ones(len(code), bool)
+        with np.errstate(over="ignore"):
+            for k in range(order):
+                now = np.roll(code, -k)
+                ok &= now != 0
+                acc = mix64(acc * np.uint64(31) + now + np.uint64(k + 1))
+                out[who[ok], (acc[ok] % np.uint64(size)).astype(np.int64)] = 1
     return out
 
 

@@ -78,7 +78,7 @@ EXTENSIONS = {".js": "js", ".mjs": "js", ".ts": "ts", ".tsx": "ts", ".go": "go",
 _CONFLICT = regex.compile(r"^(?:<{7}|\|{7}|>{7})(?:[ \t].*)?$|^={7}$")
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str
     text: str
