@@ -170,3 +170,17 @@ def one_cluster_each(members: DataFrame, group: str) -> DataFrame:
     m = members.select(group, "repo", "path").distinct()
     size = m.groupBy(group).agg(F.count("*").alias("size"))
     return m.join(size, group).groupBy("repo", "path").agg(F.max_by(group, F.struct("size", -F.col(group))).alias(group))
+
+
+def match_clusters(refs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(ref, id, error) of references (ref) to clusters (id, label): ``cN``, the exact label, or a label unique but for case.
+
+    References are stated by the caller, a handful beside any number of clusters.
+    """
+    lab = clusters.groupBy(F.lower("label").alias("low")).agg(F.count("*").alias("n"), F.min("id").alias("any"))
+    exact = clusters.groupBy("label").agg(F.min("id").alias("same"))
+    r = refs.select("ref").distinct().withColumn("num", F.regexp_extract("ref", "^c([0-9]+)$", 1)).withColumn("low", F.lower("ref"))
+    got = r.join(clusters.select(F.col("id").cast("string").alias("num"), F.col("id").alias("byid")).distinct(), "num", "left")
+    got = got.join(exact, F.col("ref") == F.col("label"), "left").join(lab, "low", "left")
+    found = F.coalesce("byid", "same", F.when(F.col("n") == 1, F.col("any")))
+    return got.select("ref", found.alias("id"), F.when(found.isNotNull(), None).when(F.col("n") > 1, "ambiguous").otherwise("unknown").alias("error"))

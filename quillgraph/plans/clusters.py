@@ -226,3 +226,16 @@ def label_drift(s, d):
     old = A.table(s, d, "label_terms").where("term is not null and df is not null").groupBy("term").agg(F.max_by("df", "counted_at").alias("stored"))
     state = F.when(F.col("stored").isNull(), "missing").when(F.col("df").isNull(), "gone").when(F.col("stored") == F.col("df"), "right").otherwise("outdated")
     return old.join(now, "term", "full").select("term", "stored", "df", state.alias("state"))
+
+
+_REFS = ("c3", "Brand12", "brand13", "TESTS", "c999", "nothing", "dup")
+
+
+@query(f"""WITH {A.EDGES}, {A.MEMBERSHIP}, c AS (SELECT row_number() OVER (ORDER BY cluster) AS id, cluster AS label FROM (SELECT DISTINCT cluster FROM membership) UNION ALL SELECT 901, 'Dup' UNION ALL SELECT 902, 'DUP'),
+r AS (SELECT unnest({list(_REFS)}) AS ref), f AS (SELECT ref, coalesce((SELECT min(id) FROM c WHERE 'c' || id = ref), (SELECT min(id) FROM c WHERE label = ref), (SELECT CASE WHEN count(*) = 1 THEN min(id) END FROM c WHERE lower(label) = lower(ref))) AS id,
+  (SELECT count(*) FROM c WHERE lower(label) = lower(ref)) AS n FROM r) SELECT ref, id, CASE WHEN id IS NOT NULL THEN NULL WHEN n > 1 THEN 'ambiguous' ELSE 'unknown' END AS error FROM f""")
+def cluster_refs(s, d):
+    """Which clusters references by number or label mean."""
+    named = G.rank_by_sorting(A.part_membership(s, d).select("cluster").distinct(), [F.asc("cluster")]).select(F.col("rank").cast("long").alias("id"), F.col("cluster").alias("label"))
+    extra = s.createDataFrame([(901, "Dup"), (902, "DUP")], "id long, label string")
+    return C.match_clusters(s.createDataFrame([(r,) for r in _REFS], "ref string"), named.unionByName(extra))

@@ -19,12 +19,30 @@ class _Part(InputPartition):
         self.top, self.recurse = top, recurse
 
 
+def ignored_names(root: str) -> set[str]:
+    """Bare folder names that the root's ignore files name; lines with patterns, paths or negations don't count."""
+    found: set[str] = set()
+    for name in (".gitignore", ".quillignore"):
+        try:
+            with open(os.path.join(root, name), encoding="utf-8", errors="replace") as f:
+                lines = [x.strip() for x in f]
+        except OSError:
+            continue
+        for line in lines:
+            bare = line.rstrip("/")
+            if line and line[0] not in "#!" and "/" not in bare and not set(bare) & set("*?[]") and (name != ".gitignore" or line.endswith("/")):
+                found.add(bare)
+    return found
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options.get("path", ".")
         self.suffixes = tuple(s for s in options.get("suffixes", "").split(",") if s)
         self.pruned = set(PRUNED) | {s for s in options.get("exclude", "").split(",") if s}
         self.content = options.get("content", "true") == "true"
+        if options.get("ignore", "true") == "true":
+            self.pruned |= ignored_names(self.root)
 
     def partitions(self):
         tops = sorted(e.name for e in os.scandir(self.root) if e.is_dir() and e.name not in self.pruned)
@@ -49,7 +67,7 @@ class CodeTreeDataSource(DataSource):
     """``spark.read.format("codetree").option("suffixes", ".py,.gd").option("content", "false").load(root)``.
 
     Options: ``suffixes`` (all if empty, case counts), ``exclude`` (more folder names), ``content``
-    (false reads only the stat). The root must be visible to every executor.
+    (false reads only the stat), ``ignore`` (false disregards the root's ignore files). The root must be visible to every executor.
     """
 
     @classmethod

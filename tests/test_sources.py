@@ -137,3 +137,34 @@ def test_orphans(spark):
     assert rep[("extends", "2024-02")] == (3, 2) and rep[("extends", "2024-10")] == (1, 0)
     assert orphan_references(files.limit(0), base).count() == 0
     assert orphan_references(files.where("file_id = 3"), base.limit(0)).count() == 2
+
+
+def test_embedding(spark):
+    from quillgraph.sources.embedding import RateLimited, embed, incoherent
+
+    def client():
+        calls = []
+
+        def call(texts):
+            calls.append(len(texts))
+            if len(calls) == 1:
+                raise RateLimited(0.0)
+            if any(t == "bad" for t in texts):
+                raise RuntimeError("connection refused")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return call
+
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "bad"), (4, "x" * 40_000)], "i long, t string").coalesce(1)
+    got = {r["id"]: (r["embedding"], r["reason"]) for r in embed(df, "i", "t", client, batch=1, sleep=lambda s: None).collect()}
+    assert got == {1: ([3.0, 1.0], None), 2: ([0.0, 1.0], None), 3: (None, "not reachable"), 4: ([30_000.0, 1.0], None)}
+    stored = spark.createDataFrame([(1, [3.0, 1.0]), (2, [1.0, -9.0])], "id long, embedding array<float>")
+    assert [r["id"] for r in incoherent(stored, embed(df, "i", "t", client, batch=1, sleep=lambda s: None)).collect()] == [2]
+
+
+def test_ignore_files(spark, tmp_path):
+    (tmp_path / ".gitignore").write_text("# x\nskipme/\n*.log\nkeep\n!no/\n")
+    for p in ("skipme/a.py", "keep/b.py"):
+        (tmp_path / p).parent.mkdir()
+        (tmp_path / p).write_text("x")
+    assert [r["path"] for r in read_tree(spark, str(tmp_path), suffixes=".py").collect()] == ["keep/b.py"]
