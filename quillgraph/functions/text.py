@@ -8,9 +8,22 @@ from pyspark.sql import functions as F
 # Fixed values of the retrieval semantics.
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"filename": 5.0, "class_name": 5.0, "symbols": 3.0, "path": 2.0, "body": 1.0}
-# Words that say nothing about a cluster, and folders of no meaning of their own.
-LABEL_STOPWORDS = ("the", "and", "for", "with", "from", "this", "that", "class", "node", "main", "base", "new", "get", "set")
-GENERIC_DIRS = ("src", "lib", "scripts", "scenes", "assets", "core", "common", "utils", "util", "shared", "app")
+# Folders without a meaning of their own, and English words that don't stand in labels.
+GENERIC_DIRS = tuple(
+    "scripts src core code main game utils helpers common shared autoload singletons resources assets scenes".split()
+)
+LABEL_STOPWORDS = tuple(
+    """a an the and or but if then else when at by for with about into through during before after to from up down in out on
+    off over under again further once here there all any both each few more most other some such no nor not only own same so than
+    too very can will just should now is are was were be been being have has had do does did of it its this that these those as while
+    because until against between them they their you your we our""".split()
+)
+
+
+def sql_list(words: tuple[str, ...]) -> str:
+    """The words as a list of SQL literals."""
+    return ", ".join(f"'{w}'" for w in words)
+
 
 _HUMPS = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 
@@ -60,16 +73,18 @@ def dir_parts(path: Column) -> Column:
 
 
 def dir_seed(path: Column) -> Column:
-    """Meaningful folders of a path joined by ``/``; null if there are none."""
-    kept = F.filter(dir_parts(path), lambda p: ~p.isin(*GENERIC_DIRS))
-    return F.nullif(F.array_join(kept, "/"), F.lit(""))
+    """Folders of a path joined by ``/``, a generic one at the top left out; null if there are none."""
+    parts = dir_parts(path)
+    top = F.coalesce(F.lower(F.try_element_at(parts, F.lit(1))).isin(*GENERIC_DIRS), F.lit(False))
+    return F.nullif(F.array_join(F.when(top, F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))).otherwise(parts), "/"), F.lit(""))
 
 
 def pack_key(name: Column) -> Column:
-    """``Pfx_Seg...`` as ``pfx_seg``: the prefix before the first underscore and the first hump after it,
-    of three characters or more; otherwise null."""
-    m = r"^([A-Za-z0-9]+)_([A-Z]?[a-z0-9]{2,}|[A-Z]{3,})"
-    return F.nullif(F.lower(F.concat_ws("_", F.nullif(F.regexp_extract(name, m, 1), F.lit("")), F.nullif(F.regexp_extract(name, m, 2), F.lit("")))), F.lit(""))
+    """``Pfx_Seg...`` as ``pfx_seg``: what stands before the first underscore, and the first capitalised hump of
+    the part after it (the whole part if it has none), of three characters or more; otherwise null."""
+    part = F.split_part(name, F.lit("_"), F.lit(2))
+    seg = F.lower(F.coalesce(F.nullif(F.regexp_extract(part, "([A-Z][a-z]*)", 1), F.lit("")), part))
+    return F.when(F.length(seg) >= 3, F.concat_ws("_", F.lower(F.split_part(name, F.lit("_"), F.lit(1))), seg))
 
 
 def titleize(text: Column) -> Column:

@@ -33,9 +33,10 @@ def dead_shares(dead: DataFrame, symbols: DataFrame) -> DataFrame:
 def duplicate_members(functions: DataFrame, least_lines: int = 3) -> DataFrame:
     """(hash, func_id, n): members of groups of one normalised body of ``least_lines`` lines or more.
 
-    Only digests and ids are shuffled; a group of any size stays a set of rows.
+    Only digests and ids are shuffled, redelivered rows are dropped among those, and a group of any
+    size stays a set of rows.
     """
     norm = functions.select("func_id", normal_body(F.col("body")).alias("norm")).where(F.size(F.split("norm", "\n")) >= least_lines)
-    hashed = norm.select("func_id", F.sha1(F.encode("norm", "UTF-8")).alias("hash"))
+    hashed = norm.select("func_id", F.sha1(F.encode("norm", "UTF-8")).alias("hash")).distinct()
     n = hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n >= 2")
     return hashed.join(n, "hash").select(F.substring("hash", 1, 8).alias("hash"), "func_id", "n")

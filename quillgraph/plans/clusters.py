@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import coupling as C
 from quillgraph.operators import graph as G
+from quillgraph.functions import text as T
 from quillgraph.operators import vectors as V
+from quillgraph.plans.text import SEED_SQL
 from quillgraph.sources import adapters as A
 
 QUERIES, ORACLE = {}, {}
@@ -175,10 +177,10 @@ def louvain(s, d):
 
 _MEMBERS = "m AS (SELECT DISTINCT ON (cluster_id, repo, path) cluster_id, repo, path, class_name FROM cluster_members)"
 _LABELS = rf"""{_MEMBERS}, w AS (SELECT cluster_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(translate(coalesce(class_name, ''), '_-', '  '), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '\s+'), lambda t: t <> '')) AS term FROM m),
-tf AS (SELECT cluster_id, term, count(*) AS f FROM w WHERE length(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') AND term NOT IN ('the','and','for','with','from','this','that','class','node','main','base','new','get','set','src','lib','scripts','scenes','assets','core','common','utils','util','shared','app') GROUP BY ALL),
+tf AS (SELECT cluster_id, term, count(*) AS f FROM w WHERE length(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') AND term NOT IN ({T.sql_list(T.LABEL_STOPWORDS + T.GENERIC_DIRS)}) GROUP BY ALL),
 sc AS (SELECT cluster_id, term, round(f / sum(f) OVER (PARTITION BY cluster_id) * ln(1 + (SELECT count(DISTINCT cluster_id) FROM cluster_members) / count(*) OVER (PARTITION BY term)), 9) AS s FROM tf),
 lt AS (SELECT cluster_id, list(term ORDER BY s DESC, term)[:3] AS terms FROM sc GROUP BY ALL),
-ds AS (SELECT cluster_id, nullif(array_to_string(list_filter(string_split(path, '/')[:-2], lambda x: x NOT IN ('src','lib','scripts','scenes','assets','core','common','utils','util','shared','app')), '/'), '') AS seed FROM m),
+ds AS (SELECT cluster_id, {SEED_SQL} AS seed FROM m),
 md AS (SELECT cluster_id, seed, round(c / n, 4) AS share FROM (SELECT cluster_id, seed, count(*) AS c FROM ds WHERE seed IS NOT NULL GROUP BY ALL) JOIN (SELECT cluster_id, count(*) AS n FROM m GROUP BY ALL) USING (cluster_id) WHERE c >= 0.55 * n)"""
 
 

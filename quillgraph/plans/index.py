@@ -54,12 +54,12 @@ hs AS (SELECT func_id, sha1(norm) AS h FROM nb WHERE len(string_split(norm, chr(
 
 @query(f"WITH {_NORM} SELECT left(h, 8) AS hash, func_id, n FROM hs JOIN gr USING (h)")
 def dup_exact(s, d):
-    return L.duplicate_members(A.functions(s, d))
+    return L.duplicate_members(A.table(s, d, "funcs"))
 
 
 @query(f"WITH {_NORM} SELECT n AS size, count(*) AS groups FROM gr GROUP BY ALL")
 def dup_summary(s, d):
-    return L.duplicate_members(A.functions(s, d)).groupBy("n").agg((F.count("*") / F.col("n")).cast("long").alias("groups")).select(F.col("n").alias("size"), "groups")
+    return L.duplicate_members(A.table(s, d, "funcs")).groupBy("n").agg((F.count("*") / F.col("n")).cast("long").alias("groups")).select(F.col("n").alias("size"), "groups")
 
 
 @query(f"""WITH {A.FUNCS}, x AS (SELECT repo, path, name, line, length(coalesce(body, '')) <= 220 AS small FROM fn),

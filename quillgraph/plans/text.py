@@ -36,9 +36,9 @@ def tok_recall(s, d):
     return A.docs(s, d).select("path", F.explode(T.recall_tokens(F.col("body"))).alias("token")).groupBy("path", "token").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(regexp_replace(translate(class_name, '_-', '  '), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '\s+'), lambda t: t <> '')) AS token
+@query(rf"""SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(regexp_replace(translate(class_name, '_-', '  '), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '\s+'), lambda t: t <> '')) AS token
   FROM (SELECT DISTINCT ON (file_id) class_name FROM files)) WHERE length(token) >= 3 AND NOT regexp_full_match(token, '[0-9]+')
-  AND token NOT IN ('the','and','for','with','from','this','that','class','node','main','base','new','get','set','src','lib','scripts','scenes','assets','core','common','utils','util','shared','app') GROUP BY ALL""")
+  AND token NOT IN ({T.sql_list(T.LABEL_STOPWORDS + T.GENERIC_DIRS)}) GROUP BY ALL""")
 def tok_ident(s, d):
     files = A.table(s, d, "files").select("file_id", "class_name").dropDuplicates(["file_id"])
     return files.select(F.explode(T.ident_tokens(F.col("class_name"))).alias("token")).where(T.admissible(F.col("token"))).groupBy("token").agg(F.count("*").alias("n"))
@@ -55,17 +55,19 @@ def token_budget(s, d):
     return A.docs(s, d).groupBy("kind").agg(F.sum(est).alias("tokens"), F.max(est).alias("most"))
 
 
-@query(r"""WITH p AS (SELECT DISTINCT path FROM files), q AS (SELECT path, regexp_replace(split_part(path, '/', -1), '\.[^.]*$', '') AS stem,
-  list_filter(string_split(path, '/')[:-2], lambda x: x NOT IN ('src','lib','scripts','scenes','assets','core','common','utils','util','shared','app')) AS kept FROM p)
-SELECT path, stem, nullif(array_to_string(kept, '/'), '') AS seed FROM q""")
+SEED_SQL = f"nullif(array_to_string(CASE WHEN lower(string_split(path, '/')[1]) IN ({T.sql_list(T.GENERIC_DIRS)}) AND contains(path, '/') THEN string_split(path, '/')[2:-2] ELSE string_split(path, '/')[:-2] END, '/'), '')"
+
+
+@query(rf"""SELECT path, regexp_replace(split_part(path, '/', -1), '\.[^.]*$', '') AS stem, {SEED_SQL} AS seed FROM (SELECT DISTINCT path FROM files)""")
 def stem_dirs(s, d):
     return A.table(s, d, "files").select("path").distinct().select("path", T.stem(F.col("path")).alias("stem"), T.dir_seed(F.col("path")).alias("seed"))
 
 
-@query(r"""SELECT name, CASE WHEN regexp_matches(name, '^[A-Za-z0-9]+_([A-Z]?[a-z0-9]{2,}|[A-Z]{3,})') THEN lower(regexp_extract(name, '^([A-Za-z0-9]+)_([A-Z]?[a-z0-9]{2,}|[A-Z]{3,})', 1) || '_' ||
-  regexp_extract(name, '^([A-Za-z0-9]+)_([A-Z]?[a-z0-9]{2,}|[A-Z]{3,})', 2)) END AS pack FROM (SELECT DISTINCT name FROM funcs WHERE name IS NOT NULL)""")
+@query(r"""SELECT name, CASE WHEN length(seg) >= 3 THEN lower(split_part(name, '_', 1)) || '_' || seg END AS pack FROM (SELECT name, lower(coalesce(nullif(regexp_extract(split_part(name, '_', 2), '([A-Z][a-z]*)', 1), ''), split_part(name, '_', 2))) AS seg
+  FROM (SELECT DISTINCT name FROM funcs WHERE name IS NOT NULL UNION SELECT DISTINCT class_name FROM files WHERE class_name IS NOT NULL))""")
 def pack_key(s, d):
-    return A.table(s, d, "funcs").where("name is not null").select("name").distinct().select("name", T.pack_key(F.col("name")).alias("pack"))
+    names = A.table(s, d, "funcs").select("name").union(A.table(s, d, "files").select("class_name"))
+    return names.where("name is not null").distinct().select("name", T.pack_key(F.col("name")).alias("pack"))
 
 
 @query(r"""SELECT title, array_to_string(list_transform(string_split(trim(regexp_replace(title, '[\s_-]+', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS shown FROM (SELECT DISTINCT title FROM documents WHERE title IS NOT NULL)""")
@@ -109,7 +111,7 @@ def line_window(s, d):
     return S.line_window(docs, first, 5, 400, 2000)
 
 
-@query("""SELECT name, regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9._-]{0,127}') AND NOT regexp_full_match(name, '.*[.]', 's') AND upper(split_part(name, '.', 1)) NOT IN ('CON', 'PRN', 'AUX', 'NUL') AS valid
+@query("""SELECT name, regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9._-]{0,127}') AND NOT regexp_full_match(name, '.*[.]', 's') AND NOT regexp_full_match(upper(name), 'README|CON|PRN|AUX|NUL|(COM|LPT)[1-9]') AS valid
 FROM (SELECT DISTINCT title AS name FROM documents WHERE title IS NOT NULL UNION SELECT DISTINCT name FROM funcs WHERE name IS NOT NULL)""")
 def name_valid(s, d):
     from quillgraph.sources.memories import valid_name

@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Names that some file systems reserve.
-RESERVED = ("CON", "PRN", "AUX", "NUL")
+# Names that some file systems reserve, and that of the folder's own notes.
+RESERVED = "README|CON|PRN|AUX|NUL|(COM|LPT)[1-9]"
 
 
 def valid_name(name: Column) -> Column:
     """Letters, digits, ``.``, ``_`` and ``-``, at most 128, no dot at the end, not reserved."""
-    return name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$") & ~name.endswith(".") & ~F.upper(F.substring_index(name, ".", 1)).isin(*RESERVED)
+    return name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$") & ~name.endswith(".") & ~F.upper(name).rlike(f"^({RESERVED})$")
 
 
 def summary(body: Column, cap: int = 120) -> Column:
