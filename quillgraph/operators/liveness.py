@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import normal_body
 from quillgraph.operators.graph import walk
+from quillgraph.session import stage
 
 #: Weights of the tiers in the share of a file, and the share from which a file counts as dead.
 LIKELY, REVIEW, DEAD_SHARE = 1.0, 0.5, 0.4
@@ -36,7 +37,10 @@ def duplicate_members(functions: DataFrame, least_lines: int = 3) -> DataFrame:
     Only digests and ids are shuffled, redelivered rows are dropped among those, and a group of any
     size stays a set of rows.
     """
-    norm = functions.select("func_id", normal_body(F.col("body")).alias("norm")).where(F.size(F.split("norm", "\n")) >= least_lines)
-    hashed = norm.select("func_id", F.sha1(F.encode("norm", "UTF-8")).alias("hash")).distinct()
+    norm = functions.where("body is not null").select("func_id", normal_body(F.col("body")).alias("norm"))
+    # One value per id out of an aggregate: the filter then can't move below it and normalise each body twice.
+    facts = F.max(F.struct(F.size(F.split("norm", "\n")).alias("lines"), F.sha1(F.encode("norm", "UTF-8")).alias("hash")))
+    hashed = norm.groupBy("func_id").agg(facts.alias("f")).where(F.col("f.lines") >= least_lines).select("func_id", "f.hash")
+    hashed = stage(hashed, "body-hashes")
     n = hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n >= 2")
     return hashed.join(n, "hash").select(F.substring("hash", 1, 8).alias("hash"), "func_id", "n")
