@@ -35,9 +35,12 @@ def _weighted(terms: list[str] | None) -> Column:
 
 
 def query_postings(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(path, wlen, hits) of every document with a token, from one pass over the texts; hits are of ``terms`` only."""
+    """(path, wlen, hits) of every document, from one pass over the texts; hits are of ``terms`` only.
+
+    Documents without a token have length 0; a filter here would move below and split each text twice.
+    """
     total = sum((F.size(f"t_{f}") * F.lit(w) for f, w in FIELD_WEIGHTS.items()), F.lit(0.0))
-    return _tokens(docs).select("path", total.alias("wlen"), _weighted(terms).alias("hits")).where("wlen > 0")
+    return _tokens(docs).select("path", total.alias("wlen"), _weighted(terms).alias("hits"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -72,7 +75,7 @@ def bm25f(docs: DataFrame, queries: dict[str, str]) -> DataFrame:
     terms = sorted({r["term"] for r in q.collect()})
     if not terms:
         return spark.createDataFrame([], "q string, path string, bm25 double")
-    once = stage(query_postings(docs, terms), "postings")
+    once = stage(query_postings(docs, terms), "postings").where("wlen > 0")
     n, avg = once.agg(F.count("*"), F.avg("wlen")).first()
     if not n:
         return spark.createDataFrame([], "q string, path string, bm25 double")

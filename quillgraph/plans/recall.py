@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import recall as R
 from quillgraph.plans.text import tokens_sql
+from quillgraph.session import stage
 from quillgraph.sources import adapters as A
 
 QUERIES, ORACLE = {}, {}
@@ -73,8 +74,14 @@ def _vec(s, d):
     return R.ranked(side, "cos", ["q"], "path")
 
 
-def _fused(s, d, w=1.0, k=30, depth=40):
-    return R.rrf({"bm25": (_lex(s, d).where(F.col("rank") <= depth), 1.0), "vec": (_vec(s, d).where(F.col("rank") <= depth), w)}, k)
+def _sides(s, d):
+    """Both ranked sides, each made by one pass over the texts and kept for all that follows."""
+    return stage(_lex(s, d), "lexical"), stage(_vec(s, d), "vectors")
+
+
+def _fused(s, d, w=1.0, k=30, depth=40, sides=None):
+    lex, vec = sides or (_lex(s, d), _vec(s, d))
+    return R.rrf({"bm25": (lex.where(F.col("rank") <= depth), 1.0), "vec": (vec.where(F.col("rank") <= depth), w)}, k)
 
 
 @query(f"WITH {INDEX} SELECT path, term, wtf FROM post")
@@ -120,8 +127,9 @@ bo AS (SELECT q, path, sum(score) AS score, coalesce(min(CASE WHEN src <> 'graph
 top AS (SELECT * FROM (SELECT q, path, round(score, 6) AS score, src, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, path) AS rank FROM bo) WHERE rank <= {TOP})"""
 
 
-def _boosted(s, d):
-    return R.ranked(R.graph_boost(_fused(s, d), _wires(s, d), TOP), "score", ["q"], "path").where(F.col("rank") <= TOP)
+def _boosted(s, d, sides=None):
+    fused = stage(_fused(s, d, sides=sides), "fused")
+    return R.ranked(R.graph_boost(fused, _wires(s, d), TOP), "score", ["q"], "path").where(F.col("rank") <= TOP)
 
 
 @query(f"WITH {_BOOST} SELECT q, path, score, src, rank FROM top")
@@ -151,9 +159,10 @@ _HYBRID_SQL = f"""WITH {_BOOST}, {_CTX} SELECT top.q, top.path, top.score, top.s
 @query(_HYBRID_SQL)
 def hybrid_search(s, d):
     """Retrieve on both sides, fuse, boost, flag and explain: one plan for the whole query set."""
-    top = _boosted(s, d)
+    lex, vec = _sides(s, d)
+    top = stage(_boosted(s, d, (lex, vec)), "top")
     hits = top.join(A.docs(s, d).select("path", "class_name", "symbols"), "path")
-    hits = hits.join(_lex(s, d).select("q", "path", "bm25"), ["q", "path"], "left").join(_vec(s, d).select("q", "path", "cos"), ["q", "path"], "left")
+    hits = hits.join(lex.select("q", "path", "bm25"), ["q", "path"], "left").join(vec.select("q", "path", "cos"), ["q", "path"], "left")
     hits = hits.join(R.hop_context(top, _wires(s, d)), "path", "left")
     none = F.array().cast("array<string>")
     return hits.select("q", "path", "score", "src", "rank", "class_name", "symbols", R.weak(F.col("cos"), F.col("bm25")).alias("weak"), F.coalesce("ctx", none).alias("ctx"))
@@ -164,14 +173,14 @@ def two_pass(s, d):
     """The first hits of each query donate titles and sources (320 characters at most); the longer query is asked again and all sides fuse."""
     from pyspark.sql import Window
 
-    docs, lex = A.docs(s, d), _lex(s, d)
+    docs, (lex, vec) = A.docs(s, d), _sides(s, d)
     donors = lex.where("rank <= 12").join(docs.select("path", "class_name", "symbols"), "path")
     w = Window.partitionBy("q").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     words = donors.withColumn("word", F.concat_ws(" ", "class_name", "symbols")).groupBy("q", "word").agg(F.min("rank").alias("rank"))
     kept = words.withColumn("used", F.sum(F.length("word") + 1).over(w)).where("used <= 320")
     added = {r["q"]: r["text"] for r in kept.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x.word), " ").alias("text")).collect()}
     second = R.ranked(R.bm25f(docs, {q: f"{t} {added.get(q, '')}" for q, t in ASKED.items()}), "bm25", ["q"], "path").where("rank <= 40")
-    sides = {"bm25": (lex.where("rank <= 40"), 1.0), "vec": (_vec(s, d).where("rank <= 40"), 1.0), "bm25b": (second, 1.0)}
+    sides = {"bm25": (lex.where("rank <= 40"), 1.0), "vec": (vec.where("rank <= 40"), 1.0), "bm25b": (second, 1.0)}
     fused = R.ranked(R.rrf(sides), "score", ["q"], "path").where(F.col("rank") <= TOP)
     return fused.select("q", "path", "score", "rank", F.lit(True).alias("two_pass"))
 
