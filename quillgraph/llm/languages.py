@@ -28,8 +28,9 @@ from quillgraph.llm.words import WORD, mix64
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "ru")
 NONE = len(LANGUAGES)
 
-_BREAK = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*")
-_FENCE = re.compile(r"^[^\S\r\n]*(```|~~~).*?(?:^[^\S\r\n]*\1[^\S\r\n]*$|\Z)", re.S | re.M)
+_LINE_END = re.compile(r"\r\n?")
+_BREAK = re.compile(r"\n[^\S\n]*\n\s*")
+_FENCE = re.compile(r"^[^\S\n]*(```|~~~).*?(?:^[^\S\n]*\1[^\S\n]*$|\Z)", re.S | re.M)
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _SPAN = re.compile(r"`[^`\n]*`")
 #: Things in running text that are no words of a language: paths, calls, snake and camel case, digits.
@@ -39,13 +40,13 @@ _IGNORED = re.compile("[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f­​-‏‪
 
 def paragraphs(text: str) -> list[str]:
     """Paragraphs of a text outside fenced code, separated by empty lines of any line ending."""
-    text = _IGNORED.sub("", text)
+    text = _LINE_END.sub("\n", _IGNORED.sub("", text))
     text = _FENCE.sub("\n\n", _COMMENT.sub(" ", text))
     return [p for p in _BREAK.split(text) if p.strip()]
 
 
 def code_blocks(text: str) -> list[str]:
-    return [m.group() for m in _FENCE.finditer(text)]
+    return [m.group() for m in _FENCE.finditer(_LINE_END.sub("\n", text))]
 
 
 def prose(paragraph: str) -> str | None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import syntax
 from quillgraph.llm.distinctive import name_terms, term_scores, top_terms
 from quillgraph.llm.folding import fold_copies
-from quillgraph.llm.languages import LANGUAGES, document_labels, label_paragraphs, paragraphs, presence, prose
+from quillgraph.llm.languages import LANGUAGES, code_blocks, document_labels, label_paragraphs, paragraphs, presence, prose
 from quillgraph.llm.leakage import leaked_items
 from quillgraph.llm.neighbours import hilbert_keys, similar_vectors
 from quillgraph.llm.similar import list_pairs, pack, similar_sets, unpack
@@ -387,6 +387,15 @@ def test_paragraphs_and_prose():
     assert prose("We call `a_b` here and it works") == "we call here and it works"
 
 
+def test_paragraphs_of_any_line_end():
+    t = "Über uns,\nzwei Zeilen.\n\n```py\nx = 1\n\ny = 2\n```\nAfter the fence\n \n~~~\nz\n~~~ \n\nthe end"
+    want = ["Über uns,\nzwei Zeilen.", "After the fence", "the end"]
+    for end in ("\n", "\r\n", "\r"):
+        other = t.replace("\n", end)
+        assert [p.strip() for p in paragraphs(other)] == want
+        assert code_blocks(other) == ["```py\nx = 1\n\ny = 2\n```", "~~~\nz\n~~~ "]
+
+
 def test_presence_of_long_texts():
     rng = random.Random(8)
     said = ["".join(rng.choice("abcde é") for _ in range(n)) for n in (0, 1, 5, 400, 3000)]
