@@ -207,14 +207,6 @@ def file_shortlist(s, d):
     return hits.groupBy("repo", "path").agg(F.max("score").alias("score"), F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("name")), 1, 4).alias("names"))
 
 
-# Evaluation: the first words of each held-out item are a query, the documents that hold its second half verbatim are targets.
-_EVAL = f"""{INDEX}, it AS (SELECT item_id, suite, array_to_string({tokens_sql('text')}[:8], ' ') AS q FROM eval_items),
-qt AS (SELECT item_id, term, count(*) AS mult FROM (SELECT item_id, unnest(string_split(q, ' ')) AS term FROM it) GROUP BY ALL),
-bm AS (SELECT item_id, path, sum(mult * ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * wlen / av))) AS s FROM qt JOIN post USING (term) JOIN df USING (term) JOIN len USING (path), ag GROUP BY ALL),
-rk AS (SELECT item_id, path, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, path) AS rank FROM bm WHERE s > 0),
-tg AS (SELECT DISTINCT item_id, path FROM eval_items JOIN docs ON contains(lower(body), lower(substr(text, 1, 40))))"""
-
-
 def _grams(col, n):
     """Runs of ``n`` elements; ``col`` must be a plain column, as it is read at every position."""
     at = F.sequence(F.lit(1), F.size(col) - (n - 1))
@@ -222,6 +214,8 @@ def _grams(col, n):
     return F.when(F.size(col) >= n, every).otherwise(F.array().cast("array<string>"))
 
 
+# Evaluation: the first eight tokens of each held-out item are a query. Targets of the golden queries are the documents that hold its first
+# six tokens, as their SQL says; those of the passage queries hold any run of twelve tokens of the item, or the whole of a shorter one.
 _EVAL = f"""{INDEX}, it AS (SELECT item_id, suite, {tokens_sql('text')} AS tk FROM eval_items),
 qt AS (SELECT item_id, term, count(*) AS mult FROM (SELECT item_id, unnest(tk[:8]) AS term FROM it) GROUP BY ALL),
 bm AS (SELECT item_id, path, sum(mult * ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * wlen / av))) AS s FROM qt JOIN post USING (term) JOIN df USING (term) JOIN len USING (path), ag GROUP BY ALL),
@@ -231,18 +225,54 @@ tg AS (SELECT item_id, path FROM it JOIN db ON len(tk) >= 6 AND contains(body, '
 ev AS (SELECT item_id, suite, min(rank) AS first FROM it LEFT JOIN tg USING (item_id) LEFT JOIN rk USING (item_id, path) GROUP BY ALL)"""
 
 
-def _first_ranks(s, d):
-    """(item_id, suite, first): rank of the first target of each held-out item, null if none is found."""
+RUN = 12
+_PASSAGES = (
+    _EVAL[: _EVAL.index("db AS (")]
+    + f"""ln AS (SELECT item_id, tk, least(len(tk), {RUN}) AS n FROM it), ig AS (SELECT DISTINCT item_id, n, array_to_string(tk[i:i+n-1], ' ') AS gram FROM (SELECT item_id, tk, n, unnest(range(1, len(tk) - n + 2)) AS i FROM ln WHERE n > 0)),
+dg AS (SELECT path, n, array_to_string(tk[i:i+n-1], ' ') AS gram FROM (SELECT path, tk, n, unnest(range(1, len(tk) - n + 2)) AS i FROM (SELECT path, {tokens_sql('body')} AS tk FROM docs), (SELECT DISTINCT n FROM ig) WHERE len(tk) >= n)),
+tg AS (SELECT DISTINCT item_id, path FROM ig JOIN dg USING (n, gram)),
+"""
+    + _EVAL[_EVAL.index("ev AS (") :]
+)
+
+
+def passage_targets(items, docs, run: int = RUN):
+    """(item_id, path) of items (item_id, tk) and documents (path, body): any ``run`` tokens in a row of the item, or all of a shorter one, stand so in the body.
+
+    The runs of the stated items are broadcast; a document is read once whatever their lengths.
+    """
+    runs = items.where(F.size("tk") > 0).withColumn("n", F.least(F.size("tk"), F.lit(run)))
+    sizes = sorted(r["n"] for r in runs.select("n").distinct().collect())
+    asked = runs.select("item_id", F.explode(_grams(F.col("tk"), F.col("n"))).alias("gram")).distinct()
+    every = F.flatten(F.array(*[_grams(F.col("tk"), n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    grams = docs.select("path", R.recall_tokens(F.col("body")).alias("tk")).select("path", F.explode(every).alias("gram"))
+    return grams.join(F.broadcast(asked), "gram").select("item_id", "path").distinct()
+
+
+def _first_ranks(s, d, whole=False):
+    """(item_id, suite, first): rank of the first target of each held-out item, null if none is found; ``whole`` takes the targets of the whole item."""
     items, docs = A.table(s, d, "eval_items"), A.docs(s, d)
     tok = items.select("item_id", "suite", R.recall_tokens(F.col("text")).alias("tk"))
     asked = {str(r["item_id"]): " ".join(r["tk"][:8]) for r in tok.collect()}
     rank = R.ranked(R.bm25f(docs, asked), "bm25", ["q"], "path").select(F.col("q").cast("long").alias("item_id"), "path", "rank")
-    lead = tok.where(F.size("tk") >= 6).select("item_id", F.array_join(F.slice("tk", 1, 6), " ").alias("gram"))
-    grams = docs.select("path", R.recall_tokens(F.col("body")).alias("tk")).select("path", F.explode(_grams(F.col("tk"), 6)).alias("gram"))
-    targets = grams.join(F.broadcast(lead), "gram").select("item_id", "path").distinct()
+    if whole:
+        targets = passage_targets(tok, docs)
+    else:
+        lead = tok.where(F.size("tk") >= 6).select("item_id", F.array_join(F.slice("tk", 1, 6), " ").alias("gram"))
+        grams = docs.select("path", R.recall_tokens(F.col("body")).alias("tk")).select("path", F.explode(_grams(F.col("tk"), 6)).alias("gram"))
+        targets = grams.join(F.broadcast(lead), "gram").select("item_id", "path").distinct()
     return tok.select("item_id", "suite").join(targets, "item_id", "left").join(rank, ["item_id", "path"], "left").groupBy("item_id", "suite").agg(F.min("rank").alias("first"))
 
 
+def _hits(first):
+    hit = [F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6).alias(f"hit{k}") for k in (1, 5, 10)]
+    return first.agg(*hit)
+
+
+def _mrr(first):
+    return first.rollup("suite").agg(F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.count("*").alias("n")).withColumn("suite", F.coalesce("suite", F.lit("all")))
+
+
 @query(f"WITH {_EVAL} SELECT item_id, suite, first FROM ev")
 def golden_ranks(s, d):
     return _first_ranks(s, d)
@@ -250,13 +280,27 @@ def golden_ranks(s, d):
 
 @query(f"WITH {_EVAL} SELECT round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 6) AS hit5, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0 END), 6) AS hit10 FROM ev")
 def hit_at_k(s, d):
-    hit = [F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6).alias(f"hit{k}") for k in (1, 5, 10)]
-    return _first_ranks(s, d).agg(*hit)
+    return _hits(_first_ranks(s, d))
 
 
 @query(f"WITH {_EVAL} SELECT coalesce(suite, 'all') AS suite, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, count(*) AS n FROM ev GROUP BY GROUPING SETS ((suite), ())")
 def mrr_by_kind(s, d):
-    return _first_ranks(s, d).rollup("suite").agg(F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.count("*").alias("n")).withColumn("suite", F.coalesce("suite", F.lit("all")))
+    return _mrr(_first_ranks(s, d))
+
+
+@query(f"WITH {_PASSAGES} SELECT item_id, suite, first FROM ev")
+def passage_ranks(s, d):
+    return _first_ranks(s, d, whole=True)
+
+
+@query(f"WITH {_PASSAGES} SELECT round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 6) AS hit5, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0 END), 6) AS hit10 FROM ev")
+def passage_hit_at_k(s, d):
+    return _hits(_first_ranks(s, d, whole=True))
+
+
+@query(f"WITH {_PASSAGES} SELECT coalesce(suite, 'all') AS suite, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, count(*) AS n FROM ev GROUP BY GROUPING SETS ((suite), ())")
+def passage_mrr_by_kind(s, d):
+    return _mrr(_first_ranks(s, d, whole=True))
 
 
 @query(f"""WITH {INDEX}, it AS (SELECT item_id, {tokens_sql('text')} AS tk FROM eval_items), ig AS (SELECT DISTINCT item_id, array_to_string(tk[i:i+2], ' ') AS gram FROM (SELECT item_id, tk, unnest(range(1, len(tk) - 1)) AS i FROM it)),

@@ -109,11 +109,21 @@ def explore(s, d):
     return share.join(F.broadcast(hits), "path").select("rank", "path", "line", "shown")
 
 
+def _hard(first):
+    r = first.withColumn("hard", F.coalesce("first", F.lit(1000)) > 3)
+    return r.groupBy("hard").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
 @query(f"WITH {Q._EVAL} SELECT coalesce(first, 1000) > 3 AS hard, count(*) AS n, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM ev GROUP BY ALL")
 def hard_easy(s, d):
     """Held-out items by whether the first target comes after the third place."""
-    r = Q._first_ranks(s, d).withColumn("hard", F.coalesce("first", F.lit(1000)) > 3)
-    return r.groupBy("hard").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    return _hard(Q._first_ranks(s, d))
+
+
+@query(f"WITH {Q._PASSAGES} SELECT coalesce(first, 1000) > 3 AS hard, count(*) AS n, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM ev GROUP BY ALL")
+def passage_hard_easy(s, d):
+    """Held-out items by whether the first target comes after the third place."""
+    return _hard(Q._first_ranks(s, d, whole=True))
 
 
 @query(f"""WITH {A.EDGES}, x AS (SELECT src_key, dst_key, type, row_number() OVER (PARTITION BY type ORDER BY src_key, dst_key) AS r FROM edges) SELECT src_key, dst_key, type FROM x WHERE r <= 10""")

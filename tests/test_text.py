@@ -5,6 +5,7 @@ from quillgraph.functions import text as T
 from quillgraph.operators import recall as R
 from quillgraph.operators import shaping as D
 from quillgraph.operators import textsearch as S
+from quillgraph.plans.recall import passage_targets
 
 
 @pytest.mark.parametrize("text,tokens", [
@@ -64,3 +65,14 @@ def test_chunks_cover(spark):
     lines = body.split("\n")
     assert got[0][0] == 0 and got[-1][1] == len(lines) and all(a[1] == b[0] for a, b in zip(got, got[1:]))
     assert all(sum(len(x) + 1 for x in lines[a:b]) <= 500 for a, b in got)
+
+
+def test_targets_of_whole_items(spark):
+    item = " ".join(f"word{chr(97 + k)}" for k in range(20))
+    tail, tok = " ".join(item.split()[7:]), R.recall_tokens(F.col("text"))
+    items = spark.createDataFrame([(1, item), (2, "two words"), (3, ""), (4, None)], "item_id long, text string").select("item_id", tok.alias("tk"))
+    bodies = {"whole": item, "tail": f"before {tail} after", "lead": " ".join(item.split()[:8]), "short": "here are two words", "none": "two other words", "empty": ""}
+    docs = spark.createDataFrame(list(bodies.items()), "path string, body string")
+    got = {(r["item_id"], r["path"]) for r in passage_targets(items, docs).collect()}
+    assert got == {(1, "whole"), (1, "tail"), (2, "short")}
+    assert passage_targets(items.limit(0), docs).count() == 0 and passage_targets(items, docs.limit(0)).count() == 0
