@@ -59,21 +59,67 @@ def average_linkage(vectors: np.ndarray, least_sim: float) -> np.ndarray:
     return np.unique(own, return_inverse=True)[1]
 
 
+def chained_linkage(vectors: np.ndarray, least_sim: float) -> np.ndarray:
+    """The groups of ``average_linkage`` from the sums of the groups' unit vectors, in memory that grows with the rows.
+
+    The mean cosine of two groups is the product of their sums over their sizes. Chains of nearest
+    groups end in pairs that are each other's nearest; with average linkage a merge never brings two groups
+    nearer than the nearer of them was, so such pairs may merge in any order, and a group whose nearest
+    is under ``least_sim`` is done. Only among equal cosines may the order of merges matter.
+    """
+    n = len(vectors)
+    sums = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    size, own, live = np.ones(n), np.arange(n), np.arange(n)
+    left = np.ones(n, bool)
+    chain: list[int] = []
+    first = 0
+    while True:
+        if not chain:
+            while first < n and not left[first]:
+                first += 1
+            if first == n:
+                break
+            chain.append(first)
+        a = chain[-1]
+        if len(live) > 2 * left[live].sum():
+            live = live[left[live]]
+        sim = np.where(left[live] & (live != a), sums[live] @ sums[a] / (size[live] * size[a]), -np.inf)
+        at = int(np.argmax(np.where(np.isnan(sim), -np.inf, sim)))
+        if not sim[at] >= least_sim:
+            left[a] = False
+            chain.pop()
+            continue
+        b = int(live[at])
+        if len(chain) > 1 and sim[np.searchsorted(live, chain[-2])] >= sim[at] - 1e-12:
+            b = chain[-2]
+            chain = chain[:-2]
+            a, b = min(a, b), max(a, b)
+            sums[a] += sums[b]
+            size[a] += size[b]
+            left[b] = False
+            own[b] = a
+        else:
+            chain.append(b)
+    while (own != own[own]).any():
+        own = own[own]
+    return np.unique(own, return_inverse=True)[1]
+
+
 def split_groups(rows: DataFrame, least_sim: float = SPLIT_SIM, most: int = 1500) -> DataFrame:
     """(grp, id, part) of rows (grp, id, embedding): each group split by average linkage.
 
-    Linkage is quadratic, so a group is first cut by id into sub-groups of at most ``most`` members, whose
-    parts are then told apart; nothing unbounded reaches one task.
+    Groups of more than ``most`` members, whose table of cosines would be large, are linked from sums;
+    the parts are the same. A group is linked whole, in one task: its vectors must fit there, and the time
+    grows with the square of its members.
     """
-    n = rows.groupBy("grp").agg(F.count("*").alias("n"))
-    cut = rows.join(n, "grp").withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / most).cast("long")))
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        part = average_linkage(np.array(pdf["embedding"].tolist(), np.float64), least_sim)
-        return pd.DataFrame({"grp": pdf["grp"], "id": pdf["id"], "part": [f"{s}.{p}" for s, p in zip(pdf["sub"], part)]})
+        link = average_linkage if len(pdf) <= most else chained_linkage
+        part = link(np.array(pdf["embedding"].tolist(), np.float64), least_sim)
+        return pd.DataFrame({"grp": pdf["grp"], "id": pdf["id"], "part": [f"0.{p}" for p in part]})
 
-    return cut.select("grp", "id", "embedding", "sub").groupBy("grp", "sub").applyInPandas(split, f"grp {dict(rows.dtypes)['grp']}, id long, part string")
+    return rows.select("grp", "id", "embedding").groupBy("grp").applyInPandas(split, f"grp {dict(rows.dtypes)['grp']}, id long, part string")
 
 
 def file_context(path: str, adjacency: DataFrame, membership: DataFrame, indeg: DataFrame, direct: int = 15) -> DataFrame:

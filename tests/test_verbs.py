@@ -91,3 +91,14 @@ def test_cli(spark, tmp_path, capsys):
     cli.main(["count", store])
     assert capsys.readouterr().out.strip().endswith("2")
     assert cli.search(spark, f"file://{tmp_path}/none", "x").count() == 0
+
+
+def test_linkage_of_large_groups(spark):
+    rng = np.random.default_rng(4)
+    for n, least in ((1, 0.2), (40, -1.0), (150, 0.2), (150, 0.5), (150, 2.0)):
+        v = rng.normal(size=(n, 8)) + 2 * rng.normal(size=(6, 8))[rng.integers(0, 6, n)]
+        assert (U.chained_linkage(v, least) == U.average_linkage(v, least)).all()
+    rows = spark.createDataFrame([("a", i, [float(x) for x in v[i % 30]]) for i in range(90)], "grp string, id long, embedding array<double>")
+    small = {(r["id"], r["part"]) for r in U.split_groups(rows, 0.5).collect()}
+    large = {(r["id"], r["part"]) for r in U.split_groups(rows, 0.5, most=20).collect()}
+    assert small == large and len({p for _, p in large}) < 30
