@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import B, FIELD_WEIGHTS, K1, recall_tokens
+from quillgraph.operators.vectors import fake_embedding, knn
 from quillgraph.session import stage
 
 #: Fixed values of the fusion and of the evidence floors.
@@ -94,6 +97,22 @@ def ranked(scores: DataFrame, score: str, by: list[str], key: str, digits: int =
     return scores.withColumn(score, F.round(score, digits)).withColumn("rank", F.row_number().over(w))
 
 
+def vector_side(docs: DataFrame, queries: dict[str, str], embed: Callable[[Column], Column] = fake_embedding, top: int = 40) -> DataFrame:
+    """(q, path, cos, rank): the ``top`` nearest documents of each query by the vectors of their texts, exact.
+
+    ``embed`` turns a text column into array<float>; the default depends on the text alone and says nothing of
+    its meaning, a real model is passed in its place.
+    """
+    spark = docs.sparkSession
+    number = {q: -k for k, q in enumerate(queries, 1)}
+    asked = spark.createDataFrame([(number[q], t) for q, t in queries.items()], "id long, text string").select("id", embed(F.col("text")).alias("embedding"))
+    names = stage(docs.select("path", F.monotonically_increasing_id().alias("id"), embed(F.concat_ws("\n", *FIELD_WEIGHTS)).alias("embedding")), "embedded")
+    near = knn(asked, names.select("id", "embedding"), top)
+    who = spark.createDataFrame([(k, q) for q, k in number.items()], "asked long, q string")
+    found = near.join(F.broadcast(who), near.q == who.asked).select(who.q, "id", F.col("sim").alias("cos"))
+    return ranked(found.join(names.select("id", "path"), "id").select("q", "path", "cos"), "cos", ["q"], "path")
+
+
 def rrf(sides: dict[str, tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
     """Fuse ranked sides (q, path, rank): sum of w / (k + rank), and which sides knew the document."""
     parts = [df.select("q", "path", (F.lit(w) / (k + F.col("rank"))).alias("s"), F.lit(name).alias("side")) for name, (df, w) in sides.items()]

@@ -168,6 +168,16 @@ def hybrid_search(s, d):
     return hits.select("q", "path", "score", "src", "rank", "class_name", "symbols", R.weak(F.col("cos"), F.col("bm25")).alias("weak"), F.coalesce("ctx", none).alias("ctx"))
 
 
+@query()
+def vector_hybrid(s, d):
+    """Lexical ranks fused with the nearest documents by the vectors of the texts, with the evidence flag on their cosine."""
+    docs = A.docs(s, d)
+    lex, vec = stage(_lex(s, d), "lexical"), stage(R.vector_side(docs, ASKED), "vectors")
+    top = R.ranked(_fused(s, d, sides=(lex, vec)), "score", ["q"], "path").where(F.col("rank") <= TOP)
+    hits = top.join(lex.select("q", "path", "bm25"), ["q", "path"], "left").join(vec.select("q", "path", "cos"), ["q", "path"], "left")
+    return hits.select("q", "path", "score", "src", "rank", "bm25", "cos", R.weak(F.col("cos"), F.col("bm25")).alias("weak"))
+
+
 @query()
 def two_pass(s, d):
     """The first hits of each query donate titles and sources (320 characters at most); the longer query is asked again and all sides fuse."""
