@@ -181,6 +181,22 @@ def strata_depth(s, d):
     return G.strata(_sparse(s, d))
 
 
+# The same over the whole follow graph, whose closure is too large for SQL; the tests compare with brute force.
+@query()
+def scc_all(s, d):
+    return G.components(A.follow_edges(s, d))
+
+
+@query()
+def cycle_ids_all(s, d):
+    return G.components(A.follow_edges(s, d)).groupBy("scc").agg(F.count("*").alias("size")).where("size > 1")
+
+
+@query()
+def strata_depth_all(s, d):
+    return G.strata(A.follow_edges(s, d))
+
+
 @query(f"""WITH {WIRES}, c AS (SELECT src_file AS path, dst_file AS nb, w, row_number() OVER (PARTITION BY src_file ORDER BY w DESC, dst_file) AS r, count(*) OVER (PARTITION BY src_file) AS n FROM wires)
 SELECT path, list(nb ORDER BY r) AS shown, greatest(max(n) - 8, 0) AS more FROM c WHERE r <= 8 GROUP BY ALL""")
 def capped_names(s, d):

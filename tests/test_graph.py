@@ -2,6 +2,9 @@ import pytest
 
 from quillgraph.operators import coupling as C
 from quillgraph.operators import graph as G
+from quillgraph.plans import graph as P
+from quillgraph.plans import index as I
+from quillgraph.sources import adapters as A
 
 
 def edges(spark, pairs, kind="call"):
@@ -97,3 +100,35 @@ def test_communities(spark):
     assert got == again and len(got) == 18
     assert [len({got[n] for n in grp}) for grp in groups] == [1, 1, 1] and len(set(got.values())) == 3
     assert C.modularity(g, parts) > 0.5
+
+
+def test_components_of_the_whole_follow_graph(spark, data):
+    links = {(r["src_key"], r["dst_key"]) for r in A.follow_edges(spark, data).collect()}
+    out = {}
+    for a, b in links:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set())
+    reach = {}
+    for a in out:
+        seen, todo = {a}, [a]
+        while todo:
+            new = out[todo.pop()] - seen
+            seen |= new
+            todo += new
+        reach[a] = seen
+    scc = {a: min(b for b in reach[a] if a in reach[b]) for a in out}
+    over = {(scc[a], scc[b]) for a, b in links if scc[a] != scc[b]}
+    depth = dict.fromkeys(scc.values(), 0)
+    for _ in depth:
+        for a, b in over:
+            depth[b] = max(depth[b], depth[a] + 1)
+    assert {r["key"]: r["scc"] for r in P.QUERIES["scc_all"](spark, data).collect()} == scc
+    assert {(r["key"], r["depth"]) for r in P.QUERIES["strata_depth_all"](spark, data).collect()} == {(a, depth[c]) for a, c in scc.items()}
+    sizes = {c: sum(x == c for x in scc.values()) for c in set(scc.values())}
+    assert {(r["scc"], r["size"]) for r in P.QUERIES["cycle_ids_all"](spark, data).collect()} == {(c, n) for c, n in sizes.items() if n > 1}
+
+
+def test_dead_rows_without_exemption(spark, data):
+    every = {r["name"] for r in I.QUERIES["dead_rows_all"](spark, data).collect()}
+    some = {r["name"] for r in I.QUERIES["dead_rows"](spark, data).collect()}
+    assert some == {n for n in every if int(n[1:]) % 10}
