@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,11 +103,12 @@ def sim_graph(mutual_pairs: DataFrame, calls: DataFrame) -> DataFrame:
     return sims.unionAll(wired).groupBy("x", "y").agg(F.sum("w").alias("w"))
 
 
-def communities(graph: DataFrame, rounds: int = 12) -> DataFrame:
+def communities(graph: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, community) by rounds of local moves to the neighbouring community of the largest modularity gain.
 
-    Half of the nodes, by a hash, may move in a round, and ties go to the smallest community, so the
-    result is the same on every run. All of it is joins and sums; no graph is gathered in one task.
+    Half of the nodes, by a hash, may move in a round and the other half in the next, and ties go to the smallest
+    community, so the result is the same on every run. It ends when both halves stood still, so that no node gains by a
+    move, or after ``rounds`` if given. All of it is joins and sums; no graph is gathered in one task.
     """
     both = stage(graph.select("x", "y", "w").unionAll(graph.select("y", "x", "w")), "moves-edges")
     degree = stage(both.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("k")), "moves-degree")
@@ -113,17 +116,19 @@ def communities(graph: DataFrame, rounds: int = 12) -> DataFrame:
     state = stage(degree.select("node", "k", F.col("node").alias("c")), "moves")
     if not m2:
         return state.select("node", F.col("c").alias("community"))
-    for i in range(rounds):
+    still = False
+    for i in count() if rounds is None else range(rounds):
         total = state.groupBy("c").agg(F.sum("k").alias("tot"))
         near = both.join(state.select(F.col("node").alias("y"), "c"), "y").groupBy(F.col("x").alias("node"), "c").agg(F.sum("w").alias("win"))
         own = state.select("node", "c").withColumn("win", F.lit(0.0))
         options = near.unionByName(own).groupBy("node", "c").agg(F.sum("win").alias("win")).join(total, "c").join(state.select("node", "k", F.col("c").alias("now")), "node")
         gain = F.col("win") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)) / m2
         best = options.withColumn("gain", F.round(gain, 9)).groupBy("node", "k", "now").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("best"), F.max("gain").alias("top"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("stay"))
-        moves = (F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0) & (F.col("top") > F.col("stay"))
+        moves = (F.pmod(F.xxhash64("node", F.lit(i // 2)), F.lit(2)) == i % 2) & (F.col("top") > F.col("stay"))
         new = stage(best.select("node", "k", F.when(moves, F.col("best")).otherwise(F.col("now")).alias("c"), moves.alias("moved")), "moves")
         state = new.select("node", "k", "c")
-        if i % 2 and new.where("moved").isEmpty():
+        before, still = still, new.where("moved").isEmpty()
+        if i % 2 and before and still:
             break
     names = state.groupBy("c").agg(F.min("node").alias("community"))
     return state.join(names, "c").select("node", "community")

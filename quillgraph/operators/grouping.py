@@ -1,7 +1,9 @@
-"""Welded units, average-linkage splits of bounded groups, coarse groups, context of a file."""
+"""Welded units, average-linkage splits of groups, context of a file."""
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,14 +23,14 @@ def script_links(files: DataFrame) -> DataFrame:
     return files.select("repo", F.col("path").alias("scene"), F.posexplode(each).alias("ord", "script"))
 
 
-def weld(links: DataFrame, cap: int = WELD_CAP, rounds: int = 20) -> DataFrame:
+def weld(links: DataFrame, cap: int = WELD_CAP, rounds: int | None = None) -> DataFrame:
     """(node, unit): connected nodes (a, b) as units named by their least node, cut into runs of at most ``cap``.
 
-    Least labels spread along links until nothing moves; larger units are cut in order of their nodes.
+    Least labels spread along links until nothing moves, or for ``rounds`` if given; larger units are cut in order of their nodes.
     """
     both = stage(links.select("a", "b").unionAll(links.select("b", "a")).distinct(), "weld")
     label = both.select(F.col("a").alias("node")).distinct().withColumn("unit", F.col("node"))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         near = both.join(label.select(F.col("node").alias("b"), "unit"), "b").groupBy(F.col("a").alias("node")).agg(F.min("unit").alias("via"))
         new = stage(label.join(near, "node", "left").select("node", F.least("unit", "via").alias("unit"), (F.col("via") < F.col("unit")).alias("moved")), "weld")
         label = new.select("node", "unit")

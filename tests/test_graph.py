@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from quillgraph.operators import coupling as C
@@ -132,3 +134,14 @@ def test_dead_rows_without_exemption(spark, data):
     every = {r["name"] for r in I.QUERIES["dead_rows_all"](spark, data).collect()}
     some = {r["name"] for r in I.QUERIES["dead_rows"](spark, data).collect()}
     assert some == {n for n in every if int(n[1:]) % 10}
+
+
+def test_communities_are_settled(spark):
+    rng = random.Random(3)
+    w = {(a, b): round(rng.random(), 3) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.12}
+    own = {r["node"]: r["community"] for r in C.communities(spark.createDataFrame([(a, b, x) for (a, b), x in w.items()], "x long, y long, w double")).collect()}
+    near = {n: [(b if a == n else a, x) for (a, b), x in w.items() if n in (a, b)] for n in own}
+    k = {n: sum(x for _, x in near[n]) for n in own}
+    for n in own:
+        gain = {c: sum(x for m, x in near[n] if own[m] == c) - k[n] * sum(k[m] for m in own if m != n and own[m] == c) / sum(k.values()) for c in {own[n], *(own[m] for m, _ in near[n])}}
+        assert gain[own[n]] >= max(gain.values()) - 1e-8

@@ -102,3 +102,8 @@ def test_linkage_of_large_groups(spark):
     small = {(r["id"], r["part"]) for r in U.split_groups(rows, 0.5).collect()}
     large = {(r["id"], r["part"]) for r in U.split_groups(rows, 0.5, most=20).collect()}
     assert small == large and len({p for _, p in large}) < 30
+
+
+def test_weld_of_a_long_chain(spark):
+    links = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(24)], "a string, b string")
+    assert {r["unit"] for r in U.weld(links, cap=50).collect()} == {"n00"}
