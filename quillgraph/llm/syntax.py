@@ -93,6 +93,9 @@ class Broken(Exception):
     """A text isn't of its language; the message says why."""
 
 
+_JS_REGEX = regex.compile(r"/(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*")
+
+
 def lex(lang: str, text: str) -> list[Token]:
     """Tokens without blanks and comments; raises ``Broken`` at an unterminated literal or comment."""
     spec, out, pos, line, first = LANGUAGES[lang], [], 0, 1, True
@@ -120,7 +123,7 @@ def lex(lang: str, text: str) -> list[Token]:
             raise Broken(f"unterminated literal at line {line}")
         elif kind != "ws":
             if lang in ("js", "ts") and value[0] == "/" and (not out or out[-1].kind in ("op", "open") or out[-1].text in ("return", "typeof", "case", "}")):
-                r = regex.match(r"/(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*", text[pos : pos + 5000])
+                r = _JS_REGEX.match(text, pos)
                 if r:
                     kind, value = "str", r.group()
             if lang == "c" and first and value[0] == "#" or lang == "cs" and first and value[0] == "#":
@@ -427,11 +430,48 @@ def _never(x):
     raise Broken(f"{x} is no JSON value")
 
 
+_JSON_LEX = regex.compile(r'(?P<str>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(?P<val>-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][-+]?[0-9]++)?|true|false|null)|(?P<mark>[\[\]{},:])|[ \t\n\r]++')
+
+
+def _deep_json(text: str) -> None:
+    """The grammar of JSON with a stack of its own, for values nested deeper than the parser goes."""
+    pos, open_, want = 0, [], "value"  # want: value, first (value or ]), key, first key (key or }), colon, next
+    while pos < len(text):
+        m = _JSON_LEX.match(text, pos)
+        if m is None:
+            raise Broken("no token of JSON")
+        pos, kind, t = m.end(), m.lastgroup, m.group()
+        if kind is None:
+            continue
+        if want in ("value", "first") and (kind in ("str", "val") or t in "[{"):
+            if kind == "mark":
+                open_.append(t)
+                want = "first" if t == "[" else "first key"
+            else:
+                want = "next"
+        elif want in ("key", "first key") and kind == "str":
+            want = "colon"
+        elif want == "colon" and t == ":":
+            want = "value"
+        elif want == "next" and t == "," and open_:
+            want = "value" if open_[-1] == "[" else "key"
+        elif open_ and (t == "]" and open_[-1] == "[" and want in ("first", "next") or t == "}" and open_[-1] == "{" and want in ("first key", "next")):
+            open_.pop()
+            want = "next"
+        else:
+            raise Broken("misplaced token of JSON")
+    if want != "next" or open_:
+        raise Broken("JSON ends early")
+
+
 def check(lang: str, text: str) -> str | None:
     """Why ``text`` isn't valid in ``lang``, or None."""
     try:
         if lang == "json":
-            json.loads(text, parse_constant=_never)
+            try:
+                json.loads(text, parse_constant=_never, parse_int=str)
+            except RecursionError:
+                _deep_json(text)
             return None
         if lang == "py":
             return _python(text)
@@ -451,7 +491,9 @@ def check(lang: str, text: str) -> str | None:
             _c_family(lang, text, tokens)
     except Broken as e:
         return str(e)
-    except (ValueError, RecursionError, MemoryError) as e:
+    except (RecursionError, MemoryError):
+        return None  # a limit of this judge, not of the text
+    except ValueError as e:
         return f"{type(e).__name__}: {str(e)[:80]}"
     return None
 
@@ -479,7 +521,11 @@ def _python(text: str) -> str | None:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text.lstrip("﻿"))
+    except (RecursionError, MemoryError):
+        return None  # nested deeper than the parser goes; lexer and stack found nothing
     except SyntaxError as e:
+        if "too many nested parentheses" in e.msg or "too many levels of indentation" in e.msg:
+            return None
         return f"SyntaxError: {e.msg}"
     return None
 

@@ -433,3 +433,15 @@ def test_held_out_accuracy(spark, data):
     got = label_paragraphs(d, "doc_id", "text", "lang").where(F.col("label").isin(*LANGUAGES))
     n, ok = got.agg(F.count("*"), F.count_if(F.col("label") == F.col("lang"))).first()
     assert ok / n > 0.8 and Counter(r["lang"] for r in got.collect()).keys() == set(LANGUAGES)
+
+
+def test_limits_of_parsers_are_no_errors():
+    for n in (10, 6000):
+        assert syntax.check("js", "const r = /" + "a'b[/\"]" * n + "/g;\nf(r);") is None
+    assert syntax.check("json", "[" + "7" * 5000 + "]") is None and syntax.check("json", "[0" + "7" * 5000 + "]")
+    n = 200_000
+    assert syntax.check("json", "[" * n + "]" * n) is None and syntax.check("json", '{"a": [1, {}, ' * n + "-1.5e3" + "]}" * n) is None
+    for bad in ("[" * n + "]" * (n - 1), "[" * n + ",]" + "]" * n, "[" * n + "01" + "]" * n, '{"a" ' * n + "1" + "}" * n):
+        assert syntax.check("json", bad)
+    assert syntax.check("py", "x = " + "(" * 150 + "1" + ")" * 150) is None and syntax.check("py", "x = " + "-" * 100_000 + "1") is None
+    assert syntax.check("py", "x = " + "(" * 1000 + "1" + ")" * 1000) is None and syntax.check("py", "x = " + "(" * 1000 + "1" + ")" * 999)
