@@ -98,7 +98,7 @@ def function_chunks(functions: DataFrame, cap: int = MONSTER) -> DataFrame:
 
 
 def file_docs(files: DataFrame, functions: DataFrame, symbols_cap: int = 1200, cap: int = 30_000, names: int = 400) -> DataFrame:
-    """(file_id, doc, n_symbols): head with path, class, symbols and imports, each list cut at its cap with the rest counted.
+    """(file_id, doc, n_symbols): head with path, class, symbols and imports; symbols are cut at their cap with the rest counted, imports at 400 characters without.
 
     Only the first ``names`` function names of a file can fit the cap; the count is of all.
     """
