@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.distinctive import term_scores, top_terms
 from quillgraph.llm.folding import fold_copies
-from quillgraph.llm.languages import document_labels, label_paragraphs, named_language
+from quillgraph.llm.languages import KernelModel, document_labels, label_paragraphs, named_language, train
 from quillgraph.llm.leakage import leaked_items
 from quillgraph.llm.neighbours import similar_vectors
 from quillgraph.llm.similar import SimilarSets, similar_sets
@@ -93,8 +93,15 @@ def p4_rates(s: SparkSession, d: str) -> DataFrame:
     return broken_rates(_t(s, d, "raw_sources"), "file_id", "text", "ext", "repo")
 
 
+_MODELS: dict[tuple[str, str], KernelModel] = {}
+
+
 def _p10(s: SparkSession, d: str) -> DataFrame:
-    return label_paragraphs(_t(s, d, "documents"), "doc_id", "text", "lang")
+    """The three queries over one folder share the model that the first of them trains in a session."""
+    docs, key = _t(s, d, "documents"), (s.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        _MODELS[key] = train(docs, "text", "lang")
+    return label_paragraphs(docs, "doc_id", "text", "lang", model=_MODELS[key])
 
 
 def p10_found(s: SparkSession, d: str) -> DataFrame:
