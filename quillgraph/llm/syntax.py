@@ -1,10 +1,12 @@
 """Problem 4: source files that do not parse, by lexers and a pushdown stack.
 
-Each language has a lexer for its comments, literals and names. A stack of open delimiters (and of
-block keywords where blocks have no braces) finds unbalanced and premature ends; the lexer finds
-unterminated literals; conflict markers count only outside literals and comments. Rules on the
-resulting tokens find what no statement of the language can hold: operands without an operator
-between them, block heads without their colon or body, statement heads of other languages.
+Each language has a lexer for its comments, literals and names; one pass reads a text, pushes and
+pops its delimiters (and block keywords where blocks have no braces) and notes conflict markers that
+stand outside literals and comments. That finds unterminated literals, unbalanced delimiters and
+premature ends. A wrong extension shows in what the pass leaves behind: every kind of token is one
+character of a signature, and patterns over the signature find what the grammar of the language
+can't hold (two operands side by side, a control word without its head); lines at statement level
+are held against shapes of statements, of which each language allows its own.
 Python texts that pass are handed to the interpreter's own parser, JSON texts to a strict reader.
 
 The job is one map over the rows; a final distinct over the flagged ids removes redelivered rows.
@@ -14,423 +16,551 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_DQ, _SQ = r'"(?:[^"\\\n]|\\.|\\\n)*"', r"'(?:[^'\\\n]|\\.|\\\n)*'"
+_DQ, _SQ = r'"(?:[^"\\\n]|\\.)*"', r"'(?:[^'\\\n]|\\.)*'"
 _CHAR = r"'(?:[^'\\\n]|\\(?:u\{?[0-9a-fA-F]+\}?|x[0-9a-fA-F]+|[0-7]+|.))'"
-_NUM = r"(?:0[xXbBoO][0-9a-fA-F_]+|\d[\d_]*(?:\.(?!\.)[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)\w*"
-_NAME = r"[\p{L}_$][\p{L}\p{N}\p{M}_$]*"
+_NUM = r"(?:0[xXbBoO][0-9a-fA-F_']+|\d[\d_]*(?:\.(?!\.)[\d_]*)?(?:[eEpP][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)\w*"
+# A name goes on with any character beyond ASCII, as combining marks belong to names.
+_NAME = r"(?:[^\W\d]|\$)(?:\w|\$|[^\x00-\x7f\s])*"
 _CLOSES = {")": "(", "]": "[", "}": "{"}
+_OPS = r"===|!==|<<=|>>=|\*\*=|\.\.\.|\.\.=|->|=>|::|:=|\?\?|\?\.|&&|\|\||\+\+|--|<=|>=|==|!=|~=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|//|<<|\*\*|\.\.|[^\s\w]"
+
+
+def _words(s: str) -> frozenset[str]:
+    return frozenset(s.split())
+
+
+#: Shapes of whole statements, at the start of a line outside brackets and literals. Each language names those it has.
+SHAPES = {
+    "py_def": r"(?:async\s+)?def\s+\w+\s*\(",
+    "py_import": r"from\s+[\w.]+\s+import\b",
+    "colon_block": r"(?:if|elif|else|for|while|try|except|finally|with|match)\b(?!<)[^;{}?]*:\s*$",
+    "es_import": r"import\s+(?:type\s+)?(?:[\w$]+\s*,?\s*)?(?:\{[^}\n]*\}|\*\s+as\s+[\w$]+)?\s*from\s*[\"']|import\s*\{|import\s*[\"'][^\"'\n]*[\"']\s*;",
+    "es_export": r"export\s+(?:default|function|class|const|let|async|interface|type|enum|abstract|declare|\{|\*)",
+    "function": r"(?:async\s+)?function\b\s*\*?\s*&?\s*[\w$.:]+\s*\(",
+    "lua_local": r"local\s+(?:function\s+)?[A-Za-z_]\w*(?:\s*[,=<(]|\s*$)",
+    "end": r"end\b\s*[,;)]*\s*$",
+    "gd_func": r"(?:static\s+)?func\s+\w+\s*\([^{}]*:\s*$",
+    "extends": r"extends\s+[\w\".]+\s*$",
+    "gd_head": r"class_name\s+\w+\s*$|@(?:export|onready)\b|signal\s+\w+\s*(?:\(.*\))?\s*$",
+    "gd_var": r"var\s+\w+\s*(?::\s*[\w.]+\s*=\s|:=)",
+    "es_var": r"var\s+[\w$]+\s*=\s",
+    "go_var": r"var\s+\w+\s+(?:[\w.*\[\]]+\s*$|[\w.*\[\]]+\s*=[^=])|var\s*\(\s*$",
+    "go_func": r"func\s+(?:\([^)]*\)\s*)?\w+(?:\[[^\]]*\])?\s*\([^{}:]*\)[^{}:]*\{?\s*$",
+    "go_package": r"package\s+\w+\s*$",
+    "java_package": r"package\s+[\w.]+\s*;",
+    "go_assign": r"[\w.]+(?:\s*,\s*\w+)*\s*:=\s",
+    "rs_fn": r"(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s*\"[^\"]*\")?)\s+)*fn\s+\w+",
+    "let": r"let\s+(?:mut\s+)?[\w$({\[]",
+    "rs_use": r"(?:pub\s+)?use\s+[\w]+(?:::[\w{}*, :]+)*\s*;|(?:pub\s+)?mod\s+\w+\s*[;{]|impl(?:<[^>]*>)?\s+[\w<>:, ]+\{",
+    "php_use": r"use\s+(?:function\s+|const\s+)?\\?\w+(?:\\\w+)*(?:\s+as\s+\w+)?\s*;",
+    "include": r"#\s*(?:include|define|ifdef|ifndef|undef)\b",
+    "php_open": r"<\?(?:php\b|=)",
+    "php_var": r"\$\w+\s*(?:=[^=]|->|\[|\+=|\.=)",
+    "cs_using": r"(?:global\s+)?using\s+(?:static\s+)?[\w.]+(?:\s*=\s*[\w.<>]+)?\s*;",
+    "java_import": r"import\s+(?:static\s+)?[\w]+(?:\.[\w*]+)+\s*;",
+    "go_import": r"import\s+(?:[\w.]+\s+)?\"[^\"\n]*\"\s*$|import\s*\(\s*$",
+    "namespace": r"namespace\s+[\w.\\]+\s*[;{]?\s*$",
+    "class": r"(?:(?:public|private|protected|internal|abstract|final|static|sealed|partial)\s+)*class\s+\w+(?:[^=\n]*\{|\s*$|\s+(?:extends|implements)\b|\s*:\s*\w)",
+    "method": r"(?:public|private|protected|internal)\s+(?:(?:static|final|abstract|override|virtual|async|readonly|const|sealed)\s+)*[\w<>\[\],.?]+\s+\w+\s*(?:\(|=[^=]|;)",
+    "typed_function": r"(?:static\s+)?(?:void|int|char|long|float|double|bool|boolean|string|String)\s*\**\s+\**\w+\s*\([^;{}=]*\)\s*\{\s*$",
+    "typed_var": r"(?:int|char|long|float|double|bool|boolean|string|String)\s+\**\w+\s*=[^=]",
+    "const": r"const\s+[\w$]+\s*=[^=]",
+    "head_for": r"for\s*\(\s*(?:let|const|var|int|local|auto|long|char|String|string)\b",
+    "head_each": r"foreach\s*\(",
+    "while": r"while\s*\(?[\w!]",
+    "try": r"try\s*\{",
+    "throw_new": r"throw\s+new\b",
+    "gd_elif": r"(?:elif|elseif)\b",
+    "then": r"if\b.*\bthen\s*$|for\b.*\bdo\s*$",
+    "markup": r"<(?:!DOCTYPE|!doctype|\?xml|!--|html\b)",
+    "require": r"(?:var|const|let)\s+[\w${}, ]+\s*=\s*require\s*\(",
+}
 
 
 @dataclass
 class Language:
-    """Lexical rules of one language and the shapes its statements can't have."""
+    """Lexical rules of one language, its words, and the statement shapes it has."""
 
     comments: str
     strings: str
     keywords: frozenset[str]
-    typed: bool = True  # may two names follow each other
+    shapes: frozenset[str]
+    adjacent: str = ""  # pattern over the signature of tokens that can't follow each other on a line
+    heads: frozenset[str] = frozenset()  # words that a "(" follows
     semicolons: bool = False
-    own: str = r"(?!)"  # what only this language's files begin a line with
-    braces: bool = True
-    foreign: str = r"(?!)"
-    lexer: regex.Pattern = field(init=False)
+    find: re.Pattern = field(init=False)
+    foreign: re.Pattern = field(init=False)
+    apart: re.Pattern | None = field(init=False)
 
     def __post_init__(self):
-        self.lexer = regex.compile(
-            rf"(?P<nl>\r\n|\n|\r)|(?P<ws>[^\S\r\n]+|\\(?:\r\n|\n)|﻿)|(?P<com>{self.comments})|(?P<str>{self.strings})|(?P<bad>/\*|[\"'`])|(?P<num>{_NUM})|(?P<name>[@#]?{_NAME})|(?P<open>[(\[{{])|(?P<close>[)\]}}])"
-            r"|(?P<op>===|!==|<<=|>>=|\*\*=|\.\.\.|\.\.=|->|=>|::|:=|\?\?|\?\.|&&|\|\||\+\+|--|<=|>=|==|!=|~=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|//|<<|\*\*|\.\.|[^\s\w])",
-            regex.S | regex.V1,
+        self.find = re.compile(
+            rf"[^\S\n]*(?:(?P<com>{self.comments})|(?P<str>{self.strings})|(?P<bad>/\*|[\"'`])|(?P<name>[@#]?{_NAME})|(?P<num>{_NUM})|(?P<nl>\n\s*|\\\n)|(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<op>{_OPS})|(?P<rest>\s+|.))",
+            re.S,
         )
-
-
-def _words(s: str) -> frozenset[str]:
-    return frozenset(s.split())
+        self.foreign = re.compile("|".join(f"(?:{p})" for n, p in SHAPES.items() if n not in self.shapes))
+        self.apart = re.compile(self.adjacent) if self.adjacent else None
 
 
 _C_COM = r"//(?:\\\n|[^\n])*|/\*.*?\*/"
-_TPL = r"(?P<tpl>`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?P<br>(?:[^{}`\"']|" + _DQ + "|" + _SQ + r"|\{(?&br)\}|(?&tpl))*)\})*`)"
 _NAME_ = r"[A-Za-z_]\w*"
 # Keywords of the languages, as far as the rules below need them.
-_JS_KW = _words("await break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new of return static super switch this throw try typeof var void while with yield async get set from as")
-_TS_KW = _JS_KW | _words("abstract any as asserts declare enum implements infer interface is keyof module namespace never number object private protected public readonly string boolean type unknown satisfies override accessor global unique")
+_JS_KW = _words("await break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new of return static super switch this throw try typeof var void while with yield async get set from as true false null undefined using")
+_TS_KW = _JS_KW | _words("abstract any as asserts declare enum implements infer interface is keyof module namespace never number object private protected public readonly string boolean type unknown satisfies override accessor global unique out symbol bigint")
+_ES_SHAPES = _words("extends end es_import es_export function es_var let const class head_for while try throw_new require php_var")
 LANGUAGES: dict[str, Language] = {
-    "js": Language(_C_COM, f"{_DQ}|{_SQ}|{_TPL}", _JS_KW, typed=False, foreign=r"#(?!!)\s*\w+|<\?|<!|[a-z]\w*\s*:=|(?:public|private|protected|package|namespace|using|interface|enum|type|abstract|declare)\s+[\w.]+|fn\s|func\s|def\s|local\s|struct\s|use\s|impl\s|mod\s|\$\w+\s*=|end\b\s*$|foreach\s*\("),
-    "ts": Language(_C_COM, f"{_DQ}|{_SQ}|{_TPL}", _TS_KW, typed=False, foreign=r"#(?!!)\s*\w+|<\?|<!|[a-z]\w*\s*:=|(?:package|using)\s+[\w.]+|fn\s|func\s|def\s|local\s|struct\s|use\s|impl\s|mod\s|\$\w+\s*=|end\b\s*$|foreach\s*\("),
-    "go": Language(_C_COM, rf"{_DQ}|`[^`]*`|{_CHAR}", _words("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var"), foreign=r"#|<\?|<!|(?:public|private|class|namespace|using|from|export|function|def|fn|let|local|use|impl|mod|pub|while|struct|extends|foreach|try|throw|new)\b|import\s*\{|const\s+\w+\s*=\s*\w+\(|\$\w+|end\b\s*$|(?:if|for|while)\s*\(.*\)\s*$"),
-    "rs": Language(r"//[^\n]*|(?P<rbc>/\*(?:[^*/]|\*(?!/)|/(?!\*)|(?&rbc))*\*/)", rf"b?r(?P<rh>#*)\".*?\"(?P=rh)|b?\"(?:[^\"\\]|\\.)*\"|b?{_CHAR}|'{_NAME_}\b(?!')", _words("as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while"), foreign=r"#(?!!?\[)|<\?|<!|(?:public|private|class|namespace|using|from|export|function|def|func|var|local|package|import|interface|foreach|try|throw|new|switch|int|void|extends|class_name)\b(?!\s*[!.(=:,])|const\s+\w+\s*=|[a-z]\w*\s*:=|\$\w+|end\b\s*$|(?:for|if)\s*\((?:const|let|int|var)\b"),
-    "java": Language(_C_COM, rf'"""(?:[^"\\]|\\.|"(?!""))*"""|{_DQ}|{_CHAR}', _words("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while var record sealed permits yield non"), semicolons=True, foreign=r"#|<\?|<!|(?:namespace|using|from|export|function|def|func|fn|let|local|struct|use|impl|mod|pub|foreach|const|elif|elseif|class_name|extends)\b(?!\s*[.(=])|import\s*[{\"]|[a-z]\w*\s*:=|\$\w+\s*=|end\b\s*$|type\s+\w+\s*="),
-    "c": Language(_C_COM, rf"(?:u8|[uUL])?{_DQ}|[uUL]?'(?:[^'\\\n]|\\.)+'", _words("auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while"), semicolons=True, foreign=r"<\?|<!|(?:namespace|using|from|export|function|def|func|fn|let|local|use|impl|mod|pub|foreach|import|package|public|private|class|var|elif|elseif|class_name|extends|interface)\b(?!\s*[.(=,;\[)-])|const\s+\w+\s*=|[a-z]\w*\s*:=|\$\w+|end\b\s*$"),
-    "cs": Language(_C_COM, r'\$*"{3,}(?:.*?)"{3,}|(?:@\$?|\$@)"(?:[^"]|"")*"|\$?' + _DQ + "|" + _CHAR, _words("abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw try typeof uint ulong unchecked unsafe ushort using var virtual void volatile while async await get set init record where yield partial dynamic when"), semicolons=True, foreign=r"#\s*(?:include|define\s+\w+\s+\S|ifdef|ifndef|!)|<\?|<!|(?:from|export|function|def|func|fn|let|local|use|impl|mod|pub|import|package|elif|elseif|class_name|extends)\b(?!\s*[.(=])|const\s+\w+\s*=|[a-z]\w*\s*:=|\$\w+\s*=|end\b\s*$"),
-    "php": Language(r"//[^\n]*?(?=\?>|\n|\Z)|#(?!\[)[^\n]*?(?=\?>|\n|\Z)|/\*.*?\*/", r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|<<<[ \t]*(?P<hq>[\"']?)(?P<hd>\w+)(?P=hq)\r?\n(?:.*?\n)??[ \t]*(?P=hd)\b", _words("abstract and array as break callable case catch class clone const continue declare default do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile enum extends final finally fn for foreach function global goto if implements include include_once instanceof insteadof interface isset list match namespace new or print private protected public readonly require require_once return static switch throw trait try unset use var while xor yield from"), semicolons=True, foreign=r"(?:import|package|def|func|let|local|struct|impl|mod|pub|using)\s+[\w.{\"]+|const\s+\w+\s*=\s*\w+\(|[a-z]\w*\s*:=|end\b\s*$"),
-    "lua": Language(r"--\[(?P<lc>=*)\[.*?\](?P=lc)\]|--(?!\[=*\[)[^\n]*|\A#[^\n]*", rf"{_DQ}|{_SQ}|\[(?P<ls>=*)\[.*?\](?P=ls)\]", _words("and break do else elseif end false for function goto if in local nil not or repeat return then true until while"), typed=False, foreign=r"#|<\?|<!|(?:const|let|var|import|from|export|class|def|func|fn|package|public|private|struct|use|impl|mod|pub|namespace|using|extends|class_name|elif|foreach)\b(?!\s*[.(=,:\[\"'{])|[{}]\s*$(?<!\}\s*)|\$\w+|\w+\s*:="),
-    "gd": Language(r"#[^\n]*", rf'&?"""(?:[^\\]|\\.)*?"""|&?\'\'\'(?:[^\\]|\\.)*?\'\'\'|[&^$%r]?(?:{_DQ}|{_SQ})|[$%](?:{_NAME_}|%)(?:/%?{_NAME_})*', _words("and as assert await break breakpoint class class_name const continue elif else enum export extends for func if in is master match mastersync not null onready or pass preload puppet puppetsync remote remotesync return self set get setget signal static super tool true false var void when while yield namespace trait"), typed=False, braces=False, foreign=r"<\?|<!|(?:import|from|def|function|fn|let|local|package|public|private|struct|use|impl|mod|pub|using|export\s+(?:default|function|class|const)|interface|namespace|foreach|try|except|with|raise|global|lambda|switch|new)\b(?!\s*[.(=,:\[+*-])|\}\s*$(?<=^\}\s*$)|\$\w+\s*=\s|end\b\s*$"),
+    "js": Language(_C_COM, f"{_DQ}|{_SQ}", _JS_KW, _ES_SHAPES, "[n0s][n0s]|[0s]t", _words("if while for switch with")),
+    "ts": Language(_C_COM, f"{_DQ}|{_SQ}", _TS_KW, _ES_SHAPES | _words("namespace method gd_var"), "[n0s][n0s]|[0s]t", _words("if while for switch with")),
+    "go": Language(_C_COM, rf"{_DQ}|`[^`]*`|{_CHAR}", _words("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var nil true false"), _words("go_func go_package go_assign go_import go_var es_var const"), "0[0sn]"),
+    "rs": Language(r"//[^\n]*", rf"[bc]?r(?P<rh>#*)\".*?\"(?P=rh)|[bc]?\"(?:[^\"\\]|\\.)*\"|b?{_CHAR}|'{_NAME_}\b(?!')", _words("as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while"), _words("rs_fn let rs_use while php_var php_use const end")),
+    "java": Language(_C_COM, rf'"""(?:[^"\\]|\\.|"(?!""))*"""|{_DQ}|{_CHAR}', _words("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while var record sealed permits yield non when null true false module requires exports opens provides uses with to"), _words("extends end java_package java_import class method typed_function typed_var es_var head_for while try throw_new"), "[0s][0sn]", _words("if while for switch"), True),
+    "c": Language(_C_COM, rf"(?:u8|[uUL])?{_DQ}|[uUL]?'(?:[^'\\\n]|\\.)+'", _words("auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while"), _words("end include typed_function typed_var head_for while"), "", _words("if while for switch"), True),
+    "cs": Language(_C_COM, r'\$*(?P<q3>"{3,}).*?(?P=q3)|(?:@\$?|\$@)"(?:[^"]|"")*"|\$"(?:[^"\\{\n]|\\.|\{\{|\{[^{}"\n]*(?:"[^"\n]*"[^{}"\n]*)*\})*"|' + _DQ + "|" + _CHAR, _words("abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw try typeof uint ulong unchecked unsafe ushort using var virtual void volatile while async await get set init record where yield partial dynamic when and or not from select group by into orderby join let on equals ascending descending true false with required file scoped global"), _words("end cs_using namespace class method typed_function typed_var es_var head_for head_each while try throw_new py_import let"), "[0s][0sn]", _words("if while for foreach switch lock"), True),
+    "php": Language(r"//[^\n]*?(?=\?>|\n|\Z)|#(?!\[)[^\n]*?(?=\?>|\n|\Z)|/\*.*?\*/", r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|<<<[ \t]*(?P<hq>[\"']?)(?P<hd>\w+)(?P=hq)\n(?:.*?\n)??[ \t]*(?P=hd)\b", _words("abstract and array as break callable case catch class clone const continue declare default do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile enum extends final finally fn for foreach function global goto if implements include include_once instanceof insteadof interface isset list match namespace new or print private protected public readonly require require_once return static switch throw trait try unset use var while xor yield from"), _words("extends markup rs_use function php_use php_open php_var namespace class method const head_for head_each while try throw_new gd_elif colon_block"), "[0s][0sn]", _words("if while for foreach switch elseif"), True),
+    "lua": Language(r"--\[(?P<lc>=*)\[.*?\](?P=lc)\]|--(?!\[=*\[)[^\n]*", rf"\"(?:[^\"\\\n]|\\(?:z\s+|.))*\"|'(?:[^'\\\n]|\\(?:z\s+|.))*'|\[(?P<ls>=*)\[.*?\](?P=ls)\]", _words("and break do else elseif end false for function goto if in local nil not or repeat return then true until while"), _words("function lua_local end then while gd_elif"), "[n0][n0]|s[n0s]|0s|\\}n"),
+    "gd": Language(r"#[^\n]*", rf'&?"""(?:[^\\]|\\.)*?"""|&?\'\'\'(?:[^\\]|\\.)*?\'\'\'|[&^$%r]?(?:"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\')|[$%](?:{_NAME_}|%)(?:/%?{_NAME_})*', _words("and as assert await break breakpoint class class_name const continue elif else enum export extends for func if in is master match mastersync not null onready or pass preload puppet puppetsync remote remotesync return self set get setget signal static super tool true false var void when while yield namespace trait abstract"), _words("extends gd_func gd_head gd_var es_var const colon_block gd_elif while class let php_var"), "[n0s][n0s]"),
 }
 EXTENSIONS = {".js": "js", ".mjs": "js", ".ts": "ts", ".tsx": "ts", ".go": "go", ".rs": "rs", ".java": "java", ".c": "c", ".cs": "cs", ".php": "php", ".lua": "lua", ".gd": "gd", ".py": "py", ".json": "json"}
-_CONFLICT = regex.compile(r"^(?:<{7}|\|{7}|>{7})(?:[ \t].*)?$|^={7}$")
-
-
-@dataclass(slots=True)
-class Token:
-    kind: str
-    text: str
-    first: bool  # of its line
-    at: int
-    line: int
-    depth: int = 0
-    top: str = ""
+_CONFLICT = re.compile(r"^(?:(?:<{7}|\|{7}|>{7})(?:[ \t][^\n]*)?|={7})$", re.M)
 
 
 class Broken(Exception):
     """A text isn't of its language; the message says why."""
 
 
-_JS_REGEX = regex.compile(r"/(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*")
+class Tokens:
+    """Tokens without blanks and comments, column by column; ``top`` is the innermost open delimiter."""
 
+    __slots__ = ("kind", "text", "first", "end", "depth", "top", "source")
 
-def lex(lang: str, text: str) -> list[Token]:
-    """Tokens without blanks and comments; raises ``Broken`` at an unterminated literal or comment."""
-    spec, out, pos, line, first = LANGUAGES[lang], [], 0, 1, True
-    match = spec.lexer.match
-    while pos < len(text):
-        m = match(text, pos)
-        if m is None:
-            raise Broken(f"no token at line {line}")
-        kind, value = m.lastgroup, m.group()
-        for kind in ("nl", "ws", "com", "str", "bad", "num", "name", "open", "close", "op"):
-            if m.group(kind) is not None:
-                break
-        if first and kind != "nl" and value[0] in "<=>|":
-            end = text.find("\n", pos)
-            whole = text[pos : end if end >= 0 else len(text)].rstrip("\r")
-            if (pos == 0 or text[pos - 1] == "\n") and _CONFLICT.match(whole):
-                raise Broken(f"conflict marker at line {line}")
-        if kind == "nl":
-            first, line = True, line + 1
-        elif kind == "com":
-            line += value.count("\n")
-            if value.endswith("\n"):
-                first = True
-        elif kind == "bad":
-            raise Broken(f"unterminated literal at line {line}")
-        elif kind != "ws":
-            if lang in ("js", "ts") and value[0] == "/" and (not out or out[-1].kind in ("op", "open") or out[-1].text in ("return", "typeof", "case", "}")):
-                r = _JS_REGEX.match(text, pos)
-                if r:
-                    kind, value = "str", r.group()
-            if lang == "c" and first and value[0] == "#" or lang == "cs" and first and value[0] == "#":
-                end = pos
+    def __init__(self, source: str):
+        self.source = source
+        self.kind: list[str] = []
+        self.text: list[str] = []
+        self.first: list[bool] = []
+        self.end: list[int] = []
+        self.depth: list[int] = []
+        self.top: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.kind)
+
+    def line(self, k: int) -> int:
+        return self.source.count("\n", 0, self.end[k] - len(self.text[k])) + 1
+
+
+_JS_REGEX = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
+_TPL = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
+_IN_TPL = re.compile(rf"(?:[^{{}}`\"'/]|(?<=[(,=:!&|?;{{\[])/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*|//[^\n]*|/\*.*?\*/|/|{_DQ}|{_SQ})*", re.S)
+_DIRECTIVE = re.compile(r"#\s*(\w*)")
+_RS_COM = re.compile(r"/\*|\*/")
+_PHP_OPEN = re.compile(r"<\?(?:php\b|=)")
+#: Tokens after which a slash starts a regular expression.
+_BEFORE_REGEX = _words("return typeof case in of delete void throw new do else instanceof yield await }")
+
+
+def _template_end(text: str, at: int) -> int:
+    """Where the template literal that starts at ``at`` ends; -1 if it doesn't. A stack holds templates and braces."""
+    stack, pos = ["`"], at + 1
+    while True:
+        pos = (_TPL if stack[-1] == "`" else _IN_TPL).match(text, pos).end()
+        if pos >= len(text):
+            return -1
+        c = text[pos]
+        if stack[-1] == "`":
+            pos += 1 if c == "`" else 2
+            if c != "`":
+                stack.append("{")
+            else:
+                stack.pop()
+        elif c in "\"'":
+            return -1
+        else:
+            pos += 1
+            if c == "}":
+                stack.pop()
+            else:
+                stack.append(c)
+        if not stack:
+            return pos
+
+
+def _comment_end(text: str, at: int) -> int:
+    """Where the nested comment that starts at ``at`` ends; -1 if it doesn't."""
+    depth = 0
+    for m in _RS_COM.finditer(text, at):
+        depth += 1 if m.group() == "/*" else -1
+        if depth == 0:
+            return m.end()
+    return -1
+
+
+def lex(lang: str, text: str) -> Tokens:
+    """Read ``text`` (line ends are ``\\n``) and push and pop its delimiters; raises ``Broken`` at the first fault."""
+    spec, out, pos, first = LANGUAGES[lang], Tokens(text), 0, True
+    find, keywords = spec.find.finditer, spec.keywords
+    kinds, texts, firsts, ends, depths, tops = out.kind, out.text, out.first, out.end, out.depth, out.top
+    marks = {m.start() for m in _CONFLICT.finditer(text)} if "<<<<<<<" in text or "=======" in text or ">>>>>>>" in text or "|||||||" in text else ()
+    es, directives = lang in ("js", "ts"), lang in ("c", "cs")
+    stack: list[str] = []
+    branches: list[tuple[list[str], list[str] | None]] = []
+    heads: list[bool] = []
+    top, headed = "", False  # whether the last parenthesis closed the head of a control statement
+    if lang in ("js", "ts", "rs", "lua", "gd") and text.startswith("#!") and not (lang == "rs" and text.startswith("#![")):
+        pos = text.find("\n")
+        if pos < 0:
+            return out
+    if lang == "php":
+        m = _PHP_OPEN.search(text)
+        pos = m.end() if m else len(text)
+
+    def fault(what: str, at: int) -> Broken:
+        return Broken(f"{what} at line {text.count(chr(10), 0, at) + 1}")
+
+    while True:
+        again = False
+        for m in find(text, pos):
+            kind = m.lastgroup
+            value = m.group(kind)
+            if kind == "nl":
+                first = first or value[0] == "\n"
+                continue
+            if marks and first and m.start(kind) in marks:
+                raise fault("conflict marker", m.start(kind))
+            if kind == "com":
+                continue
+            if directives and first and value[0] == "#":
+                at = end = m.start(kind)
                 while True:  # a directive with its continued lines
                     end = text.find("\n", end)
                     if end < 0:
                         end = len(text)
                         break
-                    if text[end - 1] != "\\" and text[end - 2 : end] != "\\\r":
+                    if text[end - 1] != "\\":
                         break
                     end += 1
-                line += text.count("\n", pos, end)
-                out.append(Token("dir", text[pos:end], True, pos, line))
-                pos, first = end, False
+                word = _DIRECTIVE.match(text, at).group(1)
+                if word.startswith("if"):
+                    branches.append((stack[:], None))
+                elif word.startswith("el") and branches:  # each branch starts where the first did
+                    base, done = branches.pop()
+                    branches.append((base, stack if done is None else done))
+                    stack = base[:]
+                elif word == "endif" and branches:
+                    stack = branches.pop()[1] or stack
+                top = stack[-1] if stack else ""
+                kinds.append("d"), texts.append(text[at:end]), firsts.append(True), ends.append(end), depths.append(len(stack)), tops.append(top)
+                first, pos, again = False, end, True
+                break
+            if kind == "name":
+                kind = "k" if value in keywords else "n"
+            elif kind == "op":
+                if value == "/" or value == "/=":
+                    if es and (not kinds or kinds[-1] in "o([{" and texts[-1] not in ("++", "--") or texts[-1] in _BEFORE_REGEX or kinds[-1] == ")" and headed):
+                        r = _JS_REGEX.match(text, m.start(kind))
+                        if r:
+                            kinds.append("s"), texts.append(r.group()), firsts.append(first), ends.append(r.end()), depths.append(len(stack)), tops.append(top)
+                            first, pos, again = False, r.end(), True
+                            break
+                elif value == "?" and lang == "php" and text.startswith(">", m.end()):
+                    n = _PHP_OPEN.search(text, m.end())
+                    kinds.append("o"), texts.append(";"), firsts.append(first), ends.append(m.end()), depths.append(len(stack)), tops.append(top)
+                    first, pos, again = True, n.end() if n else len(text), True
+                    break
+                kind = "o"
+            elif kind == "open":
+                kinds.append(value), texts.append(value), firsts.append(first), ends.append(m.end()), depths.append(len(stack)), tops.append(top)
+                if es:
+                    heads.append(value == "(" and len(texts) > 1 and texts[-2] in spec.heads)
+                stack.append(value)
+                top, first = value, False
+                continue
+            elif kind == "close":
+                if not stack or stack.pop() != _CLOSES[value]:
+                    raise fault(f"unbalanced {value}", m.start(kind))
+                top = stack[-1] if stack else ""
+                kind = value
+                if es:
+                    headed = heads.pop()
+            elif kind == "str":
+                kind = "s"
+            elif kind == "num":
+                kind = "0"
+            elif kind == "bad":
+                at = m.start(kind)
+                if value == "`" and es:
+                    end = _template_end(text, at)
+                elif value == "/*" and lang == "rs":
+                    end = _comment_end(text, at)
+                else:
+                    end = -1
+                if end < 0:
+                    raise fault("unterminated literal", at)
+                if value == "`":
+                    kinds.append("t"), texts.append(text[at:end]), firsts.append(first), ends.append(end), depths.append(len(stack)), tops.append(top)
+                    first = False
+                pos, again = end, True
+                break
+            elif value.isspace() or value == "\ufeff":
                 continue
-            out.append(Token(kind, value, first, pos, line))
+            else:
+                kind = "o"
+            kinds.append(kind)
+            texts.append(value)
+            firsts.append(first)
+            ends.append(m.end())
+            depths.append(len(stack))
+            tops.append(top)
             first = False
-            line += value.count("\n")
-            pos += len(value)
-            continue
-        pos += len(value)
+        if not again:
+            break
+    if stack:
+        raise Broken("premature end: open " + " ".join(stack))
     return out
 
 
-def balance(tokens: list[Token]) -> None:
-    """Push and pop delimiters; notes the depth and the innermost open delimiter of each token."""
-    stack: list[str] = []
-    for t in tokens:
-        t.depth, t.top = len(stack), stack[-1] if stack else ""
-        if t.kind == "open":
-            stack.append(t.text)
-        elif t.kind == "close":
-            if not stack or stack.pop() != _CLOSES[t.text]:
-                raise Broken(f"unbalanced {t.text} at line {t.line}")
-            t.depth, t.top = len(stack), stack[-1] if stack else ""
-    if stack:
-        raise Broken("premature end: open " + " ".join(stack))
+def _statements(t: Tokens) -> Iterator[tuple[int, str]]:
+    """(token, rest of the line) of each line that starts at statement level."""
+    for k, first in enumerate(t.first):
+        if first and t.top[k] not in ("(", "[") and t.kind[k] not in "s0t":
+            at = t.end[k] - len(t.text[k])
+            end = t.source.find("\n", at)
+            yield k, t.source[at : end if end >= 0 else len(t.source)].rstrip()
 
 
-def _lines(tokens: list[Token]) -> list[list[Token]]:
-    out: list[list[Token]] = []
-    for t in tokens:
-        if t.first or not out:
-            out.append([])
-        out[-1].append(t)
-    return out
+def _foreign(lang: str, t: Tokens) -> None:
+    match = LANGUAGES[lang].foreign.match
+    macros = lang == "rs" and "macro_rules!" in t.source
+    for k, said in _statements(t):
+        if match(said) and not (t.kind[k] == "d" and lang == "c") and not macros:
+            if t.kind[k] == "d" and not re.match(r"#\s*include\b", said):
+                continue
+            raise Broken(f"a statement of another language at line {t.line(k)}")
 
 
-def _operand(t: Token, kw: frozenset[str]) -> bool:
-    return t.kind in ("num", "str") or t.kind == "name" and t.text not in kw
+def _adjacent(lang: str, t: Tokens) -> None:
+    """No two operands side by side on one line, as far as the language never has them so."""
+    apart = LANGUAGES[lang].apart
+    if apart is None or lang in ("js", "ts") and ("</" in t.source or "/>" in t.source) and _ELEMENT.search(t.source):
+        return  # attributes of elements stand side by side
+    signature = "".join("\n" + k if f else k for k, f in zip(t.kind, t.first))
+    m = apart.search(signature)
+    if m:
+        raise Broken(f"operands without an operator at line {t.line(m.start() - signature.count(chr(10), 0, m.start() + 1))}")
 
 
-_PREFIX_OPS = _words("= + - * / % & | ^ < > => , . == === != !== <= >= && || ?? ?. += -= *= /= := -> :: .. ** <<")
+#: Words after which a text can end.
+_LAST = _words("this super self Self true false null nil int get set any string number boolean object return break continue from as of type undefined default bigint symbol unknown never void char long double float short byte async module global unique override abstract declare readonly file required out is in to with uses on by debugger yield")
 
 
-def _c_family(lang: str, text: str, tokens: list[Token]) -> None:
-    spec = LANGUAGES[lang]
-    if not tokens:
+def _c_family(lang: str, t: Tokens) -> None:
+    spec, n = LANGUAGES[lang], len(t)
+    if not n:
         return
-    last = tokens[-1]
-    if last.kind == "op" and last.text not in (";", "?>", "++", "--", "?", ">", "!", "*") or last.kind == "name" and last.text in spec.keywords - _words("this super self Self true false null int get set any string number boolean object return break continue from as of type"):
+    last, kind = t.text[-1], t.kind[-1]
+    if kind == "o" and last not in (";", "?>", "++", "--", "?", ">", "!", "*", ",") or kind == "k" and last in spec.keywords - _LAST:
         raise Broken("premature end")
-    if spec.semicolons and last.kind not in ("dir", "close") and last.text not in (";", ">"):
+    if spec.semicolons and kind not in "d}" and last not in (";", ">", ",") and not (lang == "c" and (kind == ")" or last.isupper())):
         raise Broken("premature end: no semicolon")
-    control = {"js": "if while for switch with catch", "ts": "if while for switch with catch", "java": "if while for switch catch synchronized", "c": "if while for switch", "cs": "if while for foreach switch lock", "php": "if while for foreach switch elseif catch"}.get(lang, "")
-    heads = _words(control)
-    for k, t in enumerate(tokens[:-1]):
-        nxt, prev = tokens[k + 1], tokens[k - 1] if k else None
-        member = prev is not None and prev.text in (".", "->", "?.", "::", "function", "?->")
-        if t.kind == "name" and t.text in heads and not member and nxt.text not in ("(", ":", "=", ",", "}", ";", "?", "await", ")", "when"):
-            if not (t.text == "for" and lang in ("c",)) and nxt.text != "{" or t.text not in ("catch",):
-                raise Broken(f"{t.text} without ( at line {t.line}")
-        if t.kind == "op" and nxt.kind == "op" and t.text in ("=", ",", "==", "===", "+", "<=", ">=", "&&", "||") and nxt.text in ("=", ",", ";", "==", "*=", "/", ">=", "<=", "===", "&&", "||", "."):
-            if not (nxt.text == "," and t.text == "," and lang in ("js", "ts", "php")) and not (nxt.text == "." and lang in ("c", "rs", "cs", "java")) and not (t.text == "=" and nxt.text == "&&"):
-                raise Broken(f"{t.text} {nxt.text} at line {t.line}")
-        if t.kind == "open" and t.text == "(" and nxt.text in (",", ";") and not (nxt.text == ";" and prev is not None and prev.text == "for"):
-            raise Broken(f"( {nxt.text} at line {t.line}")
-        if nxt.text == ")" and t.kind == "op" and t.text in ("=", "+", "==", "-", "/", "<=", ">=", "&&", "||"):
-            raise Broken(f"{t.text} ) at line {t.line}")
-        if not nxt.first and not spec.typed and _operand(t, spec.keywords) and _operand(nxt, spec.keywords):
-            raise Broken(f"operands without an operator at line {t.line}")
-        if not nxt.first and t.kind in ("num", "str") and nxt.kind in ("num", "str", "name") and nxt.text not in spec.keywords and not (t.kind == "str" and lang in ("c", "rs", "go")):
-            raise Broken(f"operands without an operator at line {t.line}")
-    foreign = regex.compile(spec.foreign)
-    for row in _lines(tokens):
-        t = row[0]
-        if t.kind == "str" or t.top in ("(", "["):
-            continue
-        end = text.find("\n", t.at)
-        said = text[t.at : end if end >= 0 else len(text)].rstrip()
-        if foreign.match(said) and not (t.kind == "dir" and lang == "c"):
-            raise Broken(f"a statement of another language at line {t.line}")
-    if lang == "js":
-        for k, t in enumerate(tokens[:-3]):
-            if t.top == "(" and t.kind == "name" and t.text not in spec.keywords and tokens[k + 1].text == ":" and tokens[k + 2].kind == "name" and tokens[k + 3].text in (",", ")") and tokens[k - 1].text in ("(", ",") and "?" not in [x.text for x in tokens[max(0, k - 6) : k]]:
-                raise Broken(f"a type in a parameter list at line {t.line}")
-        for row in _lines(tokens):
-            for k in range(len(row) - 3):
-                if row[k].text == ")" and row[k + 1].text == ":" and row[k + 2].kind == "name" and row[k + 3].text == "{" and not any(x.text in ("?", "case") for x in row[:k]):
-                    raise Broken(f"a result type at line {row[k].line}")
-    if spec.semicolons or lang in ("js", "ts", "go", "rs"):
-        _heads(lang, tokens)
+    for k in range(n - 1):
+        if t.kind[k] == "k" and t.text[k] in spec.heads and t.kind[k + 1] != "(":
+            before, after = t.text[k - 1] if k else "", t.text[k + 1]
+            if before in (".", "->", "?.", "::", "?->", "#", "@") or after in (":", "=", ",", "}", ";", "?", ")", "await", "<", "when", "!", "]", "constexpr", ".", "?.") or after == "{" and t.text[k] == "switch":
+                continue
+            raise Broken(f"{t.text[k]} without ( at line {t.line(k)}")
+    if lang in ("java", "cs", "js", "ts", "php"):
+        pair = re.compile(r"[=&|]")
+        for k in range(n - 1):
+            if t.kind[k] == "o" and pair.search(t.text[k]) and t.text[k] in ("=", "==", "===", "&&", "||") and (t.kind[k + 1] == ")" or t.text[k + 1] in (";", ",")):
+                raise Broken(f"{t.text[k]} {t.text[k + 1]} at line {t.line(k)}")
+    _adjacent(lang, t)
+    _foreign(lang, t)
     if spec.semicolons:
-        _semicolons(lang, tokens)
+        _semicolons(t)
+    if lang == "js":
+        _untyped(t)
+    if lang in ("rs", "go", "php", "js"):
+        _function_heads(lang, t)
 
 
-def _heads(lang: str, tokens: list[Token]) -> None:
-    """A parameter list at the start of a statement is followed by a body, and so is a control head."""
-    rows = _lines(tokens)
-    for row, after in zip(rows, [*rows[1:], []]):
-        head = row[0]
-        if head.kind != "name" or head.top in ("(", "["):
-            continue
-        names = [t.text for t in row[:4] if t.kind == "name"]
-        function = {"js": "function", "ts": "function", "php": "function", "go": "func", "rs": "fn"}.get(lang)
-        starts = function in names or head.text in ("if", "for", "while", "foreach", "switch", "match", "class", "struct", "impl", "trait", "namespace", "interface", "enum") and not (head.text == "match" and lang != "rs")
-        if not starts or len(row) < 2 or row[1].text in (".", "=", ":", ","):
-            continue
-        if any(t.text in ("{", ";", "=>") for t in row) or row[-1].kind == "op":
+def _untyped(t: Tokens) -> None:
+    """Parameters and results of plain scripts have no types."""
+    kind, text = t.kind, t.text
+    for k in range(2, len(t) - 1):
+        if text[k] != ":" or kind[k] != "o" or kind[k + 1] not in "nk":
             continue
-        if after and after[0].text in ("{", ".", "where", "extends", "implements", "->", ":", "&&", "||", "+"):
+        if t.top[k] == "(" and kind[k - 1] == "n" and kind[k - 2] in "(o" and text[k - 2] in ("(", ",") and k + 2 < len(t) and (kind[k + 2] == ")" or text[k + 2] in (",", "=")):
+            raise Broken(f"a type in a parameter list at line {t.line(k)}")
+        if kind[k - 1] == ")" and k + 2 < len(t) and kind[k + 2] == "{" and not any(x in ("?", "case", "default") for x in text[max(0, k - 200) : k]):
+            raise Broken(f"a result type at line {t.line(k)}")
+
+
+def _function_heads(lang: str, t: Tokens) -> None:
+    """Between a function's name and its body stands nothing that starts a statement."""
+    word = {"rs": "fn", "go": "func", "php": "function", "js": "function"}[lang]
+    stop = {word, "let", "return", "while", "pub", "use", "mod", "var"} if lang != "go" else {"func", "return", "var", "type", "const", "import"}
+    for k in range(len(t) - 1):
+        if t.text[k] != word or t.kind[k] != "k" or t.kind[k + 1] != "n" or t.top[k] in ("(", "["):
             continue
-        if row[-1].text in ("(", "[", ",") or lang == "go" and head.text in ("struct", "interface"):
-            continue
-        if head.text in ("if", "for", "while", "foreach") and lang not in ("go", "rs"):
-            continue  # one statement without braces may follow
-        if function in names and lang == "ts" and after and after[0].text in ("export", "function", "declare"):
-            continue  # an overload
-        if lang == "go" and head.text == "func" and after and after[0].text in ("func", "type"):
+        depth, seen = t.depth[k], False
+        for j in range(k + 2, len(t)):
+            if t.depth[j] == depth and t.kind[j] == "(":
+                seen = True
+            if t.depth[j] <= depth and (t.kind[j] in "{}" or t.text[j] in (";", "=>")):
+                break
+            if t.depth[j] == depth and t.first[j] and t.text[j] in stop and t.kind[j] == "k":
+                if lang == "go" and seen:
+                    break  # a declaration without a body
+                raise Broken(f"a head without a body at line {t.line(k)}")
+        else:
+            if lang != "go" or not seen:
+                raise Broken(f"a head without a body at line {t.line(k)}")
+            if t.source.rstrip().count("\n") + 1 == t.line(k):
+                raise Broken("premature end: a head without a body")
+        if not seen and t.kind[k + 2] != "o" and lang != "php":
+            raise Broken(f"a head without parameters at line {t.line(k)}")
+
+
+_STARTS = _words("return if for while switch do break continue throw goto try foreach")
+
+
+def _semicolons(t: Tokens) -> None:
+    """A return or an assignment that ends in an operand isn't followed by another statement or the block's end."""
+    kind, text, depth = t.kind, t.text, t.depth
+    for k in range(1, len(t)):
+        block_end = kind[k] == "}"
+        if not (block_end or t.first[k] and kind[k] == "k" and text[k] in _STARTS) or kind[k - 1] not in "n0s)]":
             continue
-        raise Broken(f"a head without a body at line {head.line}")
-
-
-def _semicolons(lang: str, tokens: list[Token]) -> None:
-    """In a block of statements, a line that ends in an operand is followed by one that goes on."""
-    block: list[bool] = []
-    rows = _lines(tokens)
-    flat: list[Token] = []
-    kinds: dict[int, bool] = {}
-    for t in tokens:
-        kinds[id(t)] = bool(block) and block[-1]
-        if t.kind == "open":
-            prev = flat[-1] if flat else None
-            block.append(t.text == "{" and (prev is None or prev.text in (")", "{", "}", ";", "else", "do", "try", "finally", "=>", "->", ":") or prev.kind == "name" and prev.text not in ("return", "enum", "match")))
-            if t.text == "{" and prev is not None and (prev.text in ("=", ",", "(", "[", "return", "]") or any(x.text in ("enum", "new", "switch", "match", "struct", "union", "record") for x in flat[-6:])):
-                block[-1] = False
-        elif t.kind == "close" and block:
-            block.pop()
-            kinds[id(t)] = False
-        flat.append(t)
-    for row, after in zip(rows, [*rows[1:], []]):
-        last = row[-1]
-        if not after or not kinds.get(id(last)) or last.top != "{" or row[0].text[0] in "@[#":
+        level, j, assigned = depth[k] + block_end, k - 1, False
+        while j >= 0 and not (depth[j] <= level and (kind[j] in "{}d" or text[j] in (";", ":")) and (depth[j] == level or kind[j] == "{")):
+            assigned |= depth[j] == level and text[j] == "="
+            j -= 1
+        if t.top[k - 1] != "{" and kind[k - 1] not in ")]" or j + 1 >= k:
             continue
-        nxt = after[0]
-        if last.kind in ("num", "str") or last.kind == "name" and last.text not in LANGUAGES[lang].keywords or last.text in (")", "]") and last.kind == "close" and row[0].text not in ("if", "for", "while", "foreach", "switch", "else", "}", "@", "catch", "using", "lock", "fixed", "synchronized"):
-            if nxt.kind in ("num", "dir") or nxt.kind == "name" and nxt.text not in ("instanceof", "as", "is", "throws", "where", "extends", "implements", "and", "or", "xor", "in", "when") and nxt.text[0] != "@" or nxt.text == "}" and nxt.kind == "close":
-                if any(t.text == "(" for t in row) and row[0].kind == "name" and lang == "c" and row[0].text.isupper():
-                    continue  # a macro
-                if row[0].kind == "name" and len(row) == 1 and lang == "cs":
-                    continue
-                raise Broken(f"no semicolon at line {last.line}")
+        if text[j + 1] == "return" or assigned and not block_end:
+            raise Broken(f"no semicolon at line {t.line(k - 1)}")
 
 
-def _lua(text: str, tokens: list[Token]) -> None:
+def _lua(t: Tokens) -> None:
     stack: list[str] = []
-    for k, t in enumerate(tokens):
-        nxt = tokens[k + 1] if k + 1 < len(tokens) else None
-        prev = tokens[k - 1] if k else None
-        if t.kind != "name" or prev is not None and prev.text in (".", ":"):
+    kind, text = t.kind, t.text
+    for k, w in enumerate(text):
+        if kind[k] != "k":
             continue
-        if t.text in ("function", "repeat", "if", "while", "for"):
-            stack.append(t.text)
-        elif t.text == "do":
+        if w in ("function", "repeat", "if", "while", "for"):
+            stack.append(w)
+        elif w == "do":
             if stack and stack[-1] in ("while", "for"):
                 stack[-1] = "do"
             else:
                 stack.append("do")
-        elif t.text == "then":
+        elif w == "then":
             if not stack or stack[-1] not in ("if", "elseif"):
-                raise Broken(f"then without if at line {t.line}")
+                raise Broken(f"then without if at line {t.line(k)}")
             stack[-1] = "then"
-        elif t.text in ("elseif", "else"):
+        elif w in ("elseif", "else"):
             if not stack or stack[-1] != "then":
-                raise Broken(f"{t.text} without then at line {t.line}")
-            stack[-1] = "elseif" if t.text == "elseif" else "else"
-        elif t.text == "end":
+                raise Broken(f"{w} without then at line {t.line(k)}")
+            stack[-1] = "elseif" if w == "elseif" else "else"
+        elif w == "end":
             if not stack or stack[-1] in ("repeat", "if", "while", "for", "elseif"):
-                raise Broken(f"end without a block at line {t.line}")
+                raise Broken(f"end without a block at line {t.line(k)}")
             stack.pop()
-        elif t.text == "until":
+        elif w == "until":
             if not stack or stack.pop() != "repeat":
-                raise Broken(f"until without repeat at line {t.line}")
-        if t.text == "function" and nxt is not None and nxt.kind == "name":
+                raise Broken(f"until without repeat at line {t.line(k)}")
+        if w == "function" and k + 1 < len(t) and kind[k + 1] == "n":
             j = k + 1
-            while j < len(tokens) and (tokens[j].kind == "name" or tokens[j].text in (".", ":")):
+            while j < len(t) and (kind[j] == "n" or text[j] in (".", ":")):
                 j += 1
-            if j >= len(tokens) or tokens[j].text != "(":
-                raise Broken(f"function without ( at line {t.line}")
+            if j >= len(t) or kind[j] != "(":
+                raise Broken(f"function without ( at line {t.line(k)}")
+        if w in ("local", "return") and k + 1 < len(t) and (kind[k + 1] == ")" or text[k + 1] in ("=", ",")):
+            raise Broken(f"{w} {text[k + 1]} at line {t.line(k)}")
     if stack:
         raise Broken("premature end: open " + " ".join(stack))
-    kw = LANGUAGES["lua"].keywords
-    for a, b in zip(tokens, tokens[1:]):
-        if not b.first and _operand(a, kw) and _operand(b, kw) and not (a.kind == "name" and b.kind == "str"):
-            raise Broken(f"operands without an operator at line {a.line}")
-        if not b.first and a.text == "}" and b.kind == "name" and b.text not in kw:
-            raise Broken(f"operands without an operator at line {a.line}")
-        if a.text in ("local", "return", "=") and b.text in ("=", ",", ")"):
-            raise Broken(f"{a.text} {b.text} at line {a.line}")
-    if tokens and (tokens[-1].kind == "op" and tokens[-1].text != ";" or tokens[-1].text in ("local", "not", "and", "or", "in")):
+    _adjacent("lua", t)
+    if t.kind and (kind[-1] == "o" and text[-1] not in (";", "...", "::") or kind[-1] == "k" and text[-1] in ("local", "not", "and", "or", "in")):
         raise Broken("premature end")
-    ops = _words("; ! && || ++ -- += -= => ? ! @ $ ` :=")
-    for k, t in enumerate(tokens):
-        if t.kind == "op" and t.text in ops - {";", "--"}:
-            raise Broken(f"{t.text} at line {t.line}")
-    foreign = regex.compile(LANGUAGES["lua"].foreign)
-    for row in _lines(tokens):
-        if row[0].top == "" and row[0].kind in ("name", "op") and row[0].text not in ("...",):
-            end = text.find("\n", row[0].at)
-            if foreign.match(text[row[0].at : end if end >= 0 else len(text)].rstrip()):
-                raise Broken(f"a statement of another language at line {row[0].line}")
+    never = _words("! && || ++ += -= => ? @ $ ` := ?? ?. !== ===")
+    for k, w in enumerate(text):
+        if kind[k] == "o" and w in never:
+            raise Broken(f"{w} at line {t.line(k)}")
+    _foreign("lua", t)
 
 
 _COLON_HEADS = _words("func if elif else for while match class static")
 
 
-def _gd(text: str, tokens: list[Token]) -> None:
-    spec = LANGUAGES["gd"]
-    kw = spec.keywords
-    logical: list[list[Token]] = []
-    for r in _lines(tokens):
-        cont = logical and (r[0].depth > 0 or r[0].kind == "close")
-        if cont or logical and text[: r[0].at].rstrip(" \t").endswith(("\\\n", "\\\r\n")):
-            logical[-1] += r
-        else:
-            logical.append(list(r))
-    foreign = regex.compile(spec.foreign)
-    indents = [0]
-    expect = None
-    for r in logical:
-        head = r[0]
-        start = text.rfind("\n", 0, head.at) + 1
-        lead = text[start : head.at].lstrip("﻿")
-        if lead.strip(" \t"):
-            lead = ""
-        width = len(lead.expandtabs(4))
+def _gd(t: Tokens) -> None:
+    kind, text, source = t.kind, t.text, t.source
+    starts: list[int] = []
+    for k, first in enumerate(t.first):
+        if first and not (starts and (t.depth[k] > 0 or kind[k] in ")]}")) and not (starts and source[: t.end[k] - len(text[k])].rstrip(" \t").endswith("\\\n")):
+            starts.append(k)
+    foreign = LANGUAGES["gd"].foreign.match
+    indents, expect = [0], None
+    for a, b in zip(starts, [*starts[1:], len(t)]):
+        at = t.end[a] - len(text[a])
+        start = source.rfind("\n", 0, at) + 1
+        lead = source[start:at].lstrip("\ufeff")
+        width = len(lead.expandtabs(4)) if not lead.strip(" \t") else 0
         if expect is not None:
             if width <= indents[-1]:
-                raise Broken(f"no body after the head at line {expect}")
+                raise Broken(f"no body after the head at line {t.line(expect)}")
             indents.append(width)
         else:
             while indents and width < indents[-1]:
                 indents.pop()
             if not indents or width != indents[-1]:
-                raise Broken(f"indentation at line {head.line}")
+                raise Broken(f"indentation at line {t.line(a)}")
         expect = None
-        end = text.find("\n", head.at)
-        if foreign.match(text[head.at : end if end >= 0 else len(text)].rstrip()):
-            raise Broken(f"a statement of another language at line {head.line}")
-        outer = [t for t in r if t.depth == head.depth]
-        words_ = [t.text for t in outer]
-        block = head.text in _COLON_HEADS and (head.text != "static" or "func" in words_[:3]) and not (len(r) > 1 and r[1].text in (".", "=", "("))
-        block = block or head.text in ("if", "while", "elif", "match") and len(r) > 1
-        if block and not (head.text in ("match",) and len(r) > 1 and r[1].text in ("=", ".")):
-            if ":" not in words_:
-                raise Broken(f"no colon at line {head.line}")
-        if r[-1].text == ":" and r[-1].depth == head.depth:
-            expect = head.line
-        elif r[-1].kind == "op" and r[-1].text not in ("?", "*"):
-            raise Broken(f"premature end of line {r[-1].line}")
-        if head.text == "func" and len(r) > 1 and r[1].kind == "name" and (len(r) < 3 or r[2].text != "("):
-            raise Broken(f"func without ( at line {head.line}")
-        for a, b in zip(r, r[1:]):
-            if _operand(a, kw) and _operand(b, kw) and not (a.kind == "name" and a.text.startswith("@")):
-                raise Broken(f"operands without an operator at line {a.line}")
-            if a.kind == "op" and a.text in ("++", "&&&", "=>", "?"):
-                raise Broken(f"{a.text} at line {a.line}")
+        end = source.find("\n", at)
+        if foreign(source[at : end if end >= 0 else len(source)].rstrip()):
+            raise Broken(f"a statement of another language at line {t.line(a)}")
+        head, nxt = text[a], text[a + 1] if a + 1 < b else ""
+        block = head in _COLON_HEADS and kind[a] == "k" and (head != "static" or nxt == "func") and nxt not in (".", "=")
+        if block and ":" not in [text[k] for k in range(a, b) if t.depth[k] == t.depth[a]]:
+            raise Broken(f"no colon at line {t.line(a)}")
+        last = b - 1
+        if text[last] == ":" and t.depth[last] == t.depth[a]:
+            expect = a
+        elif kind[last] == "o" and text[last] not in ("?", "*", ";"):
+            raise Broken(f"premature end of line {t.line(last)}")
+        if head == "func" and a + 1 < b and kind[a + 1] == "n" and (a + 2 >= b or kind[a + 2] != "("):
+            raise Broken(f"func without ( at line {t.line(a)}")
+        signature = "".join("a" if kind[k] == "n" and text[k][0] == "@" else kind[k] for k in range(a, b))
+        m = LANGUAGES["gd"].apart.search(signature)
+        if m:
+            raise Broken(f"operands without an operator at line {t.line(a + m.start())}")
+        for k in range(a, b):
+            if kind[k] == "o" and text[k] in ("++", "=>", "?", "===", "!=="):
+                raise Broken(f"{text[k]} at line {t.line(k)}")
     if expect is not None:
         raise Broken("premature end: no body")
 
 
-def _php(text: str) -> str:
-    """The code of a PHP text; what stands outside its tags counts as blanks."""
-    out, pos = [], 0
-    opened = regex.compile(r"<\?(?:php\b|=)")
-    while True:
-        m = opened.search(text, pos)
-        if not m:
-            out.append(regex.sub(r"[^\n]", " ", text[pos:]))
-            return "".join(out)
-        out.append(regex.sub(r"[^\n]", " ", text[pos : m.start()]) + " " * len(m.group()))
-        scan, at = LANGUAGES["php"].lexer, m.end()
-        while at < len(text) and not text.startswith("?>", at):
-            t = scan.match(text, at)
-            at = t.end() if t else at + 1
-        out.append(text[m.end() : at])
-        if at < len(text):
-            out.append("; ")
-        pos = min(len(text), at + 2)
+#: Text between the tags of elements in a script, in which quotes are no quotes; what holds brackets or operators is code.
+_ELEMENT_TEXT = re.compile(r"(?<=[\w\"'}/]>)([^<>{}()=;]*[^<>{}()=;\s][^<>{}()=;]*)(?=<[/A-Za-z]|\{)")
+
+
+#: An element where a value can stand.
+_ELEMENT = re.compile(r"(?:\breturn|[=(?:,&|>\[])\s*<(?:[A-Za-z][\w.]*(?:\s[^<>]*)?/?)?>")
 
 
 def _never(x):
     raise Broken(f"{x} is no JSON value")
 
 
-_JSON_LEX = regex.compile(r'(?P<str>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(?P<val>-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][-+]?[0-9]++)?|true|false|null)|(?P<mark>[\[\]{},:])|[ \t\n\r]++')
+_JSON_LEX = re.compile(r'(?P<str>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(?P<val>-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][-+]?[0-9]++)?|true|false|null)|(?P<mark>[\[\]{},:])|[ \t\n\r]++')
 
 
 def _deep_json(text: str) -> None:
@@ -473,22 +603,20 @@ def check(lang: str, text: str) -> str | None:
             except RecursionError:
                 _deep_json(text)
             return None
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
         if lang == "py":
             return _python(text)
-        if lang == "php":
-            if "<?" not in text:
-                if regex.search(r"\S", text) and not regex.match(r"\s*<[!a-zA-Z]", text):
-                    return "no code of the language"
-                return None
-            text = _php(text)
+        if lang == "php" and not _PHP_OPEN.search(text):
+            return "no code of the language" if text.strip() and not re.match(r"\s*<[!a-zA-Z?]", text) else None
+        if lang in ("js", "ts") and "</" in text and _ELEMENT.search(text):
+            text = _ELEMENT_TEXT.sub(lambda m: re.sub("[\"'`]", " ", m.group()), text)
         tokens = lex(lang, text)
-        balance(tokens)
         if lang == "lua":
-            _lua(text, tokens)
+            _lua(tokens)
         elif lang == "gd":
-            _gd(text, tokens)
+            _gd(tokens)
         else:
-            _c_family(lang, text, tokens)
+            _c_family(lang, tokens)
     except Broken as e:
         return str(e)
     except (RecursionError, MemoryError):
@@ -498,25 +626,29 @@ def check(lang: str, text: str) -> str | None:
     return None
 
 
-_PY_LEX = regex.compile(
+_PY_LEX = re.compile(
     r"(?P<com>#[^\n]*)|(?P<str>(?i:[rbfu]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|" + _DQ + "|" + _SQ + r"))|(?P<bad>[\"'])|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<rest>[^\"'#()\[\]{}]+)",
-    regex.S,
+    re.S,
 )
 
 
 def _python(text: str) -> str | None:
     """Lexer and stack first; what passes is parsed."""
-    nested = "'" in text and regex.search(r"(?i)\b[rb]?f[rb]?['\"]", text)
+    nested = "'" in text and re.search(r"(?i)\b[rb]?f[rb]?['\"]", text)
     if not nested:  # quotes within the fields of an f-string are left to the parser
-        stack: list[Token] = []
+        stack: list[str] = []
         for m in _PY_LEX.finditer(text):
             if m.lastgroup == "bad":
                 raise Broken("unterminated literal")
-            if m.lastgroup in ("open", "close"):
-                stack.append(Token(m.lastgroup, m.group(), False, m.start(), 0))
-            elif m.lastgroup == "rest" and any(_CONFLICT.match(x.rstrip("\r")) for x in m.group().split("\n")[1:]):
+            if m.lastgroup == "open":
+                stack.append(m.group())
+            elif m.lastgroup == "close":
+                if not stack or stack.pop() != _CLOSES[m.group()]:
+                    raise Broken(f"unbalanced {m.group()} at line {text.count(chr(10), 0, m.start()) + 1}")
+            elif m.lastgroup == "rest" and "\n" in m.group() and _CONFLICT.search(m.group(), m.group().index("\n") + 1):
                 raise Broken("conflict marker")
-        balance(stack)
+        if stack:
+            raise Broken("premature end: open " + " ".join(stack))
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
