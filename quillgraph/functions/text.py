@@ -100,9 +100,40 @@ def node_file(key: Column) -> Column:
     return F.substring_index(key, "::", 1)
 
 
-def normal_body(body: Column, comment: str = "#") -> Column:
-    """Body without comments, trailing blanks and empty lines, every line indented by two."""
-    lines = F.transform(F.split(body, r"\r\n|\n|\r"), lambda x: F.rtrim(F.substring_index(x, comment, 1)))
+#: What a comment begins with, by suffix; where nothing is named it is ``//``.
+COMMENT_MARKS = {"#": (".py", ".pyi", ".gd"), "--": (".lua",), "/*": (".java", ".php")}
+
+
+def file_ext(path: Column) -> Column:
+    """Lower-cased suffix of a path with its dot; empty if it has none."""
+    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+
+
+def code_only(text: Column, ext: Column) -> Column:
+    """Text without string literals (``""`` stands for each) and line comments."""
+    # Possessive loops without branches, as the matcher would use the stack for others.
+    dq, sq = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+    bare = F.when(ext == ".rs", F.regexp_replace(text, dq, '""')).otherwise(F.regexp_replace(text, f"{dq}|{sq}", '""'))
+    return (
+        F.when(ext.isin(*COMMENT_MARKS["#"]), F.regexp_replace(bare, r"#[^\n]*", ""))
+        .when(ext.isin(*COMMENT_MARKS["--"]), F.regexp_replace(bare, r"--[^\n]*", ""))
+        .otherwise(F.regexp_replace(bare, r"//[^\n]*", ""))
+    )
+
+
+def normal_body(body: Column, ext: Column) -> Column:
+    """Body without what follows a comment mark of its language, trailing blanks and empty lines, every line indented by two."""
+
+    def cut(line: Column) -> Column:
+        slash = F.substring_index(line, "//", 1)
+        return (
+            F.when(ext.isin(*COMMENT_MARKS["#"]), F.substring_index(line, "#", 1))
+            .when(ext.isin(*COMMENT_MARKS["--"]), F.substring_index(line, "--", 1))
+            .when(ext.isin(*COMMENT_MARKS["/*"]), F.substring_index(slash, "/*", 1))
+            .otherwise(slash)
+        )
+
+    lines = F.transform(F.split(body, r"\r\n|\n|\r"), lambda x: F.rtrim(cut(x)))
     return F.array_join(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("  "), F.trim(x))), "\n")
 
 

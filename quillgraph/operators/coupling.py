@@ -2,33 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import admissible, dir_seed, ident_tokens, node_file
-from quillgraph.session import stage
+from quillgraph.session import release, stage
 
 #: Known words of the rules.
 KINDS, TYPES, SEVERITIES = ("forbid", "budget"), ("call", "var", "signal", "inst", "attach", "alias"), ("error", "warn")
 RULE_KEYS = ("id", "kind", "from", "to", "max", "types", "severity")
 
 
-def classed_edges(edges: DataFrame, membership: DataFrame) -> DataFrame:
+def classed_edges(edges: DataFrame, membership: DataFrame, in_tests: Callable[[Column], Column] | None = None) -> DataFrame:
     """(src_key, dst_key, types, src, dst, a, b, class) of every distinct edge between different files.
 
-    The order of the tests matters: tests, unclustered, internal, cross.
+    The order of the tests matters: tests, scene (both ends are scenes), unclustered, internal, cross. ``in_tests`` says of a
+    file whether it belongs to the tests, otherwise the cluster of that name does.
     """
     e = edges.groupBy("src_key", "dst_key").agg(F.array_sort(F.collect_set("type")).alias("types"))
     e = e.withColumns({"src": node_file(F.col("src_key")), "dst": node_file(F.col("dst_key"))}).where("src <> dst")
     e = e.join(membership.select(F.col("path").alias("src"), F.col("cluster").alias("a")), "src", "left")
     e = e.join(membership.select(F.col("path").alias("dst"), F.col("cluster").alias("b")), "dst", "left")
-    tests = F.coalesce(F.col("a") == "tests", F.lit(False)) | F.coalesce(F.col("b") == "tests", F.lit(False))
-    kind = F.when(tests, "tests").when(F.col("a").isNull() | F.col("b").isNull(), "unclustered").when(F.col("a") == F.col("b"), "internal").otherwise("cross")
+    if in_tests is None:
+        tests = F.coalesce(F.col("a") == "tests", F.lit(False)) | F.coalesce(F.col("b") == "tests", F.lit(False))
+    else:
+        tests = in_tests(F.col("src")) | in_tests(F.col("dst"))
+    scenes = F.col("src_key").endswith("::tscn") & F.col("dst_key").endswith("::tscn")
+    kind = F.when(tests, "tests").when(scenes, "scene").when(F.col("a").isNull() | F.col("b").isNull(), "unclustered").when(F.col("a") == F.col("b"), "internal").otherwise("cross")
     return e.withColumn("class", kind)
 
 
+def pair_types(classed: DataFrame) -> DataFrame:
+    """(x, y, type, n) of the edges across clusters by unordered pair; an edge counts once for each of its types."""
+    cross = classed.where("class = 'cross'").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.explode("types").alias("type"))
+    return cross.groupBy("x", "y", "type").agg(F.count("*").alias("n"))
+
+
 def cluster_coupling(classed: DataFrame) -> DataFrame:
     """(cluster, internal, outgoing, incoming, share) of each cluster with an edge that counts."""
     inside = classed.where("class = 'internal'").select(F.col("a").alias("cluster"), F.lit(1).alias("i"), F.lit(0).alias("o"), F.lit(0).alias("n"))
@@ -113,7 +125,8 @@ def communities(graph: DataFrame, rounds: int | None = None) -> DataFrame:
     both = stage(graph.select("x", "y", "w").unionAll(graph.select("y", "x", "w")), "moves-edges")
     degree = stage(both.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("k")), "moves-degree")
     m2 = degree.agg(F.sum("k")).first()[0]
-    state = stage(degree.select("node", "k", F.col("node").alias("c")), "moves")
+    held = stage(degree.select("node", "k", F.col("node").alias("c")), "moves")
+    state = held
     if not m2:
         return state.select("node", F.col("c").alias("community"))
     still = False
@@ -126,7 +139,8 @@ def communities(graph: DataFrame, rounds: int | None = None) -> DataFrame:
         best = options.withColumn("gain", F.round(gain, 9)).groupBy("node", "k", "now").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("best"), F.max("gain").alias("top"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("stay"))
         moves = (F.pmod(F.xxhash64("node", F.lit(i // 2)), F.lit(2)) == i % 2) & (F.col("top") > F.col("stay"))
         new = stage(best.select("node", "k", F.when(moves, F.col("best")).otherwise(F.col("now")).alias("c"), moves.alias("moved")), "moves")
-        state = new.select("node", "k", "c")
+        release(held)
+        state, held = new.select("node", "k", "c"), new
         before, still = still, new.where("moved").isEmpty()
         if i % 2 and before and still:
             break

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import node_file
-from quillgraph.session import stage
+from quillgraph.session import release, stage
 
 #: Damping and number of iterations of the rank.
 DAMPING, ITERATIONS = 0.85, 30
@@ -59,9 +59,14 @@ def rank_by_sorting(rows: DataFrame, order: list, name: str = "rank") -> DataFra
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int | None, reverse: bool = False) -> DataFrame:
-    """(key, hop) of everything within ``depth`` edges of the seeds (hop 0), each at its least hop."""
+    """(key, hop) of everything within ``depth`` edges of the seeds (hop 0), each at its least hop.
+
+    The edges are made once; a hop joins them with what the last one found.
+    """
     src, dst = ("dst_key", "src_key") if reverse else ("src_key", "dst_key")
     step = edges.select(F.col(src).alias("key"), F.col(dst).alias("to")).distinct()
+    if depth is None or depth > 1:
+        step = stage(step, "walk-edges")
     frontier = stage(seeds.select("key").distinct().withColumn("hop", F.lit(0)), "walk")
     seen = frontier
     hop = 0
@@ -70,6 +75,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int | None, reverse: bool =
         new = step.join(frontier.select("key"), "key").select(F.col("to").alias("key")).distinct().join(seen.select("key"), "key", "left_anti")
         frontier = stage(new.withColumn("hop", F.lit(hop)), "walk")
         seen = seen.unionAll(frontier)
+    release(step)
     return seen
 
 
@@ -81,34 +87,43 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int = 4, direction: str =
 
 
 def pagerank(wires: DataFrame, files: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """(path, rank) after exactly ``iterations`` steps from the uniform start; dangling mass is spread evenly."""
+    """(path, rank) after exactly ``iterations`` steps from the uniform start; dangling mass is spread evenly.
+
+    What a step adds to every node alike (the base and the dangling mass) is a number, so with M the damped
+    shares the ranks are sums of the powers M^j 1, each by a number. The powers are one chain of joins and sums
+    over shares that keep their partitioning, and the driver finds the numbers from one sum for each power.
+    """
     nodes = files.select("path").unionAll(wires.select("src_file")).unionAll(wires.select("dst_file")).distinct()
     out = wires.groupBy("src_file").agg(F.sum("w").alias("outw"))
-    share = stage(wires.join(out, "src_file").select(F.col("src_file").alias("path"), "dst_file", (F.col("w") / F.col("outw")).alias("share")), "shares")
+    share = wires.join(out, "src_file").select(F.col("src_file").alias("path"), "dst_file", (damping * F.col("w") / F.col("outw")).alias("share"))
+    share = stage(share, "shares").repartition("path").persist(StorageLevel.MEMORY_AND_DISK)
     nodes = stage(nodes.join(out.select(F.col("src_file").alias("path"), F.lit(False).alias("dangling")), "path", "left").select("path", F.coalesce("dangling", F.lit(True)).alias("dangling")), "nodes")
     n = nodes.count()
     if not n:
         return nodes.select("path", F.lit(0.0).alias("rank"))
-    ranks, held = nodes.select("path", "dangling", F.lit(1.0 / n).alias("rank")), None
-    old = None
+    powers = [nodes.select("path", F.lit(1.0).alias("v"))]
+    for j in range(1, iterations + 1):
+        new = share.join(powers[-1].hint("shuffle_hash"), "path").groupBy(F.col("dst_file").alias("path")).agg(F.sum(F.col("share") * F.col("v")).alias("v"))
+        powers.append(stage(new, "power") if j % 10 == 0 else new.persist(StorageLevel.MEMORY_AND_DISK))
+    every = powers[0].withColumn("j", F.lit(0))
+    for j, p in enumerate(powers[1:], 1):
+        every = every.unionByName(p.withColumn("j", F.lit(j)))
+    # One power's worth of tasks, each with its part of all powers.
+    every = stage(every.coalesce(int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "powers")
+    loose = [0.0] * (iterations + 1)
+    for r in every.join(nodes.where("dangling"), "path", "left_semi").groupBy("j").agg(F.sum("v").alias("s")).collect():
+        loose[r["j"]] = r["s"]
+    given: list[float] = []  # what step i adds to every node
     for i in range(iterations):
-        loose = ranks.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
-        given = share.join(ranks.select("path", "rank"), "path").groupBy(F.col("dst_file").alias("path")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        base = (1 - damping) / n + damping * loose / n
-        new = nodes.join(given, "path", "left").select("path", "dangling", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if (i + 1) % 10 == 0 or i + 1 == iterations:
-            ranks = stage(new, "ranks")
-            for done in (old, held):
-                if done is not None:
-                    done.unpersist()
-            old = held = None
-        else:
-            # The sum of the next round fills this; only then the one before can go.
-            ranks = new.persist(StorageLevel.MEMORY_AND_DISK)
-            if old is not None:
-                old.unpersist()
-            old, held = held, ranks
-    return ranks.select("path", "rank")
+        mass = loose[i] / n + sum(given[i - 1 - j] * loose[j] for j in range(i))
+        given.append((1 - damping) / n + damping * mass / n)
+    weight = [given[iterations - 1 - j] for j in range(iterations)] + [1.0 / n]
+    weighted = every.select("path", (F.col("v") * F.element_at(F.array(*map(F.lit, weight)), F.col("j") + 1)).alias("r"))
+    ranks = stage(weighted.groupBy("path").agg(F.sum("r").alias("rank")), "ranks")
+    for p in (share, *powers):
+        p.unpersist()
+    release(every, *powers)
+    return ranks
 
 
 def _core(e: DataFrame) -> DataFrame:
@@ -141,11 +156,12 @@ def components(edges: DataFrame) -> DataFrame:
         left = inner
         if left.isEmpty():
             break
-        label = left.select("key", F.col("key").alias("label"))
+        label, held = left.select("key", F.col("key").alias("label")), None
         while True:
             got = e.join(label.select(F.col("key").alias("s"), "label"), "s").groupBy(F.col("t").alias("key")).agg(F.min("label").alias("via"))
             new = stage(label.join(got, "key", "left").select("key", F.least("label", "via").alias("label"), (F.col("via") < F.col("label")).alias("moved")), "scc-label")
-            label = new.select("key", "label")
+            release(held)
+            label, held = new.select("key", "label"), new
             if new.where("moved").isEmpty():
                 break
         same = e.join(label.select(F.col("key").alias("s"), F.col("label").alias("ls")), "s").join(label.select(F.col("key").alias("t"), F.col("label").alias("lt")), "t").where("ls = lt")
@@ -162,11 +178,13 @@ def strata(edges: DataFrame) -> DataFrame:
     comp = stage(components(edges), "strata-scc")
     c = edges.join(comp.select(F.col("key").alias("src_key"), F.col("scc").alias("s")), "src_key").join(comp.select(F.col("key").alias("dst_key"), F.col("scc").alias("t")), "dst_key").where("s <> t").select("s", "t").distinct()
     c = stage(c, "strata-edges")
-    depth = stage(comp.select("scc").distinct().withColumn("depth", F.lit(0)), "strata")
+    held = stage(comp.select("scc").distinct().withColumn("depth", F.lit(0)), "strata")
+    depth = held
     while True:
         got = c.join(depth.select(F.col("scc").alias("s"), "depth"), "s").groupBy(F.col("t").alias("scc")).agg((F.max("depth") + 1).alias("via"))
         new = stage(depth.join(got, "scc", "left").select("scc", F.greatest("depth", F.coalesce("via", F.lit(0))).alias("depth"), (F.coalesce("via", F.lit(0)) > F.col("depth")).alias("moved")), "strata")
-        depth = new.select("scc", "depth")
+        release(held)
+        depth, held = new.select("scc", "depth"), new
         if new.where("moved").isEmpty():
             return comp.join(depth, "scc").select("key", "scc", "depth")
 

@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import normal_body
-from quillgraph.operators.graph import walk
+from quillgraph.functions.text import file_ext, normal_body
 from quillgraph.session import stage
 
 #: Weights of the tiers in the share of a file, and the share from which a file counts as dead.
 LIKELY, REVIEW, DEAD_SHARE = 1.0, 0.5, 0.4
 
 
-def dead_code(symbols: DataFrame, edges: DataFrame, roots: DataFrame, kept_names: DataFrame, dynamic: Column) -> DataFrame:
-    """(path, name, line, tier): symbols that no root reaches and whose name nothing else keeps alive.
-
-    ``dynamic`` marks symbols of files that call by computed names; those are only for review.
-    """
-    alive = walk(edges, roots, None).select("key")
-    left = symbols.join(alive, "key", "left_anti").join(kept_names.select("name").distinct(), "name", "left_anti")
-    return left.select("path", "name", "line", F.when(dynamic, "review").otherwise("likely").alias("tier"))
-
-
 def dead_shares(dead: DataFrame, symbols: DataFrame) -> DataFrame:
     """(path, share, dead): weighted share of dead symbols of each file that has any."""
     weight = F.sum(F.when(F.col("tier") == "likely", LIKELY).otherwise(REVIEW))
@@ -37,7 +26,7 @@ def duplicate_members(functions: DataFrame, least_lines: int = 3) -> DataFrame:
     Only digests and ids are shuffled, redelivered rows are dropped among those, and a group of any
     size stays a set of rows.
     """
-    norm = functions.where("body is not null").select("func_id", normal_body(F.col("body")).alias("norm"))
+    norm = functions.where("body is not null").select("func_id", normal_body(F.col("body"), file_ext(F.col("path"))).alias("norm"))
     # One value per id out of an aggregate: the filter then can't move below it and normalise each body twice.
     facts = F.max(F.struct(F.size(F.split("norm", "\n")).alias("lines"), F.sha1(F.encode("norm", "UTF-8")).alias("hash")))
     hashed = norm.groupBy("func_id").agg(facts.alias("f")).where(F.col("f.lines") >= least_lines).select("func_id", "f.hash")

@@ -32,8 +32,10 @@ def _emb(s, d):
 
 
 EMB = "e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL)"
-_NEAR = f"""{EMB}, nn AS MATERIALIZED (SELECT * FROM (SELECT q.id AS q, e.id, round(list_cosine_similarity(q.v, e.v), 6) AS sim, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.v, e.v), 6) DESC, e.id) AS rank
-  FROM e q JOIN e ON q.id <> e.id) WHERE rank <= 6 AND sim >= 0.3), mu AS (SELECT x.q AS a, x.id AS b, x.sim FROM nn x JOIN nn y ON x.q = y.id AND x.id = y.q WHERE x.q < x.id)"""
+# Vectors of one length once, so that a similarity is a product, made once for each pair.
+_NEAR = f"""{EMB}, u AS MATERIALIZED (SELECT id, list_transform(v, lambda x: x / n)::DOUBLE[64] AS w FROM (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM e) WHERE n > 0),
+pw AS MATERIALIZED (SELECT q.id AS q, e.id AS id, round(array_inner_product(q.w, e.w), 6) AS sim FROM u q JOIN u e ON q.id <> e.id),
+nn AS MATERIALIZED (SELECT * FROM (SELECT q, id, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS rank FROM pw WHERE sim >= 0.3) WHERE rank <= 6), mu AS (SELECT x.q AS a, x.id AS b, x.sim FROM nn x JOIN nn y ON x.q = y.id AND x.id = y.q WHERE x.q < x.id)"""
 
 
 def _near(s, d):

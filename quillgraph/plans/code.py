@@ -58,25 +58,32 @@ def closest_names(s, d):
 
 
 @query(f"""WITH RECURSIVE {A.FILES}, up AS (SELECT DISTINCT repo, class_name, extends FROM lf WHERE class_name <> '' AND extends <> '' AND class_name <> extends),
-an(repo, class_name, ancestor, depth) AS (SELECT repo, class_name, extends, 1 FROM up UNION SELECT an.repo, an.class_name, up.extends, depth + 1 FROM an JOIN up ON up.repo = an.repo AND up.class_name = an.ancestor WHERE depth < 8)
+an(repo, class_name, ancestor, depth) AS (SELECT repo, class_name, extends, 1 FROM up UNION SELECT an.repo, an.class_name, up.extends, depth + 1 FROM an JOIN up ON up.repo = an.repo AND up.class_name = an.ancestor WHERE depth < 100)
 SELECT repo, class_name, ancestor, min(depth) AS depth FROM an GROUP BY ALL""")
 def ancestors(s, d):
     return R.ancestors(A.live_files(s, d))
 
 
 @query(f"""WITH {A.FUNCS}, st AS (SELECT DISTINCT repo, path, line + 7 AS line FROM fn WHERE line IS NOT NULL),
-ow AS (SELECT st.repo, st.path, st.line, fn.name, fn.line AS l0, fn.line + length(coalesce(body, '')) - length(replace(coalesce(body, ''), chr(10), '')) AS last, row_number() OVER (PARTITION BY st.repo, st.path, st.line ORDER BY fn.line DESC, fn.name DESC) AS r FROM st LEFT JOIN fn ON fn.repo = st.repo AND fn.path = st.path AND fn.line <= st.line AND fn.name IS NOT NULL)
-SELECT repo, path, line, CASE WHEN line <= last THEN name END AS owner FROM ow WHERE r = 1""")
+sp AS (SELECT repo, path, line AS first, name, line + length(coalesce(body, '')) - length(replace(coalesce(body, ''), chr(10), '')) AS last FROM fn WHERE line IS NOT NULL AND name IS NOT NULL)
+SELECT st.repo, st.path, st.line, arg_min(sp.name, (first, sp.name)) AS owner FROM st LEFT JOIN sp ON sp.repo = st.repo AND sp.path = st.path AND st.line BETWEEN first AND last GROUP BY ALL""")
 def line_owners(s, d):
     fns = A.functions(s, d)
     return R.owners(fns.where("line is not null").select("repo", "path", (F.col("line") + 7).alias("line")).distinct(), fns)
 
 
-@query(f"""WITH {A.FILES}, hv AS (SELECT repo, path, lower(regexp_extract(regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', ''), '^([A-Za-z0-9]+)', 1)) AS key, list_position(['.gd', '.py', '.ts', '.js', '.go', '.rs', '.lua'], lower(ext)) AS o FROM lf),
-bs AS (SELECT repo, key, arg_min(path, (o, path)) AS target FROM hv WHERE o > 0 GROUP BY ALL), wt AS (SELECT DISTINCT repo, path, module FROM (SELECT repo, path, unnest(imported_modules) AS module FROM lf) WHERE module <> '')
-SELECT wt.repo, wt.path, module, target FROM wt LEFT JOIN bs ON bs.repo = wt.repo AND bs.key = regexp_extract(lower(module), '^([a-z0-9]+)', 1)""")
+_ENDINGS = ", ".join(f"({k}, '{e}')" for k, e in enumerate(R.ENDINGS))
+
+
+@query(rf"""WITH {A.FILES}, wt AS (SELECT DISTINCT repo, path, module FROM (SELECT repo, path, unnest(imported_modules) AS module FROM lf) WHERE module <> ''),
+nm AS (SELECT *, CASE WHEN starts_with(module, '@/') THEN 'src/' || substr(module, 3) WHEN starts_with(module, '~') THEN 'lib/' || substr(module, 2) ELSE module END AS named FROM wt),
+ca AS (SELECT repo, path, module, p, k, regexp_replace(CASE WHEN p = 0 AND contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') || '/' ELSE '' END || regexp_replace(CASE WHEN contains(named, '/') THEN named ELSE replace(named, '.', '/') END, '^\./', '') || e, '[^/]+/\.\./', '', 'g') AS "to"
+  FROM nm, (VALUES (0), (1)) ro(p), (VALUES {_ENDINGS}) en(k, e)),
+hv AS (SELECT DISTINCT repo, path AS "to" FROM lf), di AS (SELECT ca.repo, ca.path, ca.module, p, k, ca."to" FROM ca JOIN hv ON hv.repo = ca.repo AND hv."to" = ca."to"
+  UNION ALL SELECT wt.repo, wt.path, wt.module, 2, 0, hv."to" FROM wt JOIN hv ON hv.repo = wt.repo AND regexp_replace(split_part(hv."to", '/', -1), '\.[^.]*$', '') = wt.module)
+SELECT wt.repo, wt.path, wt.module, b."to" AS target FROM wt LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, path, module ORDER BY p, k, "to") AS r FROM di) WHERE r = 1) b ON b.repo = wt.repo AND b.path = wt.path AND b.module = wt.module""")
 def resolved_imports(s, d):
-    return R.resolved_imports(A.live_files(s, d))
+    return R.resolved_imports(A.live_files(s, d), {"@/": "src/", "~": "lib/"})
 
 
 @query(f"""WITH {A.FILES}, p AS (SELECT DISTINCT path FROM lf), k AS (SELECT unnest(['core', 'core/combat', 'ui', 'net/search', 'tools', 'ai/audio']) AS prefix)

@@ -112,9 +112,9 @@ def _roots(s, d):
     return A.part_symbols(s, d).where("size = 1").select("key")
 
 
-@query(f"WITH RECURSIVE {E}, r(key) AS ({_ROOTS} UNION SELECT dst_key FROM r JOIN edges ON src_key = r.key AND type = 'var') SELECT key FROM r")
+@query(f"WITH RECURSIVE {E}, r(key) AS ({_ROOTS} UNION SELECT dst_key FROM r JOIN edges ON src_key = r.key) SELECT key FROM r")
 def reachable(s, d):
-    return G.walk(A.follow_edges(s, d).where("type = 'var'"), _roots(s, d), None).select("key")
+    return G.walk(A.follow_edges(s, d), _roots(s, d), None).select("key")
 
 
 @query(f"""WITH {WIRES}, one AS (SELECT min(file) AS f FROM parts), nb AS (SELECT DISTINCT src_file AS a, dst_file AS b FROM wires UNION SELECT dst_file, src_file FROM wires),
@@ -155,45 +155,19 @@ def repo_map(s, d):
     return G.repo_map(_ranks(s, d), symbols, G.symbol_degrees(edges, symbols), 2048)
 
 
-# A sparse graph, so that components of every size occur.
-_SPARSE = E.replace("l_quantity >= 25", "l_quantity >= 44").replace("edges AS (", "edges AS MATERIALIZED (")
-_SCC = f"""{_SPARSE}, nd AS (SELECT src_key AS key FROM edges UNION SELECT dst_key FROM edges), rc(a, b) AS (SELECT key, key FROM nd UNION SELECT a, dst_key FROM rc JOIN edges ON src_key = b),
-comp AS MATERIALIZED (SELECT x.a AS key, min(x.b) AS scc FROM rc x JOIN rc y ON x.a = y.b AND x.b = y.a GROUP BY ALL)"""
-
-
-def _sparse(s, d):
-    return A.follow_edges(s, d, 44)
-
-
-@query(f"WITH RECURSIVE {_SCC} SELECT key, scc FROM comp")
-def scc(s, d):
-    return G.components(_sparse(s, d))
-
-
-@query(f"WITH RECURSIVE {_SCC} SELECT scc, count(*) AS size FROM comp GROUP BY ALL HAVING count(*) > 1")
-def cycle_ids(s, d):
-    return G.components(_sparse(s, d)).groupBy("scc").agg(F.count("*").alias("size")).where("size > 1")
-
-
-@query(f"""WITH RECURSIVE {_SCC}, ce AS MATERIALIZED (SELECT DISTINCT a.scc AS s, b.scc AS t FROM edges JOIN comp a ON a.key = src_key JOIN comp b ON b.key = dst_key WHERE a.scc <> b.scc),
-dp(scc, depth) AS (SELECT DISTINCT scc, 0 FROM comp UNION SELECT t, depth + 1 FROM dp JOIN ce ON s = dp.scc) SELECT key, comp.scc, max(depth) AS depth FROM comp JOIN dp ON dp.scc = comp.scc GROUP BY ALL""")
-def strata_depth(s, d):
-    return G.strata(_sparse(s, d))
-
-
-# The same over the whole follow graph, whose closure is too large for SQL; the tests compare with brute force.
+# The closure of the follow graph is too large for SQL; the tests compare with brute force.
 @query()
-def scc_all(s, d):
+def scc(s, d):
     return G.components(A.follow_edges(s, d))
 
 
 @query()
-def cycle_ids_all(s, d):
+def cycle_ids(s, d):
     return G.components(A.follow_edges(s, d)).groupBy("scc").agg(F.count("*").alias("size")).where("size > 1")
 
 
 @query()
-def strata_depth_all(s, d):
+def strata_depth(s, d):
     return G.strata(A.follow_edges(s, d))
 
 

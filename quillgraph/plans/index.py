@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import changes as H
 from quillgraph.operators import liveness as L
 from quillgraph.operators import shaping as D
+from quillgraph.plans.text import NORM_SQL
 from quillgraph.sources import adapters as A
 
 QUERIES, ORACLE = {}, {}
@@ -23,52 +24,7 @@ def query(sql: str | None = None):
     return add
 
 
-_DEAD = f"""{A.EDGES}, r(key) AS (SELECT key FROM parts WHERE p_size = 1 UNION SELECT dst_key FROM r JOIN edges ON src_key = r.key AND type = 'var'),
-dd AS (SELECT file AS path, 'p' || p_partkey AS name, p_partkey // 97 AS line, CASE WHEN p_type LIKE '%BRASS%' OR p_size > 40 THEN 'review' ELSE 'likely' END AS tier FROM parts WHERE key NOT IN (SELECT key FROM r) AND p_partkey % 10 <> 0)"""
-
-
-_DEAD_ALL = _DEAD.replace(" AND p_partkey % 10 <> 0", "")
-
-
-def _dead(s, d, exempt="cast(substring(name, 2) as long) % 10 = 0"):
-    """``exempt`` is a stand-in for names that are called dynamically; the tables have none."""
-    symbols = A.part_symbols(s, d)
-    kept = symbols.where(exempt).select("name")
-    return L.dead_code(symbols, A.follow_edges(s, d).where("type = 'var'"), symbols.where("size = 1").select("key"), kept, F.col("class_name").contains("BRASS") | (F.col("size") > 40))
-
-
-@query(f"WITH RECURSIVE {_DEAD} SELECT path, name, line, tier FROM dd")
-def dead_rows(s, d):
-    return _dead(s, d)
-
-
-@query(f"WITH RECURSIVE {_DEAD} SELECT coalesce(tier, 'all') AS tier, count(*) AS n FROM dd GROUP BY ROLLUP (tier)")
-def dead_summary(s, d):
-    return _dead(s, d).rollup("tier").agg(F.count("*").alias("n")).select(F.coalesce("tier", F.lit("all")).alias("tier"), "n")
-
-
-@query(f"""WITH RECURSIVE {_DEAD}, fc AS (SELECT file AS path, count(*) AS n FROM parts GROUP BY ALL), sh AS (SELECT path, round(sum(CASE tier WHEN 'likely' THEN 1.0 ELSE 0.5 END)::DOUBLE / max(n), 4) AS share FROM dd JOIN fc USING (path) GROUP BY ALL) SELECT path, share, share >= 0.4 AS dead FROM sh""")
-def dead_share(s, d):
-    return L.dead_shares(_dead(s, d), A.part_symbols(s, d))
-
-
-@query(f"WITH RECURSIVE {_DEAD_ALL} SELECT path, name, line, tier FROM dd")
-def dead_rows_all(s, d):
-    return _dead(s, d, "false")
-
-
-@query(f"WITH RECURSIVE {_DEAD_ALL} SELECT coalesce(tier, 'all') AS tier, count(*) AS n FROM dd GROUP BY ROLLUP (tier)")
-def dead_summary_all(s, d):
-    return _dead(s, d, "false").rollup("tier").agg(F.count("*").alias("n")).select(F.coalesce("tier", F.lit("all")).alias("tier"), "n")
-
-
-@query(f"""WITH RECURSIVE {_DEAD_ALL}, fc AS (SELECT file AS path, count(*) AS n FROM parts GROUP BY ALL), sh AS (SELECT path, round(sum(CASE tier WHEN 'likely' THEN 1.0 ELSE 0.5 END)::DOUBLE / max(n), 4) AS share FROM dd JOIN fc USING (path) GROUP BY ALL) SELECT path, share, share >= 0.4 AS dead FROM sh""")
-def dead_share_all(s, d):
-    return L.dead_shares(_dead(s, d, "false"), A.part_symbols(s, d))
-
-
-_NORM = rf"""{A.FUNCS}, nb AS (SELECT func_id, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(body, '\r\n|\n|\r'), lambda x: rtrim(string_split(x, '#')[1], ' ')), lambda x: trim(x, ' ') <> ''), lambda x: '  ' || trim(x, ' ')), chr(10)) AS norm FROM fn WHERE body IS NOT NULL),
-hs AS (SELECT func_id, sha1(norm) AS h FROM nb WHERE len(string_split(norm, chr(10))) >= 3), gr AS (SELECT h, count(*) AS n FROM hs GROUP BY ALL HAVING count(*) >= 2)"""
+_NORM = f"""{A.FUNCS}, {NORM_SQL}, hs AS (SELECT func_id, sha1(norm) AS h FROM nb WHERE len(string_split(norm, chr(10))) >= 3), gr AS (SELECT h, count(*) AS n FROM hs GROUP BY ALL HAVING count(*) >= 2)"""
 
 
 @query(f"WITH {_NORM} SELECT left(h, 8) AS hash, func_id, n FROM hs JOIN gr USING (h)")

@@ -120,10 +120,14 @@ def name_valid(s, d):
     return names.select("name", valid_name(F.col("name")).alias("valid"))
 
 
-@query(rf"""WITH {A.FUNCS} SELECT func_id, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(body, '\r\n|\n|\r'), lambda x: rtrim(string_split(x, '#')[1], ' ')),
-  lambda x: trim(x, ' ') <> ''), lambda x: '  ' || trim(x, ' ')), chr(10)) AS norm FROM fn WHERE body IS NOT NULL""")
+#: Bodies cut at the comment marks of their language, without empty lines, at one indent.
+NORM_SQL = rf"""nx AS (SELECT func_id, body, lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS ext FROM fn WHERE body IS NOT NULL),
+nb AS (SELECT func_id, ext, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(body, '\r\n|\n|\r'), lambda x: rtrim(CASE WHEN ext IN ('.py', '.pyi', '.gd') THEN string_split(x, '#')[1] WHEN ext = '.lua' THEN string_split(x, '--')[1] WHEN ext IN ('.java', '.php') THEN string_split(string_split(x, '//')[1], '/*')[1] ELSE string_split(x, '//')[1] END, ' ')), lambda x: trim(x, ' ') <> ''), lambda x: '  ' || trim(x, ' ')), chr(10)) AS norm FROM nx)"""
+
+
+@query(f"WITH {A.FUNCS}, {NORM_SQL} SELECT func_id, norm FROM nb")
 def normal_body(s, d):
-    return A.functions(s, d).where("body is not null").select("func_id", T.normal_body(F.col("body")).alias("norm"))
+    return A.functions(s, d).where("body is not null").select("func_id", T.normal_body(F.col("body"), T.file_ext(F.col("path"))).alias("norm"))
 
 
 @query(rf"""WITH {A.FUNCS} SELECT func_id, list_sort(list_distinct(regexp_extract_all(body, 'self\.([A-Za-z_]\w*)\s*=(?:[^=]|$)', 1))) AS written FROM fn WHERE body IS NOT NULL""")

@@ -52,10 +52,21 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    The result has no lineage, survives the loss of executors, and is deleted when the JVM ends.
+    The result has no lineage, survives the loss of executors, and is deleted by ``release`` or when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     delete_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete tables that ``stage`` wrote and nothing reads any more, such as those of the last round of a loop."""
+    for df in frames:
+        path = getattr(df, "_staged", None)
+        if path is not None:
+            jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
