@@ -12,8 +12,10 @@ prefixes are indexed. Set relations are used at three places:
   a block that can't reach the overlap any more skips the rest of the block, and the read goes on at
   the next block until sizes are out of range.
 
-Lists of elements known to be frequent are cut into cells of pairs of sub-lists, so no task holds a
-whole hot list. Candidates are verified on the full sets.
+No task holds or pairs a whole hot list. The lists of elements counted as frequent are spread over
+salted sub-lists before they are shuffled; a list that turns out long all the same is not paired where
+it is read but cut into cells of one length, and pairs of cells whose sizes can meet go to tasks of
+their own. Candidates are verified on the full sets.
 """
 
 from __future__ import annotations
@@ -145,8 +147,12 @@ def _relation(order, t: float, depth: int):
     return run
 
 
-def _postings(order, t: float, depth: int, cell: int, most_cells: int):
-    """Index entries (token and cell pair, size and position, pid, own cell) of the prefix classes of a batch."""
+def _postings(order, t: float, depth: int, cell: int):
+    """Index entries (token, pair of sub-lists, size and position, pid, own sub-list) of the prefix classes of a batch.
+
+    An element counted ``cell`` times or more has as many sub-lists as its count needs, and an entry goes to each
+    pair of sub-lists with its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,12 +161,12 @@ def _postings(order, t: float, depth: int, cell: int, most_cells: int):
             first[np.unique(pid, return_index=True)[1]] = True
             use = first[who]
             who, pre, at, cnt = who[use], pre[use], at[use], cnt[use]
-            m = np.clip(-(-cnt // cell), 1, most_cells)
+            m = np.maximum(1, -(-cnt // cell))
             own = (pid[who].view(np.uint64) % m.astype(np.uint64)).astype(np.int64)
             k = np.repeat(np.arange(len(m)), m)
             other = np.arange(len(k)) - np.repeat(np.cumsum(m) - m, m)
-            token = (pre[k] << 12) + np.minimum(own[k], other) * 64 + np.maximum(own[k], other)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array((n[who[k]] << 32) | at[k]), pa.array(pid[who[k]]), pa.array(own[k].astype(np.int32))], ["token", "np", "pid", "cell"])
+            sub = (np.minimum(own[k], other) << 32) | np.maximum(own[k], other)
+            yield pa.RecordBatch.from_arrays([pa.array(pre[k]), pa.array(sub), pa.array((n[who[k]] << 32) | at[k]), pa.array(pid[who[k]]), pa.array(own[k])], ["token", "sub", "np", "pid", "own"])
 
     return run
 
@@ -205,33 +211,109 @@ def list_pairs(tok: np.ndarray, size: np.ndarray, pos: np.ndarray, t: float) ->
     return np.concatenate([*left, none]), np.concatenate([*right, none])
 
 
-def _probe(t: float):
-    def pairs(tok, np_, pid, cell):
-        alone = np.ones(len(tok), bool)
-        alone[1:] &= tok[1:] != tok[:-1]
-        alone[:-1] &= tok[1:] != tok[:-1]
-        tok, np_, pid, cell = (x[~alone] for x in (tok, np_, pid, cell))
-        i, j = list_pairs(tok, np_ >> 32, np_ & 0xFFFFFFFF, t)
-        low = tok[i] & 4095
-        # In a cell of two sub-lists only pairs across them count; in a diagonal cell all do.
-        ok = (pid[i] != pid[j]) & ((low // 64 == low % 64) | (cell[i] != cell[j]))
-        a, b = pid[i[ok]], pid[j[ok]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+#: Columns of an index entry, and of what reading lists gives: pairs (a, b), or with ``own`` set the entries of a cell.
+_ENTRY = "token long, sub long, np long, pid long, own long"
+_READ = "a long, b long, token long, sub long, own long, np long"
+
+
+def _paired(key: list[np.ndarray], np_: np.ndarray, pid: np.ndarray, own: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of pids of whole lists (entries of equal key) sorted by key, size and position."""
+    new = np.ones(len(pid), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
+    tok = np.cumsum(new)
+    alone = new.copy()
+    alone[:-1] &= new[1:]
+    keep = ~alone
+    tok, np_, pid, own, sub = tok[keep], np_[keep], pid[keep], own[keep], key[1][keep]
+    i, j = list_pairs(tok, np_ >> 32, np_ & 0xFFFFFFFF, t)
+    low, high = sub[i] >> 32, sub[i] & 0xFFFFFFFF
+    # In a pair of two sub-lists only pairs across them count; in a diagonal one all do.
+    ok = (pid[i] != pid[j]) & ((low == high) | (own[i] != own[j]))
+    return pid[i[ok]], pid[j[ok]]
+
+
+def _probe(t: float, cell: int):
+    """Read lists sorted by (token, sub, np, pid). Short ones are paired; of a long one (over ``cell`` entries) the
+    entries are handed on, numbered by cells of ``cell`` entries in their order."""
+
+    def out(a, b, token, sub, own, np_):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, token, sub, own, np_)], ["a", "b", "token", "sub", "own", "np"])
+
+    def pairs(cols):
+        a, b = _paired(cols[:2], *cols[2:], t)
+        none = np.full(len(a), -1)
+        return out(np.minimum(a, b), np.maximum(a, b), none, none, none, none)
+
+    def entries(cols, at):
+        # Both ends of ``sub`` and the own sub-list matter for which pairs count, so cells are cut within them.
+        return out(cols[3], cols[4], cols[0], cols[1], (at + np.arange(len(cols[0]))) // cell, cols[2])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, long_key, at = None, None, 0
+        for batch in batches:
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            if not len(now[0]):
+                continue
+            if long_key is not None:
+                same = (now[0] == long_key[0]) & (now[1] == long_key[1])
+                n = int(same.sum())
+                if n:
+                    yield entries([x[:n] for x in now], at)
+                    at += n
+                    now = [x[n:] for x in now]
+                if not len(now[0]):
+                    continue
+                long_key = None
+            if held is not None:
+                now = [np.concatenate([h, x]) for h, x in zip(held, now)]
+            new = np.ones(len(now[0]), bool)
+            new[1:] = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])
+            start = np.nonzero(new)[0]
+            size = np.diff(np.append(start, len(new)))
+            big = np.repeat(size > cell, size)
+            last = start[-1]
+            whole = ~big
+            whole[last:] = False  # the last list may go on
+            if whole.any():
+                yield pairs([x[whole] for x in now])
+            for k in np.nonzero(size > cell)[0]:
+                part = slice(start[k], start[k] + size[k])
+                yield entries([x[part] for x in now], 0)
+            if size[-1] > cell:
+                long_key, at, held = (now[0][last], now[1][last]), int(size[-1]), None
+            else:
+                held = [x[last:] for x in now]
+        if held is not None and len(held[0]):
+            yield pairs(held)
+
+    return run
+
+
+def _cell_pairs(t: float):
+    """Pairs of pids of pairs of cells: rows (key, np, pid, own, side) sorted by (key, np, pid); side 2 is a cell with itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             if held is not None:
                 now = [np.concatenate([h, x]) for h, x in zip(held, now)]
             if not len(now[0]):
                 continue
-            cut = int(np.searchsorted(now[0], now[0][-1], side="left"))  # the last list may go on
+            cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
             held = [x[cut:] for x in now]
             if cut:
-                yield pairs(*(x[:cut] for x in now))
-        if held is not None:
-            yield pairs(*held)
+                yield pairs([x[:cut] for x in now])
+        if held is not None and len(held[0]):
+            yield pairs(held)
+
+    def pairs(cols):
+        key, sub, np_, pid, own, side = cols
+        i, j = list_pairs(key, np_ >> 32, np_ & 0xFFFFFFFF, t)
+        low, high = sub[i] >> 32, sub[i] & 0xFFFFFFFF
+        ok = (pid[i] != pid[j]) & ((low == high) | (own[i] != own[j])) & ((side[i] == 2) | (side[i] != side[j]))
+        a, b = pid[i[ok]], pid[j[ok]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
@@ -239,19 +321,18 @@ def _probe(t: float):
 def _verify(t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c, ra, rb = (b.column(k).to_pylist() for k in range(4))
-            keep, sims, last, mine = [], [], None, None
-            for k in range(len(a)):
-                if a[k] != last:
-                    last, mine = a[k], unpack(ra[k])
-                other = unpack(rb[k])
-                at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
-                both = int((mine[at] == other).sum())
-                sim = both / (len(mine) + len(other) - both)
-                if sim >= t:
-                    keep.append(k)
-                    sims.append(sim)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([c[k] for k in keep], pa.int64()), pa.array(sims, pa.float64())], ["sa", "sb", "sim"])
+            for s in range(0, b.num_rows, 1 << 12):
+                part = b.slice(s, 1 << 12)
+                ra, rb = part.column(2).to_pylist(), part.column(3).to_pylist()
+                na, nb = (np.fromiter(map(len, r), np.int64, len(r)) // 6 for r in (ra, rb))
+                k = np.arange(len(ra), dtype=np.uint64) << np.uint64(48)
+                # Pair number and element in one key: both sides are sorted, and what both hold comes twice.
+                both = np.concatenate([unpack(b"".join(r)) | np.repeat(k, n) for r, n in ((ra, na), (rb, nb))])
+                both.sort(kind="stable")
+                shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(ra))
+                sim = shared / np.maximum(1, na + nb - shared)
+                ok = pa.array(sim >= t)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok), pa.array(sim).filter(ok)], ["sa", "sb", "sim"])
 
     return run
 
@@ -280,13 +361,37 @@ class SimilarSets:
         return self.members.join(head.join(deg, "sid", "left"), "sid").select("id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _long_lists(read: DataFrame, t: float) -> DataFrame:
+    """(a, b) of the entries of long lists: each cell meets itself and those whose sizes can meet its own, each pair of
+    cells in a task of its own."""
+    e = read.where("own >= 0").select("token", "sub", F.col("own").alias("cell"), "np", F.col("a").alias("pid"), F.col("b").alias("own"))
+    size = F.shiftright("np", 32)
+    cells = e.groupBy("token", "sub", "cell").agg(F.min(size).alias("lo"), F.max(size).alias("hi"))
+    y = cells.select("token", "sub", F.col("cell").alias("y"), F.col("lo").alias("ylo"))
+    met = cells.withColumnRenamed("cell", "x").join(y, ["token", "sub"]).where((F.col("x") <= F.col("y")) & (F.lit(t) * F.col("ylo") <= F.col("hi") + 1e-9))
+    met = met.select("token", "sub", "x", "y", F.xxhash64("token", "sub", "x", "y").alias("key"))
+    left = e.join(met.withColumnRenamed("x", "cell"), ["token", "sub", "cell"]).select("key", "sub", "np", "pid", "own", F.when(F.col("cell") == F.col("y"), 2).otherwise(0).cast("long").alias("side"))
+    right = e.join(met.where("x < y").withColumnRenamed("y", "cell"), ["token", "sub", "cell"]).select("key", "sub", "np", "pid", "own", F.lit(1).cast("long").alias("side"))
+    rows = left.unionByName(right).repartition("key").sortWithinPartitions("key", "np", "pid")
+    return rows.mapInArrow(_cell_pairs(t), "a long, b long")
+
+
+def _fellow_pairs(related: DataFrame, cell: int) -> DataFrame:
+    """(x, y), x < y, of the sets of one prefix class; a large class is met in pairs of sub-classes of about ``cell`` sets."""
+    many = related.groupBy("pid").agg(F.count("*").alias("n")).where("n > 1").select("pid", F.ceil(F.col("n") / cell).cast("int").alias("m"))
+    r = related.join(many, "pid").withColumn("u", F.pmod(F.xxhash64("sid"), F.col("m")).cast("int"))
+    left = r.select("pid", F.col("sid").alias("x"), "u", F.explode(F.sequence("u", F.col("m") - 1)).alias("v"))
+    right = r.select("pid", F.col("sid").alias("y"), F.col("u").alias("v"), F.explode(F.sequence(F.lit(0), "u")).alias("u"))
+    return left.join(right, ["pid", "u", "v"]).where("u < v or x < y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
 def similar_sets(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, width: int = 5, least: int = 1, depth: int = 3, order_size: int = 1 << 17, often: int = 4, cell: int = 4096) -> SimilarSets:
     """All pairs of texts whose sets of ``width``-word runs have Jaccard similarity ``threshold`` or more.
 
     Sets under ``least`` elements take no part; so don't null or empty texts. Redelivered ids count
     once. Exact up to collisions of 48-bit hashes within a pair. ``order_size`` bounds the table of
-    frequent elements that is broadcast (16 bytes each); it only orders elements, so results don't
-    depend on it. An empty table gives no rows; other columns are ignored.
+    frequent elements that is broadcast (16 bytes each); it orders elements and spreads the longest lists, so
+    results don't depend on it. An empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
     depth = max(1, min(depth, int(np.ceil(threshold * max(1, least) - 1e-9))))
@@ -298,12 +403,12 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, threshold: float = 0
     order = spark.sparkContext.broadcast(_Order(top["token"].to_numpy(np.uint64), top["cnt"].to_numpy(np.int64)))
     keyed = sets.select("sid", "n", "grams")
     related = stage(keyed.mapInArrow(_relation(order, threshold, depth), "pid long, sid long").distinct(), "p1-classes")
-    lists = keyed.mapInArrow(_postings(order, threshold, depth, cell, 64), "token long, np long, pid long, cell int")
-    lists = lists.repartition("token").sortWithinPartitions("token", "np", "pid")
-    hits = lists.mapInArrow(_once(_probe(threshold)), "a long, b long").groupBy("a", "b").count().where(F.col("count") >= depth)
+    lists = keyed.mapInArrow(_postings(order, threshold, depth, cell), _ENTRY)
+    lists = lists.repartition("token", "sub").sortWithinPartitions("token", "sub", "np", "pid")
+    read = stage(lists.mapInArrow(_once(_probe(threshold, cell)), _READ), "p1-read")
+    hits = read.where("own < 0").select("a", "b").unionByName(_long_lists(read, threshold)).groupBy("a", "b").count().where(F.col("count") >= depth)
     across = hits.join(related.select(F.col("pid").alias("a"), F.col("sid").alias("x")), "a").join(related.select(F.col("pid").alias("b"), F.col("sid").alias("y")), "b").select("x", "y")
-    fellows = related.select("pid", F.col("sid").alias("x")).join(related.select("pid", F.col("sid").alias("y")), "pid").where("x < y").select("x", "y")
-    cand = across.unionByName(fellows).select(F.least("x", "y").alias("sa"), F.greatest("x", "y").alias("sb")).where("sa <> sb").distinct()
+    cand = across.unionByName(_fellow_pairs(related, cell)).select(F.least("x", "y").alias("sa"), F.greatest("x", "y").alias("sb")).where("sa <> sb").distinct()
     cand = stage(cand, "p1-candidates")
     asked = cand.select(F.col("sa").alias("sid")).unionAll(cand.select(F.col("sb").alias("sid"))).distinct()
     full = sets.select("sid", "grams").join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
@@ -320,7 +425,7 @@ def _once(run):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
             new = np.zeros(b.num_rows, bool)
             new[0] = last != tuple(c[0] for c in cols)
             for c in cols:
