@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import syntax
 from quillgraph.llm.distinctive import name_terms, term_scores, top_terms
 from quillgraph.llm.folding import fold_copies
-from quillgraph.llm.languages import LANGUAGES, code_blocks, document_labels, label_paragraphs, paragraphs, presence, prose
+from quillgraph.llm.languages import LANGUAGES, Spectrum, code_blocks, document_labels, fit_texts, label_paragraphs, paragraphs, prose, sample_rows
 from quillgraph.llm.leakage import leaked_items
 from quillgraph.llm.neighbours import hilbert_keys, similar_vectors
 from quillgraph.llm.similar import list_pairs, pack, similar_sets, unpack
@@ -57,8 +57,11 @@ def test_similar_sets_equal_brute_force(spark, width, t, least):
     df = spark.createDataFrame(rows + rows[:7], "func_id long, body string, sid string, n int")
     sets = {k: s for k, b in enumerate(body) if b and len(s := shingles(b, width)) >= least}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
+    # Lists known to be hot are spread; with an empty table of frequent elements every long list is found where it is read.
+    unknown = similar_sets(df, "func_id", "body", t, width, least, often=10**6, cell=2)
+    assert {(r["a"], r["b"]) for r in unknown.pairs().collect()} == want and len(want) > 5
     got = similar_sets(df, "func_id", "body", t, width, least, often=2, cell=4)
-    assert {(r["a"], r["b"]) for r in got.pairs().collect()} == want and len(want) > 5
+    assert {(r["a"], r["b"]) for r in got.pairs().collect()} == want
     classes = {r["id"]: r for r in got.classes().collect()}
     assert set(classes) == set(sets)
     for a in sets:
@@ -67,6 +70,17 @@ def test_similar_sets_equal_brute_force(spark, width, t, least):
         assert (classes[a]["class_id"], classes[a]["n_copies"], classes[a]["n_links"]) == (min(same), len(same), len(others))
 
 
+def test_a_large_class_of_one_prefix(spark):
+    """Sets that share their rare words and differ in one frequent word each are fellows, met in sub-classes."""
+    common = [f"c{k}" for k in range(24)]
+    rows = [(k, " ".join(f"r{j}" for j in range(60)) + " " + " ".join(common[:k] + common[k + 1 :])) for k in range(24)]
+    rows += [(100 + k, " ".join(common[j] for j in range(24)) + f" x{k}") for k in range(30)]
+    sets = {k: shingles(t, 3) for k, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
+    got = similar_sets(spark.createDataFrame(rows, "i long, t string"), "i", "t", 0.7, 3, 1, often=2, cell=3)
+    assert {(r["a"], r["b"]) for r in got.pairs().collect()} == want and len(want) > 500
+
+
 def test_similar_sets_of_nothing(spark):
     df = spark.createDataFrame([], "i long, t string")
     assert similar_sets(df, "i", "t").pairs().count() == 0
@@ -160,6 +174,19 @@ GOOD = {
     "lua": ["local t = [[ ( ]]\n--[[ end ( ]]\nfor i, v in ipairs(t) do\n  if v then print 'x' end\nend\nrepeat x = 1 until x\n"],
     "gd": ["extends Node\n\nfunc f(a, b = [1,\n\t2]):\n\tif a: return\n\tvar d = {\n\t\"k\": 1,\n\t}\n\tpass\n"],
 }
+# Shapes of code as it is written that look odd to a lexer.
+for _lang, _more in {
+    "js": ["#!/usr/bin/env node\nconst a = 1;\n", "const B = styled.div`color: ${p => p.c}; // it's`;\nconst c = css`a`;\n", "const q = `'${input.replace(/'/g, `'\\\\''`)}'`\n", "return {\n  start,\n  end\n};\n", "if (a) /[)]/.test(b);\nx = a / b / c;\n"],
+    "ts": ["interface P<T> {\n  catch<U>(f: (e: any) => U): Promise<T | U>;\n  if: string;\n}\n", "function f(a: string): asserts a is string;\nfunction f(a: any) { }\n", "class A\n  extends B\n{\n}\n"],
+    "rs": ["macro_rules! add {\n    ($v:expr $(,)?) => { $v + 1 };\n    ($($x:expr),*) => { $(\n        $x = 1;\n    )* };\n}\n", "fn f() {\n    let g = || {\n        1\n    };\n    for Pair {\n        a,\n        end,\n    } in it\n    {\n        g();\n    }\n}\n", "bitflags! {\n    struct F: u8 {\n        const A = 1;\n    }\n}\n"],
+    "c": ["void f(void) {\n    from++;\n    var->a = 1;\n    Py_BEGIN_ALLOW_THREADS\n    use(a)\n    x = 1;\n    LIST_EACH(a, b) {\n        g();\n    }\n}\n", "#ifdef A\nint f(int a) {\n#else\nint f(long a) {\n#endif\n    return 1;\n}\nMODULE_LICENSE(\"x\")\n"],
+    "java": ["module m {\n    requires a.b;\n    provides a.B\n        with c.D;\n}\n", "enum E {\n    start,\n    end\n}\n"],
+    "cs": ["class A { void F() {\n    var q = from x in xs where x > 1 select x;\n    var o = new B() { C = 1 };\n    if (o is > 1 and < 5) return;\n} }\n"],
+    "go": ["package p\n\nfunc f(a int) int\n\nfunc g() {\n\tfrom := 1\n\ttype T struct {\n\t\tA int `json:\"a\"`\n\t}\n}\n"],
+    "php": ["<!DOCTYPE html>\n<p>it's</p>\n<?php if ($a): ?>\n<b>(</b>\n<?php else: ?>\n<?php endif ?>\n", "<?php\nclass A {\n    use B;\n    use C\\D;\n}\n"],
+    "lua": ["#!/usr/bin/lua\nprint \"a\"\nf{1}\nlocal s = 'a\\z\n   b'\n"],
+}.items():
+    GOOD[_lang] += _more
 BAD = {
     "py": ["def f(", "def f()\n    pass\n", "if x:\ny = 1\n", "<<<<<<< a\nx = 1\n=======\nx = 2\n>>>>>>> b\n", "x = 'a\n", "function f() {}\n"],
     "json": ["", "{,}", '{"a": 1,}', "NaN", "{} {}", "{'a': 1}"],
@@ -384,7 +411,8 @@ def test_paragraphs_and_prose():
     t = "One two.\r\n\r\n```py\nx = 1\n\ny = 2\n```\n\nthree\nfour \n \nfive"
     assert [p.strip() for p in paragraphs(t)] == ["One two.", "three\nfour", "five"]
     assert prose("symbols: a_b, c_d, e_f, g_h") is None and prose("x = f(a); y = g(b);") is None
-    assert prose("We call `a_b` here and it works") == "we call here and it works"
+    assert prose("We call `a_b` here and it works") == "we call here and it works".split()
+    assert prose("Use loadFile (x1) and the rest.") == "use and the rest".split()
 
 
 def test_paragraphs_of_any_line_end():
@@ -396,12 +424,48 @@ def test_paragraphs_of_any_line_end():
         assert code_blocks(other) == ["```py\nx = 1\n\ny = 2\n```", "~~~\nz\n~~~ "]
 
 
-def test_presence_of_long_texts():
-    rng = random.Random(8)
-    said = ["".join(rng.choice("abcde é") for _ in range(n)) for n in (0, 1, 5, 400, 3000)]
-    for order in (1, 4):
-        whole = presence(said, order, 512)
-        assert (whole == presence(said, order, 512, most=64)).all() and whole[0].sum() > 0
+def test_spectrum_is_the_set_of_grams_of_the_words():
+    rng = random.Random(3)
+    said = [["".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 40))] for _ in range(20)]
+    for most in (200_000, 30):  # a memory that is emptied again and again gives the same
+        sp = Spectrum(3, 1 << 20, most)
+        row, gram = sp.rows(said)
+        for k, words_ in enumerate(said):
+            want = {f" {w} "[a : a + n] for w in words_ for n in (1, 2, 3) for a in range(len(w) + 3 - n)}
+            assert len(want) == (row == k).sum() == len(set(gram[row == k].tolist()))
+        alone = sp.rows([said[4]])[1]
+        assert (alone == gram[row == 4]).all()
+
+
+def test_an_open_fence_takes_nothing_with_it():
+    t = "Before it.\n\n```py\nx = 1\n\nThe second paragraph.\n\nThe third one."
+    assert [p.strip() for p in paragraphs(t)] == ["Before it.", "x = 1", "The second paragraph.", "The third one."]
+
+
+def test_sample_counts_copies_once(spark):
+    df = spark.createDataFrame([(f"text number {k % 7} of the many that are here, copied", "en") for k in range(200)] + [("ein ganz anderer Text, der hier auch noch steht und lang ist", "de")], "text string, lang string")
+    got = sample_rows(df, "text", "lang", 5, 1000).collect()
+    assert len(got) == 6 and len({r["t"] for r in got}) == 6
+
+
+# Technical sentences as they are written without accents, and passages full of made-up names.
+PLAIN = {
+    "es": ["por favor limpia la cache antes de reiniciar el servicio otra vez", "la funcion devuelve los indices en un orden que no esta garantizado todavia"],
+    "pt": ["por favor verifique os nos antes de apagar alguma coisa que parece nao ter uso", "a funcao devolve os resultados em uma ordem que ainda nao esta garantida"],
+    "it": ["per favore controllare i percorsi prima di cancellare qualcosa che sembra inutile", "la funzione restituisce le regole in un ordine che non e ancora garantito"],
+    "en": ["explain how vebavogedu reaches buvorigodu when the gitamikadu gate is closed and no root except marigikidu refers to it"],
+}
+
+
+def test_sentences_without_accents_and_with_names(data):
+    import pandas as pd
+
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).dropna()
+    model = fit_texts([(t, LANGUAGES.index(x)) for t, x in zip(d["text"], d["lang"]) if x in LANGUAGES])
+    for lang, texts in PLAIN.items():
+        for t in texts:
+            (got,), (conf,) = model.predict([prose(t)])
+            assert LANGUAGES[got] == lang, (t, LANGUAGES[got], conf)
 
 
 def test_languages(spark):
