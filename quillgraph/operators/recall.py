@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import B, FIELD_WEIGHTS, K1, recall_tokens
-from quillgraph.operators.vectors import fake_embedding, knn
+from quillgraph.operators.vectors import hashed_vectors, knn
 from quillgraph.session import stage
 
 #: Fixed values of the fusion and of the evidence floors.
@@ -97,28 +97,36 @@ def ranked(scores: DataFrame, score: str, by: list[str], key: str, digits: int =
     return scores.withColumn(score, F.round(score, digits)).withColumn("rank", F.row_number().over(w))
 
 
-def vector_side(docs: DataFrame, queries: dict[str, str], embed: Callable[[Column], Column] = fake_embedding, top: int = 40) -> DataFrame:
-    """(q, path, cos, rank): the ``top`` nearest documents of each query by the vectors of their texts, exact.
+Embed = Callable[[DataFrame, str, Column], DataFrame]
 
-    ``embed`` turns a text column into array<float>; the default depends on the text alone and says nothing of
-    its meaning, a real model is passed in its place.
+
+def nearest(rows: DataFrame, text: Column, queries: dict[str, str], top: int = 40, embed: Embed = hashed_vectors, key: str = "path") -> DataFrame:
+    """(q, key, cos, rank): the ``top`` nearest rows of each query by the vectors of their texts, exact; ties by key.
+
+    ``embed`` turns (rows, key, text) into (key, embedding). Rows are numbered in the order of their keys, so that ties at
+    the cut go by key too.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     number = {q: -k for k, q in enumerate(queries, 1)}
-    asked = spark.createDataFrame([(number[q], t) for q, t in queries.items()], "id long, text string").select("id", embed(F.col("text")).alias("embedding"))
-    names = stage(docs.select("path", F.monotonically_increasing_id().alias("id"), embed(F.concat_ws("\n", *FIELD_WEIGHTS)).alias("embedding")), "embedded")
-    near = knn(asked, names.select("id", "embedding"), top)
+    asked = embed(spark.createDataFrame([(str(number[q]), t) for q, t in queries.items()], "id string, text string"), "id", F.col("text"))
+    held = stage(embed(rows, key, text).sort(key).withColumn("id", F.monotonically_increasing_id()), "embedded")
+    near = knn(asked.select(F.col("id").cast("long").alias("id"), "embedding"), held.select("id", "embedding"), top)
     who = spark.createDataFrame([(k, q) for q, k in number.items()], "asked long, q string")
     found = near.join(F.broadcast(who), near.q == who.asked).select(who.q, "id", F.col("sim").alias("cos"))
-    return ranked(found.join(names.select("id", "path"), "id").select("q", "path", "cos"), "cos", ["q"], "path")
+    return ranked(found.join(held.select("id", key), "id").select("q", key, "cos"), "cos", ["q"], key)
+
+
+def vector_side(docs: DataFrame, queries: dict[str, str], embed: Embed = hashed_vectors, top: int = 40) -> DataFrame:
+    """(q, path, cos, rank): the nearest documents of each query by titles, sources and texts."""
+    return nearest(docs, F.concat_ws("\n", "class_name", "symbols", "body"), queries, top, embed)
 
 
-def rrf(sides: dict[str, tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
-    """Fuse ranked sides (q, path, rank): sum of w / (k + rank), and which sides knew the document."""
-    parts = [df.select("q", "path", (F.lit(w) / (k + F.col("rank"))).alias("s"), F.lit(name).alias("side")) for name, (df, w) in sides.items()]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+def rrf(sides: list[tuple[str, DataFrame, float]], k: int = RRF_K) -> DataFrame:
+    """Fuse ranked sides (tag, (q, path, rank), weight): sum of w / (k + rank), and which kinds of sides knew the document."""
+    every = None
+    for tag, df, w in sides:
+        part = df.select("q", "path", (F.lit(w) / (k + F.col("rank"))).alias("s"), F.lit(tag).alias("side"))
+        every = part if every is None else every.unionByName(part)
     names = F.array_sort(F.collect_set("side"))
     return every.groupBy("q", "path").agg(F.sum("s").alias("score"), F.when(F.size(names) > 1, "both").otherwise(names[0]).alias("src"))
 
@@ -148,12 +156,24 @@ def weak(cos: Column, bm25: Column) -> Column:
     return (F.coalesce(cos, F.lit(-1.0)) < FLOOR_COS) & (F.coalesce(bm25, F.lit(-1.0)) < FLOOR_BM25)
 
 
+def fold_hits(hits: DataFrame, own: list[str], n: int) -> DataFrame:
+    """Hits (q, rank, ...) with the best-ranked one of each ``own`` (the pieces of one function are one), the first ``n`` of a query; ``place`` from 1."""
+    one = hits.withColumn("nth", F.row_number().over(Window.partitionBy("q", *own).orderBy("rank"))).where("nth = 1").drop("nth")
+    return one.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("rank"))).where(F.col("place") <= n)
+
+
 def first_per_group(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """The best row of each group; used to fold the chunks of a function into one hit."""
     w = Window.partitionBy(*group).orderBy(*order)
     return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
+def shortlist(hits: DataFrame, names: int = 4) -> DataFrame:
+    """(q, file, score, n, names) of function hits (q, file, name, cos, rank): the files with their best score and first names."""
+    first = F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"])
+    return hits.groupBy("q", "file").agg(F.max("cos").alias("score"), F.count("*").alias("n"), F.slice(first, 1, names).alias("names"))
+
+
 def lexical_fallback(functions: DataFrame, tokens: Column) -> DataFrame:
     """Functions by how many query tokens their name holds, 1 if only path or class hold one."""
     name = F.size(F.filter(tokens, lambda t: F.lower(F.col("name")).contains(t)))

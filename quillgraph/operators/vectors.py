@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import cosine, dot
+from quillgraph.functions.text import cosine, dot, recall_tokens
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -93,4 +94,33 @@ def fake_embedding(text: Column, dim: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.xxhash64(text, i) / F.lit(float(2**63))).cast("float"))
 
 
-__all__ = ["knn", "mutual", "centroids", "centroid_cosines", "medoids", "fake_embedding", "dot"]
+def token_place(token: str, dim: int) -> tuple[int, float]:
+    """Component and sign of a token: the first two hexadecimal digits of its MD5 digest, and whether the third is below eight."""
+    h = hashlib.md5(token.encode()).hexdigest()
+    return int(h[:2], 16) % dim, 1.0 if int(h[2], 16) < 8 else -1.0
+
+
+def hashed_vectors(rows: DataFrame, key: str, text: Column, dim: int = 64) -> DataFrame:
+    """(key, embedding): signed counts of the tokens of a text over ``dim`` (256 at most) hashed components.
+
+    A model that needs no training: texts that share words are near. The key must be a string. Texts without a token give zeros.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        for b in batches:
+            tokens = b.column(1)
+            flat = tokens.flatten().to_pylist()
+            if len(known) > 500_000:
+                known.clear()
+            for t in set(flat) - known.keys():
+                known[t] = token_place(t, dim)
+            place = np.array([known[t] for t in flat], np.float64).reshape(-1, 2)
+            who = np.repeat(np.arange(b.num_rows), tokens.value_lengths().to_numpy(zero_copy_only=False))
+            out = np.bincount(who * dim + place[:, 0].astype(np.int64), place[:, 1], b.num_rows * dim).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, dim, dtype=np.int32)), pa.array(out))], [key, "embedding"])
+
+    return rows.select(F.col(key).cast("string").alias(key), recall_tokens(text).alias("tokens")).mapInArrow(run, f"{key} string, embedding array<float>")
+
+
+__all__ = ["hashed_vectors", "token_place", "knn", "mutual", "centroids", "centroid_cosines", "medoids", "fake_embedding", "dot"]

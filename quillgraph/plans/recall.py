@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators import recall as R
@@ -39,49 +40,62 @@ BM25 = f"""{INDEX}, ask AS ({_ASK}), qt AS (SELECT q, term, count(*) AS mult FRO
 bm AS (SELECT q, path, sum(mult * ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * wlen / av))) AS bm25
   FROM qt JOIN post USING (term) JOIN df USING (term) JOIN len USING (path), ag GROUP BY ALL),
 lex AS (SELECT * FROM (SELECT q, path, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY q ORDER BY round(bm25, 6) DESC, path) AS rank FROM bm WHERE bm25 > 0))"""
-# The second side of the fusion: documents by how many admissible query words their title and path hold, a stand-in for a vector side.
-SIDE = f"""{BM25}, sv AS (SELECT q, path, sum(mult * wtf) / sqrt(wlen) AS cos FROM qt JOIN post USING (term) JOIN len USING (path) GROUP BY q, path, wlen),
-vec AS (SELECT q, path, round(cos, 6) AS cos, row_number() OVER (PARTITION BY q ORDER BY round(cos, 6) DESC, path) AS rank FROM sv)"""
+#: Depth of each side before it is fused.
+DEPTH = 40
 
 
-def fuse_sql(w: float = 1.0, k: int = 30, depth: int = 40) -> str:
+def place_sql(term: str) -> str:
+    """Component and sign of a token from the digits of its digest."""
+    d = "strpos('0123456789abcdef', substr(md5({t}), {k}, 1)) - 1"
+    return f"((({d.format(t=term, k=1)}) * 16 + {d.format(t=term, k=2)}) % 64) AS pos, CASE WHEN {d.format(t=term, k=3)} < 8 THEN 1.0 ELSE -1.0 END AS sg"
+
+
+def cosine_sql(name: str, rows: str, key: str, ask: str) -> str:
+    """``name`` (q, key, cos, rank): all rows (key, text) by cosine with the queries of ``ask`` (q, text), zero vectors left out."""
+    return f"""{name}_t AS (SELECT {key}, unnest({tokens_sql('text')}) AS term FROM ({rows})), {name}_v AS MATERIALIZED (SELECT {key}, pos, sum(sg)::DOUBLE AS v FROM (SELECT {key}, {place_sql('term')} FROM {name}_t) GROUP BY ALL),
+{name}_n AS MATERIALIZED (SELECT {key}, sqrt(sum(v * v)) AS n FROM {name}_v GROUP BY ALL HAVING sum(v * v) > 0), {name}_qt AS (SELECT q, unnest({tokens_sql('text')}) AS term FROM {ask}),
+{name}_qv AS MATERIALIZED (SELECT q, pos, sum(sg)::DOUBLE AS v FROM (SELECT q, {place_sql('term')} FROM {name}_qt) GROUP BY ALL), {name}_qn AS (SELECT q, sqrt(sum(v * v)) AS n FROM {name}_qv GROUP BY ALL HAVING sum(v * v) > 0),
+{name}_d AS (SELECT q, {key}, sum(a.v * b.v) AS d FROM {name}_qv a JOIN {name}_v b USING (pos) GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT q, {key}, cos, row_number() OVER (PARTITION BY q ORDER BY cos DESC, {key}) AS rank FROM (SELECT qn.q, dn.{key}, round(coalesce(d, 0) / qn.n / dn.n, 6) AS cos FROM {name}_qn qn, {name}_n dn LEFT JOIN {name}_d dd ON dd.q = qn.q AND dd.{key} = dn.{key}))"""
+
+
+_DOC_TEXT = "SELECT path, class_name || chr(10) || symbols || chr(10) || body AS text FROM docs"
+SIDE = f"{BM25}, {cosine_sql('vec', _DOC_TEXT, 'path', 'ask')}"
+
+
+def fuse_sql(w: float = 1.0, k: int = 30, depth: int = DEPTH) -> str:
     return f"""fu AS (SELECT q, path, sum(s) AS score, CASE WHEN count(DISTINCT side) > 1 THEN 'both' ELSE min(side) END AS src FROM (
   SELECT q, path, 1.0::DOUBLE / ({k} + rank) AS s, 'bm25' AS side FROM lex WHERE rank <= {depth} UNION ALL SELECT q, path, {w}::DOUBLE / ({k} + rank), 'vec' FROM vec WHERE rank <= {depth}) GROUP BY ALL)"""
 
 
-# Files of one repository and kind that follow each other in order are wired.
-WIRES = """wires AS (SELECT src_file, dst_file, count(*) AS w FROM (SELECT path AS src_file, lead(path) OVER (PARTITION BY class_name, kind ORDER BY path) AS dst_file FROM docs) WHERE dst_file IS NOT NULL AND src_file <> dst_file GROUP BY ALL)"""
+# Documents about the same file of a repository are wired, each to the next in order.
+WIRES = """wires AS (SELECT src_file, dst_file, count(*) AS w FROM (SELECT file AS src_file, lead(file) OVER (PARTITION BY repo, path ORDER BY file) AS dst_file FROM
+  (SELECT repo, path, concat_ws('/', repo, coalesce(kind, ''), 'doc' || doc_id || '.md') AS file FROM documents WHERE repo <> '' AND path <> '')) WHERE dst_file IS NOT NULL AND src_file <> dst_file GROUP BY ALL)"""
 
 
 def _wires(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("class_name", "kind").orderBy("path")
-    pairs = A.docs(s, d).select(F.col("path").alias("src_file"), F.lead("path").over(w).alias("dst_file"))
+    w = Window.partitionBy("repo", "path").orderBy("file")
+    file = F.concat_ws("/", "repo", F.coalesce("kind", F.lit("")), F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".md")))
+    pairs = A.table(s, d, "documents").where("repo <> '' and path <> ''").select("repo", "path", file.alias("file")).select(F.col("file").alias("src_file"), F.lead("file").over(w).alias("dst_file"))
     return pairs.where("dst_file is not null and src_file <> dst_file").groupBy("src_file", "dst_file").agg(F.count("*").alias("w"))
 
 
-def _lex(s, d):
-    return R.ranked(R.bm25f(A.docs(s, d), ASKED), "bm25", ["q"], "path")
+def _lex(s, d, asked=None):
+    return R.ranked(R.bm25f(A.docs(s, d), asked or ASKED), "bm25", ["q"], "path")
 
 
-def _vec(s, d):
-    docs = A.docs(s, d)
-    q = R.query_terms(s, ASKED)
-    terms = sorted({r["term"] for r in q.collect()})
-    hits = R.query_postings(docs, terms).select("path", "wlen", F.explode("hits").alias("x")).select("path", "wlen", "x.term", "x.w")
-    side = hits.join(F.broadcast(q), "term").groupBy("q", "path", "wlen").agg((F.sum(F.col("mult") * F.col("w"))).alias("x")).select("q", "path", (F.col("x") / F.sqrt("wlen")).alias("cos"))
-    return R.ranked(side, "cos", ["q"], "path")
+def _vec(s, d, asked=None):
+    return R.vector_side(A.docs(s, d), asked or ASKED, top=DEPTH)
 
 
-def _sides(s, d):
-    """Both ranked sides, each made by one pass over the texts and kept for all that follows."""
-    return stage(_lex(s, d), "lexical"), stage(_vec(s, d), "vectors")
+def _sides(s, d, asked=None):
+    """Both ranked sides cut to their depth, kept for all that follows."""
+    return stage(_lex(s, d, asked).where(F.col("rank") <= DEPTH), "lexical"), stage(_vec(s, d, asked), "vectors")
 
 
-def _fused(s, d, w=1.0, k=30, depth=40, sides=None):
+def _fused(s, d, w=1.0, k=30, depth=DEPTH, sides=None):
     lex, vec = sides or (_lex(s, d), _vec(s, d))
-    return R.rrf({"bm25": (lex.where(F.col("rank") <= depth), 1.0), "vec": (vec.where(F.col("rank") <= depth), w)}, k)
+    return R.rrf([("bm25", lex.where(F.col("rank") <= depth), 1.0), ("vec", vec.where(F.col("rank") <= depth), w)], k)
 
 
 @query(f"WITH {INDEX} SELECT path, term, wtf FROM post")
@@ -153,7 +167,7 @@ def weak_flag(s, d):
 
 
 _HYBRID_SQL = f"""WITH {_BOOST}, {_CTX} SELECT top.q, top.path, top.score, top.src, top.rank, docs.class_name, docs.symbols, coalesce(vec.cos, -1) < 0.48 AND coalesce(lex.bm25, -1) < 6 AS weak,
-  coalesce(ctx.ctx, []) AS ctx FROM top JOIN docs ON docs.path = top.path LEFT JOIN lex ON lex.q = top.q AND lex.path = top.path LEFT JOIN vec ON vec.q = top.q AND vec.path = top.path LEFT JOIN ctx ON ctx.path = top.path"""
+  coalesce(ctx.ctx, []) AS ctx FROM top JOIN docs ON docs.path = top.path LEFT JOIN lex ON lex.q = top.q AND lex.path = top.path AND lex.rank <= {DEPTH} LEFT JOIN vec ON vec.q = top.q AND vec.path = top.path AND vec.rank <= {DEPTH} LEFT JOIN ctx ON ctx.path = top.path"""
 
 
 @query(_HYBRID_SQL)
@@ -168,38 +182,58 @@ def hybrid_search(s, d):
     return hits.select("q", "path", "score", "src", "rank", "class_name", "symbols", R.weak(F.col("cos"), F.col("bm25")).alias("weak"), F.coalesce("ctx", none).alias("ctx"))
 
 
-@query()
-def vector_hybrid(s, d):
-    """Lexical ranks fused with the nearest documents by the vectors of the texts, with the evidence flag on their cosine."""
-    docs = A.docs(s, d)
-    lex, vec = stage(_lex(s, d), "lexical"), stage(R.vector_side(docs, ASKED), "vectors")
-    top = R.ranked(_fused(s, d, sides=(lex, vec)), "score", ["q"], "path").where(F.col("rank") <= TOP)
-    hits = top.join(lex.select("q", "path", "bm25"), ["q", "path"], "left").join(vec.select("q", "path", "cos"), ["q", "path"], "left")
-    return hits.select("q", "path", "score", "src", "rank", "bm25", "cos", R.weak(F.col("cos"), F.col("bm25")).alias("weak"))
+_POOL, _ROOM = 12, 320
+_SECOND = f"""dn AS (SELECT q, word, min(rank) AS rank FROM (SELECT lex.q, lex.rank, concat_ws(' ', class_name, symbols) AS word FROM lex JOIN docs USING (path) WHERE lex.rank <= {_POOL}) WHERE word <> ' ' GROUP BY ALL),
+ds AS (SELECT q, left(string_agg(word, ' ' ORDER BY rank, word), {_ROOM}) AS added FROM dn GROUP BY ALL), ask2 AS (SELECT ask.q, ask.text || chr(10) || coalesce(added, '') AS text FROM ask LEFT JOIN ds USING (q)),
+qt2 AS (SELECT q, term, count(*) AS mult FROM (SELECT q, unnest({tokens_sql('text')}) AS term FROM ask2) GROUP BY ALL),
+bm2 AS (SELECT q, path, sum(mult * ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * wlen / av))) AS bm25 FROM qt2 JOIN post USING (term) JOIN df USING (term) JOIN len USING (path), ag GROUP BY ALL),
+lex2 AS (SELECT q, path, row_number() OVER (PARTITION BY q ORDER BY round(bm25, 6) DESC, path) AS rank FROM bm2 WHERE bm25 > 0), {cosine_sql('vec2', _DOC_TEXT, 'path', 'ask2')},
+f4 AS (SELECT q, path, sum(s) AS score, CASE WHEN count(DISTINCT side) > 1 THEN 'both' ELSE min(side) END AS src FROM (SELECT q, path, 1.0::DOUBLE / (30 + rank) AS s, 'bm25' AS side FROM lex WHERE rank <= {DEPTH} UNION ALL SELECT q, path, 1.0::DOUBLE / (30 + rank), 'vec' FROM vec WHERE rank <= {DEPTH}
+  UNION ALL SELECT q, path, 1.0::DOUBLE / (30 + rank), 'bm25' FROM lex2 WHERE rank <= {DEPTH} UNION ALL SELECT q, path, 1.0::DOUBLE / (30 + rank), 'vec' FROM vec2 WHERE rank <= {DEPTH}) GROUP BY ALL)"""
 
 
-@query()
+@query(f"WITH {SIDE}, {_SECOND} SELECT q, path, score, src, rank FROM (SELECT q, path, round(score, 6) AS score, src, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, path) AS rank FROM f4) WHERE rank <= {TOP}")
 def two_pass(s, d):
-    """The first hits of each query donate titles and sources (320 characters at most); the longer query is asked again and all sides fuse."""
-    from pyspark.sql import Window
-
-    docs, (lex, vec) = A.docs(s, d), _sides(s, d)
-    donors = lex.where("rank <= 12").join(docs.select("path", "class_name", "symbols"), "path")
-    w = Window.partitionBy("q").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    words = donors.withColumn("word", F.concat_ws(" ", "class_name", "symbols")).groupBy("q", "word").agg(F.min("rank").alias("rank"))
-    kept = words.withColumn("used", F.sum(F.length("word") + 1).over(w)).where("used <= 320")
-    added = {r["q"]: r["text"] for r in kept.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x.word), " ").alias("text")).collect()}
-    second = R.ranked(R.bm25f(docs, {q: f"{t} {added.get(q, '')}" for q, t in ASKED.items()}), "bm25", ["q"], "path").where("rank <= 40")
-    sides = {"bm25": (lex.where("rank <= 40"), 1.0), "vec": (vec.where("rank <= 40"), 1.0), "bm25b": (second, 1.0)}
-    fused = R.ranked(R.rrf(sides), "score", ["q"], "path").where(F.col("rank") <= TOP)
-    return fused.select("q", "path", "score", "rank", F.lit(True).alias("two_pass"))
-
-
-@query(f"""WITH {A.FUNCS}, h AS (SELECT repo, path, name, round(length(coalesce(body, '')) / 2000, 4) AS score, func_id FROM fn)
-SELECT repo, path, func_id, score FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY score DESC, func_id) AS r FROM h) WHERE r = 1""")
+    """The first lexical hits of each query donate titles and sources (320 characters at most); the longer query is asked again on both sides and all four fuse."""
+    lex, vec = _sides(s, d)
+    donors = lex.where(F.col("rank") <= _POOL).join(A.docs(s, d).select("path", "class_name", "symbols"), "path")
+    words = donors.withColumn("word", F.concat_ws(" ", "class_name", "symbols")).where("word <> ' '").groupBy("q", "word").agg(F.min("rank").alias("rank"))
+    text = F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x.word), " "), 1, _ROOM)
+    added = {r["q"]: r["text"] for r in words.groupBy("q").agg(text.alias("text")).collect()}
+    lex2, vec2 = _sides(s, d, {q: f"{t}\n{added.get(q, '')}" for q, t in ASKED.items()})
+    fused = R.rrf([("bm25", lex, 1.0), ("vec", vec, 1.0), ("bm25", lex2, 1.0), ("vec", vec2, 1.0)])
+    return R.ranked(fused, "score", ["q"], "path").where(F.col("rank") <= TOP).select("q", "path", "score", "src", "rank")
+
+
+#: Functions asked for, and how many hits are kept and read for them.
+NAMED = {"f1": "rank wire of scene", "f2": "collect mesh path from cluster", "f3": "render label for probe"}
+FOUND, READ = 6, 18
+_FN_TEXT = "SELECT repo || '|' || path || '::' || name AS key, repo || '|' || path AS file, name, path || ' ' || name || ' ' || coalesce(body, '') AS text FROM fn WHERE repo IS NOT NULL AND path IS NOT NULL AND name IS NOT NULL"
+_FN_HITS = f"""{A.FUNCS}, fnt AS ({_FN_TEXT}), ask AS ({" UNION ALL ".join(f"SELECT '{k}' AS q, '{v}' AS text" for k, v in NAMED.items())}), {cosine_sql('fh', 'SELECT key, text FROM fnt', 'key', 'ask')}"""
+
+
+def function_hits(s, d, top, asked=None):
+    """(q, key, file, name, cos, rank): the functions nearest to each question by path, name and body."""
+    f = A.functions(s, d).where("repo is not null and path is not null and name is not null")
+    file = F.concat_ws("|", "repo", "path")
+    rows = f.select(F.concat_ws("::", file, "name").alias("key"), F.concat(F.col("path"), F.lit(" "), F.col("name"), F.lit(" "), F.coalesce("body", F.lit(""))).alias("text"))
+    near = R.nearest(rows, F.col("text"), asked or NAMED, top, key="key")
+    return near.select("q", "key", F.substring_index("key", "::", 1).alias("file"), F.substring_index("key", "::", -1).alias("name"), "cos", "rank")
+
+
+@query(f"WITH {_FN_HITS} SELECT q, key, round(cos, 4) AS score, rank, round(cos, 4) < 0.48 AS weak FROM fh WHERE rank <= {FOUND}")
+def find_functions(s, d):
+    """The functions of a question, pieces of one function folded, with a flag on weak ones."""
+    hits = R.fold_hits(function_hits(s, d, READ), ["key"], FOUND)
+    score = F.round("cos", 4)
+    return hits.select("q", "key", score.alias("score"), F.col("place").alias("rank"), (score < R.FLOOR_COS).alias("weak"))
+
+
+@query(f"""WITH {_FN_HITS}, hf AS (SELECT q, split_part(key, '::', 1) AS file, key, cos, rank FROM fh WHERE rank <= 60), b AS (SELECT *, row_number() OVER (PARTITION BY q, file ORDER BY rank) AS nth FROM hf)
+SELECT q, file, key, cos, place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank) AS place FROM b WHERE nth = 1) WHERE place <= {FOUND}""")
 def fold_siblings(s, d):
-    hits = A.functions(s, d).select("repo", "path", "func_id", F.round(F.length(F.coalesce("body", F.lit(""))) / 2000, 4).alias("score"))
-    return R.first_per_group(hits, ["repo", "path"], [F.desc("score"), F.asc("func_id")])
+    """The best function of each file, until there are six."""
+    return R.fold_hits(function_hits(s, d, 60), ["file"], FOUND).select("q", "file", "key", "cos", "place")
 
 
 @query(f"""WITH {A.FUNCS}, st AS (SELECT func_id, CASE WHEN len(list_filter(['rank', 'bake', 'tool'], lambda t: contains(lower(name), t))) > 0 THEN len(list_filter(['rank', 'bake', 'tool'], lambda t: contains(lower(name), t)))
@@ -210,11 +244,11 @@ def lexical_fallback(s, d):
     return R.lexical_fallback(A.functions(s, d), tokens).select("func_id", F.round("score", 4).alias("score"))
 
 
-@query(f"""WITH {A.FUNCS}, h AS (SELECT repo, path, name, round(length(coalesce(body, '')) / 2000, 4) AS score FROM fn WHERE contains(name, 'rank'))
-SELECT repo, path, max(score) AS score, count(*) AS n, list(name ORDER BY name)[:4] AS names FROM h GROUP BY ALL""")
+@query(f"""WITH {_FN_HITS}, hf AS (SELECT q, split_part(key, '::', 1) AS file, split_part(key, '::', 2) AS name, cos, rank FROM fh WHERE rank <= 40)
+SELECT q, file, max(cos) AS score, count(*) AS n, list(name ORDER BY rank)[:4] AS names FROM hf GROUP BY ALL""")
 def file_shortlist(s, d):
-    hits = A.functions(s, d).where(F.col("name").contains("rank")).select("repo", "path", "name", F.round(F.length(F.coalesce("body", F.lit(""))) / 2000, 4).alias("score"))
-    return hits.groupBy("repo", "path").agg(F.max("score").alias("score"), F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("name")), 1, 4).alias("names"))
+    """Function hits by file: the best score, how many, and the first four names."""
+    return R.shortlist(function_hits(s, d, 40))
 
 
 def _grams(col, n):
@@ -224,26 +258,16 @@ def _grams(col, n):
     return F.when(F.size(col) >= n, every).otherwise(F.array().cast("array<string>"))
 
 
-# Evaluation: the first eight tokens of each held-out item are a query. Targets of the golden queries are the documents that hold its first
-# six tokens, as their SQL says; those of the passage queries hold any run of twelve tokens of the item, or the whole of a shorter one.
+# Evaluation: each held-out item, whole, is a query; its targets are the documents that hold any run of twelve of its tokens, or the whole of a shorter one.
+RUN = 12
 _EVAL = f"""{INDEX}, it AS (SELECT item_id, suite, {tokens_sql('text')} AS tk FROM eval_items),
-qt AS (SELECT item_id, term, count(*) AS mult FROM (SELECT item_id, unnest(tk[:8]) AS term FROM it) GROUP BY ALL),
+qt AS (SELECT item_id, term, count(*) AS mult FROM (SELECT item_id, unnest(tk) AS term FROM it) GROUP BY ALL),
 bm AS (SELECT item_id, path, sum(mult * ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * wlen / av))) AS s FROM qt JOIN post USING (term) JOIN df USING (term) JOIN len USING (path), ag GROUP BY ALL),
 rk AS (SELECT item_id, path, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, path) AS rank FROM bm WHERE s > 0),
-db AS (SELECT path, ' ' || array_to_string({tokens_sql('body')}, ' ') || ' ' AS body FROM docs),
-tg AS (SELECT item_id, path FROM it JOIN db ON len(tk) >= 6 AND contains(body, ' ' || array_to_string(tk[:6], ' ') || ' ')),
-ev AS (SELECT item_id, suite, min(rank) AS first FROM it LEFT JOIN tg USING (item_id) LEFT JOIN rk USING (item_id, path) GROUP BY ALL)"""
-
-
-RUN = 12
-_PASSAGES = (
-    _EVAL[: _EVAL.index("db AS (")]
-    + f"""ln AS (SELECT item_id, tk, least(len(tk), {RUN}) AS n FROM it), ig AS (SELECT DISTINCT item_id, n, array_to_string(tk[i:i+n-1], ' ') AS gram FROM (SELECT item_id, tk, n, unnest(range(1, len(tk) - n + 2)) AS i FROM ln WHERE n > 0)),
+ln AS (SELECT item_id, tk, least(len(tk), {RUN}) AS n FROM it), ig AS (SELECT DISTINCT item_id, n, array_to_string(tk[i:i+n-1], ' ') AS gram FROM (SELECT item_id, tk, n, unnest(range(1, len(tk) - n + 2)) AS i FROM ln WHERE n > 0)),
 dg AS (SELECT path, n, array_to_string(tk[i:i+n-1], ' ') AS gram FROM (SELECT path, tk, n, unnest(range(1, len(tk) - n + 2)) AS i FROM (SELECT path, {tokens_sql('body')} AS tk FROM docs), (SELECT DISTINCT n FROM ig) WHERE len(tk) >= n)),
 tg AS (SELECT DISTINCT item_id, path FROM ig JOIN dg USING (n, gram)),
-"""
-    + _EVAL[_EVAL.index("ev AS (") :]
-)
+ev AS (SELECT item_id, suite, min(rank) AS first FROM it LEFT JOIN tg USING (item_id) LEFT JOIN rk USING (item_id, path) GROUP BY ALL)"""
 
 
 def passage_targets(items, docs, run: int = RUN):
@@ -259,19 +283,13 @@ def passage_targets(items, docs, run: int = RUN):
     return grams.join(F.broadcast(asked), "gram").select("item_id", "path").distinct()
 
 
-def _first_ranks(s, d, whole=False):
-    """(item_id, suite, first): rank of the first target of each held-out item, null if none is found; ``whole`` takes the targets of the whole item."""
+def _first_ranks(s, d):
+    """(item_id, suite, first): rank of the first target of each held-out item, null if none is found."""
     items, docs = A.table(s, d, "eval_items"), A.docs(s, d)
     tok = items.select("item_id", "suite", R.recall_tokens(F.col("text")).alias("tk"))
-    asked = {str(r["item_id"]): " ".join(r["tk"][:8]) for r in tok.collect()}
+    asked = {str(r["item_id"]): r["text"] or "" for r in items.select("item_id", "text").collect()}
     rank = R.ranked(R.bm25f(docs, asked), "bm25", ["q"], "path").select(F.col("q").cast("long").alias("item_id"), "path", "rank")
-    if whole:
-        targets = passage_targets(tok, docs)
-    else:
-        lead = tok.where(F.size("tk") >= 6).select("item_id", F.array_join(F.slice("tk", 1, 6), " ").alias("gram"))
-        grams = docs.select("path", R.recall_tokens(F.col("body")).alias("tk")).select("path", F.explode(_grams(F.col("tk"), 6)).alias("gram"))
-        targets = grams.join(F.broadcast(lead), "gram").select("item_id", "path").distinct()
-    return tok.select("item_id", "suite").join(targets, "item_id", "left").join(rank, ["item_id", "path"], "left").groupBy("item_id", "suite").agg(F.min("rank").alias("first"))
+    return tok.select("item_id", "suite").join(passage_targets(tok, docs), "item_id", "left").join(rank, ["item_id", "path"], "left").groupBy("item_id", "suite").agg(F.min("rank").alias("first"))
 
 
 def _hits(first):
@@ -298,21 +316,6 @@ def mrr_by_kind(s, d):
     return _mrr(_first_ranks(s, d))
 
 
-@query(f"WITH {_PASSAGES} SELECT item_id, suite, first FROM ev")
-def passage_ranks(s, d):
-    return _first_ranks(s, d, whole=True)
-
-
-@query(f"WITH {_PASSAGES} SELECT round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 6) AS hit5, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0 END), 6) AS hit10 FROM ev")
-def passage_hit_at_k(s, d):
-    return _hits(_first_ranks(s, d, whole=True))
-
-
-@query(f"WITH {_PASSAGES} SELECT coalesce(suite, 'all') AS suite, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, count(*) AS n FROM ev GROUP BY GROUPING SETS ((suite), ())")
-def passage_mrr_by_kind(s, d):
-    return _mrr(_first_ranks(s, d, whole=True))
-
-
 @query(f"""WITH {INDEX}, it AS (SELECT item_id, {tokens_sql('text')} AS tk FROM eval_items), ig AS (SELECT DISTINCT item_id, array_to_string(tk[i:i+2], ' ') AS gram FROM (SELECT item_id, tk, unnest(range(1, len(tk) - 1)) AS i FROM it)),
 dg AS (SELECT DISTINCT path, array_to_string(tk[i:i+2], ' ') AS gram FROM (SELECT path, tk, unnest(range(1, len(tk) - 1)) AS i FROM (SELECT path, {tokens_sql('body')} AS tk FROM docs)))
 SELECT item_id, count(DISTINCT path) AS n_docs FROM ig JOIN dg USING (gram) GROUP BY ALL""")
@@ -329,9 +332,8 @@ _SWEEP = [(0.5, 10), (1.0, 30), (2.0, 60)]
     f"SELECT {w}::DOUBLE AS weight, {k} AS k, q, path, rank FROM (SELECT q, path, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, path) AS rank FROM fu{i}) WHERE rank <= 5" for i, (w, k) in enumerate(_SWEEP)))
 def rrf_sweep(s, d):
     """One grid over weight and k in one job; both sides are ranked once."""
-    lex = _lex(s, d).where("rank <= 40").select("q", "path", "rank", F.lit("bm25").alias("side"))
-    vec = _vec(s, d).where("rank <= 40").select("q", "path", "rank", F.lit("vec").alias("side"))
-    gained = F.transform(F.array(*[F.struct(F.lit(float(w)).alias("weight"), F.lit(k).alias("k")) for w, k in _SWEEP]), lambda g: g)
+    lex, vec = (x.select("q", "path", "rank", F.lit(n).alias("side")) for x, n in zip(_sides(s, d), ("bm25", "vec")))
+    gained = F.array(*[F.struct(F.lit(float(w)).alias("weight"), F.lit(k).alias("k")) for w, k in _SWEEP])
     rows = lex.unionByName(vec).select("q", "path", "rank", "side", F.explode(gained).alias("g")).select("q", "path", "g.weight", "g.k", (F.when(F.col("side") == "vec", F.col("g.weight")).otherwise(1.0) / (F.col("g.k") + F.col("rank"))).alias("s"))
     fused = rows.groupBy("weight", "k", "q", "path").agg(F.sum("s").alias("score"))
     return R.ranked(fused, "score", ["weight", "k", "q"], "path").where("rank <= 5").select("weight", "k", "q", "path", "rank")

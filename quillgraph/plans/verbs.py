@@ -120,12 +120,6 @@ def hard_easy(s, d):
     return _hard(Q._first_ranks(s, d))
 
 
-@query(f"WITH {Q._PASSAGES} SELECT coalesce(first, 1000) > 3 AS hard, count(*) AS n, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM ev GROUP BY ALL")
-def passage_hard_easy(s, d):
-    """Held-out items by whether the first target comes after the third place."""
-    return _hard(Q._first_ranks(s, d, whole=True))
-
-
 @query(f"""WITH {A.EDGES}, x AS (SELECT src_key, dst_key, type, row_number() OVER (PARTITION BY type ORDER BY src_key, dst_key) AS r FROM edges) SELECT src_key, dst_key, type FROM x WHERE r <= 10""")
 def task_sample(s, d):
     """The first ten edges of each type: tasks for an evaluation."""

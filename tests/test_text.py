@@ -82,8 +82,9 @@ def test_vector_side_needs_no_query_word(spark):
     docs = spark.createDataFrame([("a", "feline"), ("b", "cat"), ("c", "truck")], "path string, body string")
     docs = docs.select("path", *[F.lit("").alias(f) for f in ("filename", "class_name", "symbols")], "body")
 
-    def embed(text):
-        return F.when(text.rlike("cat|feline"), F.array(F.lit(1.0), F.lit(0.1))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).cast("array<float>")
+    def embed(rows, key, text):
+        two = F.when(text.rlike("cat|feline"), F.array(F.lit(1.0), F.lit(0.1))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+        return rows.select(key, two.cast("array<float>").alias("embedding"))
 
     got = [(r["q"], r["path"], r["rank"]) for r in R.vector_side(docs, {"x": "cat", "y": "lorry"}, embed, top=2).orderBy("q", "rank").collect()]
     assert got == [("x", "a", 1), ("x", "b", 2), ("y", "c", 1), ("y", "a", 2)]
