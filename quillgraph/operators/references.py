@@ -4,9 +4,10 @@ References are reduced to distinct non-null keys first; only keys that some pare
 decision in time, and a left anti-join against the keys that are alive at their time, back on all
 references, gives the orphans. In time: a key is alive at t if some parent row begins at or
 before t and ends after it, which holds exactly if the latest end among the parents that begin at or
-before t lies after t. That running maximum is kept per month, and one value per key and month is
-carried into the next months, so the rows of one hot key are sorted in as many pieces as it has
-months and pre-aggregation bounds what is shuffled.
+before t lies after t. That running maximum is kept per day, and one value per key and day is
+carried into the next days, so the rows of one hot key are sorted in as many pieces as it has days and
+pre-aggregation bounds what is shuffled. References and spans are read from the files once each and
+kept as tables, as several steps need them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.session import stage
+
 FIELDS = ("extends", "instances", "attached_script")
 FOREVER = "9999-12-31"
 
@@ -32,11 +35,10 @@ def references(files: DataFrame) -> DataFrame:
 
     Null and empty fields, arrays and elements give no rows; repeated elements and rows count once.
     """
-    each = [
-        files.select("file_id", "repo", F.lit(f).alias("field"), (F.explode(f) if f == "instances" else F.col(f)).alias("raw"), F.col("indexed_at").alias("at"))
-        for f in FIELDS
-    ]
-    rows = each[0].unionAll(each[1]).unionAll(each[2])
+    item = lambda f, raw: F.struct(F.lit(f).alias("field"), raw.alias("raw"))
+    many = F.transform(F.coalesce("instances", F.array().cast("array<string>")), lambda x: item("instances", x))
+    rows = files.select("file_id", "repo", F.explode(F.concat(F.array(item("extends", F.col("extends")), item("attached_script", F.col("attached_script"))), many)).alias("r"), F.col("indexed_at").alias("at"))
+    rows = rows.select("file_id", "repo", "r.field", "r.raw", "at")
     return (
         rows.withColumn("target", reference_target(F.col("raw")))
         .where("target is not null")
@@ -68,26 +70,36 @@ def orphan_references(files: DataFrame, base_types: DataFrame) -> DataFrame:
     time has no live target. Null repositories match no parent. Empty tables: without parents every
     reference is an orphan; without files there are no rows. Other columns are ignored.
     """
+    return orphans(_real_references(files, base_types), files)
+
+
+def _real_references(files: DataFrame, base_types: DataFrame) -> DataFrame:
+    """``references`` without built-in classes in ``extends``, as a table."""
     builtin = base_types.select(F.col("type_name").alias("target"), F.lit("extends").alias("field"), F.lit("class").alias("kind")).where("target is not null").distinct()
-    refs = references(files).join(builtin, ["target", "field", "kind"], "left_anti")
+    return stage(references(files).join(builtin, ["target", "field", "kind"], "left_anti"), "references")
+
+
+def orphans(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, field, target, at) of the references (file_id, repo, field, kind, target, at) without a live target."""
     key = ["repo", "kind", "target"]
     spans = parent_spans(files)
-    had = refs.select(*key).distinct().join(spans.select(*key).distinct(), key, "left_semi")
-    month = F.trunc("at", "month")
-    spans_m = spans.withColumnRenamed("lo", "at").withColumn("month", month)
-    asked = refs.select(*key, "at").where("at is not null").distinct().join(had, key, "left_semi").withColumn("month", month)
-    per_month = spans_m.groupBy(*key, "month").agg(F.max("hi").alias("month_hi")).unionByName(
-        asked.select(*key, "month").distinct().withColumn("month_hi", F.lit(None).cast("timestamp"))
-    ).groupBy(*key, "month").agg(F.max("month_hi").alias("month_hi"))
-    earlier = Window.partitionBy(*key).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_month.withColumn("carried", F.max("month_hi").over(earlier)).where("carried is not null").select(*key, "month", "carried")
-    events = spans_m.select(*key, "month", "at", "hi", F.lit(0).alias("ask")).unionByName(
-        asked.select(*key, "month", "at", F.lit(None).cast("timestamp").alias("hi"), F.lit(1).alias("ask"))
+    had = refs.select(*key).distinct()
+    spans = stage(spans.join(had, key, "left_semi"), "spans")
+    day = F.to_date("at")
+    spans_d = spans.withColumnRenamed("lo", "at").withColumn("day", day)
+    asked = refs.select(*key, "at").where("at is not null").distinct().join(spans.select(*key).distinct(), key, "left_semi").withColumn("day", day)
+    per_day = spans_d.groupBy(*key, "day").agg(F.max("hi").alias("day_hi")).unionByName(
+        asked.select(*key, "day").distinct().withColumn("day_hi", F.lit(None).cast("timestamp"))
+    ).groupBy(*key, "day").agg(F.max("day_hi").alias("day_hi"))
+    earlier = Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_day.withColumn("carried", F.max("day_hi").over(earlier)).where("carried is not null").select(*key, "day", "carried")
+    events = spans_d.select(*key, "day", "at", "hi", F.lit(0).alias("ask")).unionByName(
+        asked.select(*key, "day", "at", F.lit(None).cast("timestamp").alias("hi"), F.lit(1).alias("ask"))
     )
-    so_far = Window.partitionBy(*key, "month").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = events.withColumn("reach", F.max("hi").over(so_far)).where("ask = 1").select(*key, "month", "at", "reach")
+    so_far = Window.partitionBy(*key, "day").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = events.withColumn("reach", F.max("hi").over(so_far)).where("ask = 1").select(*key, "day", "at", "reach")
     alive = (
-        inside.join(carried, [*key, "month"], "left")
+        inside.join(carried, [*key, "day"], "left")
         .where(F.greatest("reach", "carried") > F.col("at"))
         .select(*key, "at")
     )
@@ -96,10 +108,10 @@ def orphan_references(files: DataFrame, base_types: DataFrame) -> DataFrame:
 
 def orphan_report(files: DataFrame, base_types: DataFrame) -> DataFrame:
     """(field, month, n_refs, n_orphans) by field and month of ``indexed_at``; every reference counts once."""
-    builtin = base_types.select(F.col("type_name").alias("target"), F.lit("extends").alias("field"), F.lit("class").alias("kind")).where("target is not null").distinct()
+    refs = _real_references(files, base_types)
     month = F.date_format("at", "yyyy-MM").alias("month")
-    all_ = references(files).join(builtin, ["target", "field", "kind"], "left_anti").groupBy("field", month).agg(F.count("*").alias("n_refs"))
-    bad = orphan_references(files, base_types).groupBy("field", month).agg(F.count("*").alias("n_orphans"))
+    all_ = refs.groupBy("field", month).agg(F.count("*").alias("n_refs"))
+    bad = orphans(refs, files).groupBy("field", month).agg(F.count("*").alias("n_orphans"))
     return (
         all_.join(bad.withColumnsRenamed({"field": "bf", "month": "bm"}), (F.col("field") == F.col("bf")) & F.col("month").eqNullSafe(F.col("bm")), "left")
         .select("field", "month", "n_refs", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"))
