@@ -79,6 +79,11 @@ def dir_seed(path: Column) -> Column:
     return F.nullif(F.array_join(F.when(top, F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))).otherwise(parts), "/"), F.lit(""))
 
 
+def seed_chain(path: Column) -> Column:
+    """Folders of a path without those that have no meaning of their own."""
+    return F.filter(dir_parts(path), lambda x: ~F.lower(x).isin(*GENERIC_DIRS))
+
+
 def pack_key(name: Column) -> Column:
     """``Pfx_Seg...`` as ``pfx_seg``: what stands before the first underscore, and the first capitalised hump of
     the part after it (the whole part if it has none), of three characters or more; otherwise null."""
@@ -88,7 +93,10 @@ def pack_key(name: Column) -> Column:
 
 
 def titleize(text: Column) -> Column:
-    return F.initcap(F.trim(F.regexp_replace(text, r"[\s_-]+", " ")))
+    """Words in title case: a letter after anything that is no letter is a capital, all others are small."""
+    bare = F.trim(F.regexp_replace(text, r"[\s_-]+", " "))
+    runs = F.regexp_extract_all(F.lower(bare), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
 
 
 def token_estimate(text: Column) -> Column:

@@ -70,7 +70,7 @@ def pack_key(s, d):
     return names.where("name is not null").distinct().select("name", T.pack_key(F.col("name")).alias("pack"))
 
 
-@query(r"""SELECT title, array_to_string(list_transform(string_split(trim(regexp_replace(title, '[\s_-]+', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS shown FROM (SELECT DISTINCT title FROM documents WHERE title IS NOT NULL)""")
+@query(r"""SELECT title, array_to_string(list_transform(regexp_extract_all(lower(trim(regexp_replace(title, '[\s_-]+', ' ', 'g'), ' ')), '\p{L}+|[^\p{L}]+'), lambda w: upper(w[1]) || w[2:]), '') AS shown FROM (SELECT DISTINCT title FROM documents WHERE title IS NOT NULL)""")
 def titleize(s, d):
     return A.table(s, d, "documents").where("title is not null").select("title").distinct().select("title", T.titleize(F.col("title")).alias("shown"))
 
