@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.session import stage
+
 
 def as_of(files: DataFrame, at: str) -> DataFrame:
     """The files that were there at a time, the latest row of each (repo, path)."""
@@ -45,14 +47,52 @@ def fingerprint(rows: DataFrame, group: str, cols: list[str]) -> DataFrame:
 def greedy_keep(rows: DataFrame, group: str, order: list[Column], item: str, cost: str, budget: float) -> DataFrame:
     """(group, kept): items of each group in priority order that still fit, those too large being skipped.
 
-    Sequential within a group; for groups of bounded size (the lines of an order).
+    Sequential within a group; for groups of bounded size (the lines of an order), of which items that can't ever fit are
+    left out first. For one large set use ``keep_within``.
     """
-    lst = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("item"), F.col(cost).alias("cost")))).alias("xs"))
+    lst = rows.where(F.col(cost) <= budget).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("item"), F.col(cost).alias("cost")))).alias("xs"))
     start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<bigint>").alias("kept"))
     step = lambda s, x: F.when(s.used + x.cost <= budget, F.struct((s.used + x.cost).alias("used"), F.array_append(s.kept, x.item.cast("bigint")).alias("kept"))).otherwise(s)
     return lst.select(group, F.aggregate("xs", start, step).alias("r")).select(group, "r.kept")
 
 
+def running_sum(rows: DataFrame, order: list[Column], cost: str) -> DataFrame:
+    """``rows`` with ``pos`` (from 1) and ``used``, the sum of costs up to each, in one global order and without one task for all rows."""
+    placed = stage(rows.sort(*order).withColumn("part", F.spark_partition_id()).withColumn("mono", F.monotonically_increasing_id()), "running")
+    base, at, spent = [], 0, 0.0
+    for r in sorted(placed.groupBy("part").agg(F.count("*").alias("n"), F.sum(cost).alias("c")).collect(), key=lambda r: r["part"]):
+        base.append((r["part"], at, float(spent)))
+        at, spent = at + r["n"], spent + float(r["c"])
+    offsets = rows.sparkSession.createDataFrame(base, "part int, before long, spent double")
+    w = Window.partitionBy("part").orderBy("mono").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.join(F.broadcast(offsets), "part").withColumn("pos", F.col("before") + F.col("mono").bitwiseAND((1 << 33) - 1) + 1)
+    return out.withColumn("used", F.col("spent") + F.sum(cost).over(w)).drop("part", "mono", "before", "spent")
+
+
+def keep_within(rows: DataFrame, order: list[Column], cost: str, budget: float) -> DataFrame:
+    """The rows that a walk in order keeps if each is taken that still fits and others are skipped; costs are not negative.
+
+    A round takes all rows before the first that doesn't fit and goes on behind it with those that can still fit, so the number of
+    rounds is that of skipped rows which were small enough when their turn came near. Partitions are summed, never rows.
+    """
+    left, kept, now = float(budget), None, rows
+    while True:
+        summed = stage(running_sum(now.where(F.col(cost) <= left), order, cost), "budget")
+        first = summed.where(F.col("used") > left).agg(F.min("pos").alias("p")).first()["p"]
+        take = summed if first is None else summed.where(F.col("pos") < first)
+        kept = take if kept is None else kept.unionByName(take)
+        left -= float(take.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0])
+        if first is None or left <= 0:
+            return kept.drop("pos", "used")
+        now = summed.where(F.col("pos") > first).drop("pos", "used")
+
+
+def pair_budget(rows: DataFrame, pair: list[str], weight: str, cost: str, budget: float) -> DataFrame:
+    """(pair, w, c) of the pairs whose rows all fit: heaviest pairs first, then by name; a pair that doesn't fit is skipped whole."""
+    pairs = rows.groupBy(*pair).agg(F.sum(weight).alias("w"), F.sum(cost).alias("c"))
+    return keep_within(pairs, [F.desc("w"), *[F.asc(p) for p in pair]], "c", budget)
+
+
 def prefix_keep(rows: DataFrame, group: str, order: list[Column], cost: str, budget: float) -> DataFrame:
     """Rows of each group in order until the first that would pass the budget."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

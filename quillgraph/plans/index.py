@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators import changes as H
+from quillgraph.operators import graph as G
 from quillgraph.operators import liveness as L
 from quillgraph.operators import shaping as D
 from quillgraph.plans.text import NORM_SQL
@@ -37,7 +38,12 @@ def dup_summary(s, d):
     return L.duplicate_members(A.table(s, d, "funcs")).groupBy("n").agg((F.count("*") / F.col("n")).cast("long").alias("groups")).select(F.col("n").alias("size"), "groups")
 
 
-@query(f"""WITH {A.FUNCS}, x AS (SELECT repo, path, name, line, length(coalesce(body, '')) <= 220 AS small FROM fn),
+_PAST = r"""bl AS (SELECT *, string_split(regexp_replace(regexp_replace(coalesce(body, ''), '\r\n?', chr(10), 'g'), chr(10) || '$', ''), chr(10)) AS ls FROM fn),
+b2 AS (SELECT *, list_filter(range(2, len(ls) + 1), lambda k: trim(ls[k], ' ') <> '' AND length(regexp_extract(ls[k], '^[ \t]*', 0)) > length(regexp_extract(ls[1], '^[ \t]*', 0))) AS deep FROM bl),
+ps AS (SELECT *, CASE WHEN regexp_matches(ls[1], ':\s*$|^\s*func') THEN CASE WHEN len(deep) > 0 THEN array_to_string(ls[deep[1]:], chr(10)) ELSE '' END ELSE coalesce(body, '') END AS past FROM b2)"""
+
+
+@query(f"""WITH {A.FUNCS}, {_PAST}, x AS (SELECT repo, path, name, line, length(past) BETWEEN 1 AND 220 AS small FROM ps),
 y AS (SELECT *, last_value(CASE WHEN NOT small THEN name END IGNORE NULLS) OVER (PARTITION BY repo, path ORDER BY line, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carrier FROM x) SELECT repo, path, name, carrier FROM y WHERE small""")
 def micro_groups(s, d):
     return D.micro_carriers(A.functions(s, d))
@@ -114,6 +120,21 @@ def budget_skip(s, d):
     return H.greedy_keep(rows, "l_orderkey", order, "l_partkey", "l_quantity", 60.0)
 
 
+_COST = "length('[\"' || type || '\",\"' || src_key || '\",\"' || dst_key || '\"]')"
+_BUDGET = 40_000
+
+
+@query(f"""WITH RECURSIVE {A.EDGES}, pr AS MATERIALIZED (SELECT a, b, count(*) AS w, sum({_COST})::BIGINT AS c FROM (SELECT split_part(src_key, '/', 1) AS a, split_part(dst_key, '/', 1) AS b, * FROM edges) GROUP BY a, b),
+od AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY w DESC, a, b) AS r FROM pr), k(r, used, taken) AS (SELECT 0::BIGINT, 0::BIGINT, false UNION ALL SELECT od.r, CASE WHEN used + c <= {_BUDGET} THEN used + c ELSE used END, used + c <= {_BUDGET} FROM k JOIN od ON od.r = k.r + 1)
+SELECT a, b, w, c FROM od JOIN k USING (r) WHERE taken""")
+def wire_budget(s, d):
+    """Whole pairs of folders within a budget of characters, those of most wires first."""
+    e = A.follow_edges(s, d)
+    cost = F.length(F.concat(F.lit('["'), "type", F.lit('","'), "src_key", F.lit('","'), "dst_key", F.lit('"]')))
+    rows = e.select(F.substring_index("src_key", "/", 1).alias("a"), F.substring_index("dst_key", "/", 1).alias("b"), F.lit(1).alias("one"), cost.alias("cost"))
+    return H.pair_budget(rows, ["a", "b"], "one", "cost", _BUDGET).select("a", "b", "w", "c")
+
+
 @query(f"""WITH {A.EDGES} SELECT type, split_part(src_key, '::', 1) AS sf, split_part(dst_key, '::', 1) AS df, split_part(src_key, '::', 2) AS sfn, split_part(dst_key, '::', 2) AS dfn FROM edges WHERE type IN ('call', 'var') AND split_part(src_key, '::', 1) <> split_part(dst_key, '::', 1)""")
 def named_wires(s, d):
     part = lambda c, k: F.split_part(F.col(c), F.lit("::"), F.lit(k))
@@ -137,10 +158,8 @@ def fn_io(s, d):
 @query("""SELECT file_id, (row_number() OVER (ORDER BY file_id) - 1) // 250 AS shard FROM (SELECT DISTINCT file_id FROM files)""")
 def shards(s, d):
     """Shard of each row in id order, 250 rows to a shard, numbered without gathering the ids in one task."""
-    from quillgraph.operators.graph import rank_by_sorting
-
     ids = A.table(s, d, "files").select("file_id").distinct()
-    return rank_by_sorting(ids, [F.asc("file_id")]).select("file_id", F.floor((F.col("rank") - 1) / 250).cast("long").alias("shard"))
+    return G.rank_by_sorting(ids, [F.asc("file_id")]).select("file_id", F.floor((F.col("rank") - 1) / 250).cast("long").alias("shard"))
 
 
 @query("""WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_shipdate >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 90 DAY GROUP BY ALL) SELECT l_partkey, n, round(n / (SELECT max(n) FROM c), 3) AS churn FROM c""")
@@ -167,12 +186,21 @@ def walk_order(s, d):
     return f.select("repo", "path", F.when(F.size(parts) > 1, 1).otherwise(0).alias("nested"), F.row_number().over(Window.partitionBy("repo").orderBy("k")).alias("walk_ord"))
 
 
-@query("""WITH c AS (SELECT o_custkey AS a, n_nationkey AS b, count(*) AS w FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL ORDER BY w DESC, a LIMIT 20),
-p AS (SELECT a, b, unnest(range(0, 17)) / 16.0::DOUBLE AS t FROM c) SELECT a, b, t, round((1 - t) * (1 - t) * a + 2 * (1 - t) * t * (a + b) / 2 + t * t * b, 6) AS x, round(2 * (1 - t) * t * abs(a - b) / 4.0::DOUBLE, 6) AS y FROM p""")
+@query(f"""WITH {A.EDGES}, ps AS (SELECT DISTINCT file, CASE WHEN true THEN p_brand END AS g FROM parts), px AS (SELECT g, row_number() OVER (ORDER BY g) * 100 % 700 AS x, row_number() OVER (ORDER BY g) * 37 % 500 AS y FROM (SELECT DISTINCT g FROM ps)),
+w AS (SELECT least(a.p_brand, b.p_brand) AS a, greatest(a.p_brand, b.p_brand) AS b, count(*) AS w FROM edges JOIN parts a ON a.key = src_key JOIN parts b ON b.key = dst_key WHERE a.p_brand <> b.p_brand GROUP BY ALL),
+j AS (SELECT w.a, w.b, w, p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS d FROM w JOIN px p ON p.g = w.a JOIN px q ON q.g = w.b),
+t AS (SELECT *, unnest(range(0, 17)) / 16.0::DOUBLE AS t FROM j WHERE d > 140)
+SELECT a, b, t, round((1 - t) * (1 - t) * x0 + 2 * (1 - t) * t * ((x0 + x1) / 2.0 - (y1 - y0) * 0.2) + t * t * x1, 9) AS x, round((1 - t) * (1 - t) * y0 + 2 * (1 - t) * t * ((y0 + y1) / 2.0 + (x1 - x0) * 0.2) + t * t * y1, 9) AS y FROM t""")
 def highway_arcs(s, d):
-    """Seventeen points of a quadratic Bézier curve over each of the 20 heaviest corridors."""
-    c = A.table(s, d, "customer").join(A.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    top = A.table(s, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("o_custkey").alias("a"), F.col("n_nationkey").alias("b")).agg(F.count("*").alias("w")).orderBy(F.desc("w"), "a").limit(20)
-    p = top.select("a", "b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: i / 16.0)).alias("t"))
-    t, a, b = F.col("t"), F.col("a"), F.col("b")
-    return p.select("a", "b", "t", F.round((1 - t) * (1 - t) * a + 2 * (1 - t) * t * (a + b) / 2 + t * t * b, 6).alias("x"), F.round(2 * (1 - t) * t * F.abs(a - b) / 4.0, 6).alias("y"))
+    """Seventeen points of a quadratic Bézier curve between clusters more than 140 units apart, bent to one side by a fifth of the way."""
+    parts = A.table(s, d, "part").select("p_brand").distinct()
+    place = G.rank_by_sorting(parts, [F.asc("p_brand")]).select(F.col("p_brand").alias("g"), (F.col("rank") * 100 % 700).alias("x"), (F.col("rank") * 37 % 500).alias("y"))
+    keys = A.table(s, d, "part").select(A.part_key().alias("key"), "p_brand")
+    e = A.follow_edges(s, d).join(keys.select(F.col("key").alias("src_key"), F.col("p_brand").alias("p")), "src_key").join(keys.select(F.col("key").alias("dst_key"), F.col("p_brand").alias("q")), "dst_key").where("p <> q")
+    w = e.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    j = w.join(place.select(F.col("g").alias("a"), F.col("x").alias("x0"), F.col("y").alias("y0")), "a").join(place.select(F.col("g").alias("b"), F.col("x").alias("x1"), F.col("y").alias("y1")), "b")
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    far = j.where(F.sqrt(dx * dx + dy * dy) > 140).withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: i / 16.0)))
+    t = F.col("t")
+    curve = lambda p0, p1, bend: F.round((1 - t) * (1 - t) * F.col(p0) + 2 * (1 - t) * t * ((F.col(p0) + F.col(p1)) / 2.0 + bend) + t * t * F.col(p1), 9)
+    return far.select("a", "b", "t", curve("x0", "x1", -dy * 0.2).alias("x"), curve("y0", "y1", dx * 0.2).alias("y"))
