@@ -1,4 +1,4 @@
-"""Functions over bodies: delegates, folded continuation lines, intros; and SQL functions of the engine."""
+"""Functions over bodies: folded continuation lines, intros; and SQL functions of the engine."""
 
 from __future__ import annotations
 
@@ -9,32 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_GUARD = re.compile(r"if\b[^:]*:\s*(return(\s+[\w.]+)?|\w+\s*=\s*[\w.\[\]{}'\" ]+|pass)\s*$")
-_ASSIGN = re.compile(r"(?:var\s+|local\s+)?\w+\s*=\s*[^()]+$")
-_FORWARD = re.compile(r"(?:return\s+)?(?:await\s+)?[\w.]+\s*\([^()]*\)\s*;?$")
-_BRACED = re.compile(r"^[^{};]*\{\s*(?:return\s+)?[\w.:>-]+\s*\([^()]*\)\s*;?\s*\}\s*$", re.S)
-
-
-def is_delegate(body: str, braces: bool = False) -> bool:
-    """Whether a body only forwards: at most two guards, at most one assignment without a call, then one call."""
-    if braces:
-        return bool(_BRACED.match(body.strip()))
-    lines = [x.strip() for x in body.split("\n") if x.strip() and not x.strip().startswith("#")]
-    if lines and re.match(r"(async\s+)?(def|func|static func)\b", lines[0]):
-        lines = lines[1:]
-    if not 2 <= len(lines) <= 5 or not _FORWARD.match(lines[-1]):
-        return False
-    guards = assigns = 0
-    for x in lines[:-1]:
-        if _GUARD.match(x) and "(" not in x:
-            guards += 1
-        elif _ASSIGN.match(x) and not x.startswith(("if", "for", "while", "return")):
-            assigns += 1
-        else:
-            return False
-    return guards <= 2 and assigns <= 1
-
-
 def fold_lines(body: str) -> list[str]:
     """Logical lines: physical ones joined while a bracket is open or a backslash ends them."""
     out, depth, held = [], 0, ""
@@ -62,17 +36,14 @@ def intro(text: str, cap: int = 400) -> str:
 
 
 def body_facts(functions: DataFrame) -> DataFrame:
-    """(func_id, delegate, n_logical, intro) of every body."""
+    """(func_id, n_logical, intro) of every body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, exts, bodies = (b.column(k).to_pylist() for k in range(3))
-            rows = [(is_delegate(t, e in (".c", ".cpp", ".ts", ".tsx", ".js", ".go")), len(fold_lines(t)), intro(t, 48)) for e, t in zip(exts, bodies)]
-            cols = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.int32(), pa.string())))], ["func_id", "delegate", "n_logical", "intro"])
+            ids, bodies = (b.column(k).to_pylist() for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(fold_lines(t)) for t in bodies], pa.int32()), pa.array([intro(t, 48) for t in bodies], pa.string())], ["func_id", "n_logical", "intro"])
 
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return functions.where("body is not null").select(F.col("func_id").cast("long").alias("func_id"), ext.alias("ext"), F.regexp_replace("body", "\r\n?", "\n").alias("body")).mapInArrow(run, "func_id long, delegate boolean, n_logical int, intro string")
+    return functions.where("body is not null").select(F.col("func_id").cast("long").alias("func_id"), F.regexp_replace("body", "\r\n?", "\n").alias("body")).mapInArrow(run, "func_id long, n_logical int, intro string")
 
 
 def register(spark: SparkSession) -> list[str]:

@@ -160,14 +160,47 @@ def glob_regex(glob: str) -> str:
     return "(?s)^" + "".join(special.get(c, "\\" + c if c in r".^$+{}()|\[]" else c) for c in glob) + "$"
 
 
-def failure_reason(message: Column) -> Column:
-    """Why an embedding call failed, from its message."""
-    m = F.lower(F.coalesce(message, F.lit("")))
+#: Calls by which a parameter is changed.
+MUTATORS = tuple("append extend insert remove pop popitem clear sort reverse update add discard setdefault push_back push_front pop_back pop_front erase resize fill shuffle append_array merge".split())
+MEMBER_WRITE = r"\bself\.([A-Za-z_]\w*)\s*(?:[-+*/%]?=)(?:[^=]|$)"
+METHOD_CALL = r"\b([A-Za-z_]\w*)\s*\.\s*([A-Za-z_]\w*)\s*\("
+
+
+def member_writes(body: Column) -> Column:
+    """Names that a body sets on its own object, plainly or with an operator, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(body, F.lit(MEMBER_WRITE), F.lit(1))))
+
+
+def changed_params(body: Column, params: Column) -> Column:
+    """Parameters (array of structs with ``name``) on which a body calls a method that changes its object, sorted."""
+    names = F.transform(F.coalesce(params, F.array().cast("array<struct<name:string,type:string>>")), lambda p: p["name"])
+    calls = F.filter(F.regexp_extract_all(body, F.lit(METHOD_CALL), F.lit(0)), lambda m: F.regexp_extract(m, METHOD_CALL, 2).isin(*MUTATORS))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(calls, lambda m: F.regexp_extract(m, METHOD_CALL, 1)), lambda n: F.array_contains(names, n))))
+
+
+# What a normalised body that only forwards looks like: guards of two lines without a call, an assignment without one, one call.
+_GUARD = r"  (?:if|elif) [^\n()]*:(?:\n  | )(?:return(?: [^\n()]*)?|[\w.]+ = [^\n()]*)\n"
+_SET = r"  (?:var |local )?[\w.]+(?:: ?\w+)? :?= [^\n()]*\n"
+_PASSED = r"\([^\n()]*(?:\([^\n()]*\)[^\n()]*)*\)"
+DELEGATE_INDENTED = rf"^(?:  (?:async )?(?:static )?(?:def|func) [^\n]*\n)?(?:(?:{_GUARD}){{1,2}}|(?:{_GUARD})?{_SET})  (?:return )?(?:await )?[\w.]+{_PASSED}$"
+DELEGATE_BRACED = rf"^  (?:[^\n{{}};]+\n  )?[^\n{{}};]*\{{(?:\n  | )(?:return )?(?:await )?[\w.:>-]+{_PASSED};?(?:\n  | )\}}$"
+INDENTED, BRACED = (".py", ".pyi", ".gd"), (".c", ".cpp", ".go", ".ts", ".tsx", ".js", ".jsx", ".mjs")
+
+
+def is_delegate(norm: Column, ext: Column) -> Column:
+    """Whether a normalised body only forwards, in the languages that have such a shape; never elsewhere."""
+    return F.when(ext.isin(*INDENTED), norm.rlike(DELEGATE_INDENTED)).when(ext.isin(*BRACED), norm.rlike(DELEGATE_BRACED)).otherwise(False)
+
+
+def failure_reason(message: Column, status: Column | None = None) -> Column:
+    """Why an embedding call failed: another model than the index has, a model the endpoint rejects (HTTP 4xx, or 5xx that names the
+    model), an endpoint that answers but fails, or one that isn't reached. The status is read from the message (``HTTP 429``) if it isn't given."""
+    m = F.coalesce(message, F.lit(""))
+    code = F.coalesce(status.cast("int") if status is not None else F.lit(None).cast("int"), F.expr("null").cast("int"), F.try_to_number(F.nullif(F.regexp_extract(m, r"(?:HTTP|status) ?([1-5][0-9][0-9])", 1), F.lit("")), F.lit("999")).cast("int"))
+    named = F.lower(m).rlike("model .*not found|no such model|unknown model|model .*does not exist")
     return (
-        F.when(m.rlike("429|rate.?limit"), "rate limited")
-        .when(m.rlike("401|403|unauthori[sz]ed|forbidden|api.?key"), "not authorised")
-        .when(m.rlike("404|not found|no such model"), "model not found")
-        .when(m.rlike("timed? ?out|deadline"), "timed out")
-        .when(m.rlike("refused|unreachable|connect"), "not reachable")
-        .otherwise("failed")
+        F.when(F.lower(m).contains("built with embed model"), "model mismatch")
+        .when((code >= 400) & (code < 500) | code.isNotNull() & named, "model rejected")
+        .when(code.isNotNull(), "endpoint failing")
+        .otherwise("unreachable")
     )

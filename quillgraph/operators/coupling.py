@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import admissible, dir_seed, ident_tokens, node_file
+from quillgraph.functions.text import admissible, dir_seed, ident_tokens, node_file, seed_chain, stem, titleize
 from quillgraph.session import release, stage
 
 #: Known words of the rules.
@@ -93,7 +93,7 @@ def parse_rules(lines: DataFrame) -> DataFrame:
 
 
 def check_rules(rules: DataFrame, classed: DataFrame, pairs: int = 5) -> DataFrame:
-    """(id, severity, wires, limit, violated, files, more_files) of every valid rule, by ordered cluster pair."""
+    """(id, severity, wires, limit, violated, files, more_files) of every valid rule, by ordered cluster pair; errors first, then by rule and ends."""
     valid = rules.where(F.size("errors") == 0)
     cross = classed.where("class = 'cross'").select("a", "b", "types", F.col("src").alias("f"), F.col("dst").alias("g")).withColumnRenamed("types", "have")
     hit = valid.join(cross, (F.col("from") == F.col("a")) & (F.col("to") == F.col("b")), "left").where(F.col("types").isNull() | F.col("have").isNull() | F.arrays_overlap("types", "have"))
@@ -105,6 +105,7 @@ def check_rules(rules: DataFrame, classed: DataFrame, pairs: int = 5) -> DataFra
     limit = F.when(F.col("kind") == "budget", F.col("max")).otherwise(F.lit(0))
     got = valid.join(sums, "id", "left").join(shown, "id", "left")
     wires = F.coalesce("wires", F.lit(0))
+    got = got.orderBy(F.col("severity") != "error", "id", "from", "to")
     return got.select("id", "severity", wires.alias("wires"), limit.cast("long").alias("limit"), (wires > limit).alias("violated"), F.coalesce("files", F.array().cast("array<string>")).alias("files"), F.greatest(F.coalesce("nf", F.lit(0)) - pairs, F.lit(0)).alias("more_files"))
 
 
@@ -176,12 +177,58 @@ def majority_dirs(members: DataFrame, group: str, least: float = 0.55) -> DataFr
     return per.where(F.col("c") >= F.lit(least) * F.col("n")).select(group, "seed", F.round(F.col("c") / F.col("n"), 4).alias("share"))
 
 
+def stem_prefixes(members: DataFrame, group: str) -> DataFrame:
+    """(group, seg): of clusters of packed scenes the part that tells them apart: of the stems ``Pfx_Seg...`` of its scenes at least
+    60 % have one prefix, and of those 55 % one first hump after it, which isn't the prefix."""
+    m = members.select(group, "repo", "path").distinct().where(F.col("path").endswith(".tscn")).withColumn("stem", stem(F.col("path")))
+    n = m.groupBy(group).agg(F.count("*").alias("n"))
+    second = F.split_part("stem", F.lit("_"), F.lit(2))
+    hump = F.coalesce(F.nullif(F.regexp_extract(second, "([A-Z][a-z]*)", 1), F.lit("")), second)
+    c = m.where(second != "").select(group, F.lower(F.split_part("stem", F.lit("_"), F.lit(1))).alias("pfx"), F.lower(hump).alias("seg"))
+
+    def top(rows: DataFrame, name: str) -> DataFrame:
+        w = Window.partitionBy(group).orderBy(F.desc("k"), name)
+        return rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+    pfx = top(c.groupBy(group, "pfx").agg(F.count("*").alias("k")), "pfx").join(n, group).where("k >= 0.6 * n").select(group, "pfx", F.col("k").alias("pn"))
+    seg = top(c.join(pfx, [group, "pfx"]).groupBy(group, "pfx", "pn", "seg").agg(F.count("*").alias("k")), "seg")
+    return seg.where("k >= 0.55 * pn and seg <> pfx").select(group, "seg")
+
+
+def deepest_dirs(members: DataFrame, group: str, least: float = 0.55) -> DataFrame:
+    """(group, chain): the longest chain of folders, those without a meaning of their own left out, that ``least`` of the members share."""
+    m = members.select(group, "repo", "path").distinct()
+    n = m.groupBy(group).agg(F.count("*").alias("n"))
+    chain = m.withColumn("c", seed_chain(F.col("path"))).where(F.size("c") > 0)
+    every = chain.select(group, F.explode(F.transform(F.sequence(F.lit(1), F.size("c")), lambda k: F.slice("c", 1, k))).alias("chain"))
+    per = every.groupBy(group, "chain").agg(F.count("*").alias("k")).join(n, group).where(F.col("k") >= F.lit(least) * F.col("n"))
+    return per.groupBy(group).agg(F.max_by("chain", F.size("chain")).alias("chain"))
+
+
 def cluster_labels(members: DataFrame, group: str) -> DataFrame:
-    """(group, label, confidence): the folder of most members, else the most characteristic terms, else Mixed."""
-    every = members.select(group).distinct()
-    named = every.join(majority_dirs(members, group), group, "left").join(label_terms(members, group), group, "left")
-    text = F.array_join("terms", " ")
-    return named.select(group, F.coalesce("seed", text, F.lit("Mixed")).alias("label"), F.when(F.col("seed").isNotNull(), 0.8).when(F.col("terms").isNotNull(), 0.4).otherwise(0.2).alias("confidence"))
+    """(group, label, confidence, rule): the first that holds of: the segment of a pack of scenes (0.7), the deepest folder that 55 % share
+    (0.85), a scene stem that half have (0.8), the most characteristic terms (0.6), the first class name (0.35), Mixed (0.2).
+
+    The rules on scenes ask that more than half of the files are scenes.
+    """
+    m = members.select(group, "repo", "path", "class_name").groupBy(group, "repo", "path").agg(F.min(F.nullif("class_name", F.lit(""))).alias("class_name"))
+    scene = F.col("path").endswith(".tscn")
+    every = m.groupBy(group).agg(F.count("*").alias("n"), F.count_if(scene).alias("scenes"), F.min_by("class_name", F.when(F.col("class_name").isNotNull(), F.struct("path", "repo"))).alias("cls"))
+    stems = m.where(scene).groupBy(group, stem(F.col("path")).alias("st")).agg(F.count("*").alias("k"))
+    stems = stems.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("k"), "st"))).where("r = 1").select(group, "st", "k")
+    got = every.join(stem_prefixes(members, group), group, "left").join(deepest_dirs(members, group), group, "left").join(stems, group, "left").join(label_terms(members, group), group, "left")
+    many = F.col("scenes") * 2 > F.col("n")
+    pack, half = many & F.col("seg").isNotNull(), many & (F.col("k") >= 0.5 * F.col("n"))
+    rules = [
+        (pack, titleize(F.col("seg")), 0.7, "stem"), (F.col("chain").isNotNull(), titleize(F.element_at("chain", -1)), 0.85, "dir"), (half, titleize(F.col("st")), 0.8, "scene"),
+        (F.col("terms").isNotNull(), F.array_join("terms", " - "), 0.6, "tfidf"), (F.col("cls").isNotNull(), titleize(F.col("cls")), 0.35, "class"),
+        (F.lit(True), F.concat(F.lit("Mixed ("), F.col("n").cast("string"), F.lit(")")), 0.2, "mixed"),
+    ]
+    label, conf, rule = None, None, None
+    for ok, text, c, name in rules:
+        ok = F.coalesce(ok, F.lit(False))
+        label, conf, rule = (F.when(ok, v) if w is None else w.when(ok, v) for w, v in ((label, text), (conf, F.lit(c)), (rule, F.lit(name))))
+    return got.select(group, label.alias("label"), conf.alias("confidence"), rule.alias("rule"))
 
 
 def one_cluster_each(members: DataFrame, group: str) -> DataFrame:

@@ -124,12 +124,18 @@ def split_groups(rows: DataFrame, least_sim: float = SPLIT_SIM, most: int = 1500
     return rows.select("grp", "id", "embedding").groupBy("grp").applyInPandas(split, f"grp {dict(rows.dtypes)['grp']}, id long, part string")
 
 
-def file_context(path: str, adjacency: DataFrame, membership: DataFrame, indeg: DataFrame, direct: int = 15) -> DataFrame:
-    """(section, name, n, total) of one file: its cluster, incoming edges, first direct neighbours with true totals."""
-    mine = adjacency.where(F.col("file") == path).groupBy("nb", "direction").agg(F.sum("n").alias("n"))
+def file_context(path: str, adjacency: DataFrame, membership: DataFrame, indeg: DataFrame, direct: int = 15, ring: int = 10) -> DataFrame:
+    """(section, name, n, total) of one file: its cluster, incoming edges, first direct neighbours with true totals, and the first files
+    behind those, each with the best-wired direct neighbour that leads to it."""
+    mine = stage(adjacency.where(F.col("file") == path).groupBy("nb", "direction").agg(F.sum("n").alias("n")), "context")
     total = mine.agg(F.count("*").alias("t")).first()["t"]
     near = mine.orderBy(F.desc("n"), "nb", "direction").limit(direct).select(F.concat(F.lit("neighbour "), "direction").alias("section"), F.col("nb").alias("name"), "n", F.lit(total).cast("long").alias("total"))
     own = membership.where(F.col("path") == path).select("cluster")
     size = membership.join(F.broadcast(own), "cluster").groupBy("cluster").agg(F.count("*").alias("n")).select(F.lit("cluster").alias("section"), F.col("cluster").alias("name"), "n", F.col("n").alias("total"))
     hub = indeg.where(F.col("path") == path).select(F.lit("incoming").alias("section"), F.col("path").alias("name"), F.col("indeg").alias("n"), F.col("indeg").alias("total"))
-    return near.unionByName(size).unionByName(hub)
+    by_nb = mine.groupBy("nb").agg(F.sum("n").alias("w"))
+    behind = adjacency.select("file", F.col("nb").alias("to")).distinct().join(by_nb.withColumnRenamed("nb", "file"), "file").where(F.col("to") != path).join(by_nb.select(F.col("nb").alias("to")), "to", "left_anti")
+    far = stage(behind.groupBy("to").agg(F.min(F.struct((-F.col("w")).alias("w"), "file")).alias("v"), F.count("*").alias("n")), "ring")
+    all_far = far.count()
+    around = far.orderBy(F.desc("n"), "to").limit(ring).select(F.concat(F.lit("ring via "), F.col("v.file")).alias("section"), F.col("to").alias("name"), "n", F.lit(all_far).cast("long").alias("total"))
+    return near.unionByName(size).unionByName(hub).unionByName(around)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import file_ext, normal_body
+from quillgraph.functions.text import file_ext, is_delegate, normal_body
 from quillgraph.session import stage
 
 #: Weights of the tiers in the share of a file, and the share from which a file counts as dead.
@@ -21,15 +21,16 @@ def dead_shares(dead: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def duplicate_members(functions: DataFrame, least_lines: int = 3) -> DataFrame:
-    """(hash, func_id, n): members of groups of one normalised body of ``least_lines`` lines or more.
+    """(hash, func_id, n, delegate): members of groups of one normalised body of ``least_lines`` lines or more.
 
-    Only digests and ids are shuffled, redelivered rows are dropped among those, and a group of any
-    size stays a set of rows.
+    A group whose first member only forwards is marked, to be counted and not shown. Only digests and ids are shuffled, redelivered
+    rows are dropped among those, and a group of any size stays a set of rows.
     """
-    norm = functions.where("body is not null").select("func_id", normal_body(F.col("body"), file_ext(F.col("path"))).alias("norm"))
+    ext = file_ext(F.col("path"))
+    norm = functions.where("body is not null").select("func_id", ext.alias("ext"), normal_body(F.col("body"), ext).alias("norm"))
     # One value per id out of an aggregate: the filter then can't move below it and normalise each body twice.
-    facts = F.max(F.struct(F.size(F.split("norm", "\n")).alias("lines"), F.sha1(F.encode("norm", "UTF-8")).alias("hash")))
-    hashed = norm.groupBy("func_id").agg(facts.alias("f")).where(F.col("f.lines") >= least_lines).select("func_id", "f.hash")
+    facts = F.max(F.struct(F.size(F.split("norm", "\n")).alias("lines"), F.sha1(F.encode("norm", "UTF-8")).alias("hash"), is_delegate(F.col("norm"), F.col("ext")).alias("delegate")))
+    hashed = norm.groupBy("func_id").agg(facts.alias("f")).where(F.col("f.lines") >= least_lines).select("func_id", "f.hash", "f.delegate")
     hashed = stage(hashed, "body-hashes")
-    n = hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n >= 2")
-    return hashed.join(n, "hash").select(F.substring("hash", 1, 8).alias("hash"), "func_id", "n")
+    n = hashed.groupBy("hash").agg(F.count("*").alias("n"), F.min_by("delegate", "func_id").alias("delegate")).where("n >= 2")
+    return hashed.drop("delegate").join(n, "hash").select(F.substring("hash", 1, 8).alias("hash"), "func_id", "n", "delegate")

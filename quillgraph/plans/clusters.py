@@ -197,8 +197,28 @@ def majority_dir(s, d):
     return C.majority_dirs(A.table(s, d, "cluster_members"), "cluster_id", 0.15)
 
 
-@query(f"""WITH {_LABELS} SELECT cluster_id, coalesce(seed, array_to_string(terms, ' '), 'Mixed') AS label, CASE WHEN seed IS NOT NULL THEN 0.8::DOUBLE WHEN terms IS NOT NULL THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END AS confidence
-FROM (SELECT DISTINCT cluster_id FROM m) LEFT JOIN md USING (cluster_id) LEFT JOIN lt USING (cluster_id)""")
+_STEM = r"regexp_replace(split_part(path, '/', -1), '\.[^.]*$', '')"
+_TITLE = r"array_to_string(list_transform(regexp_extract_all(lower(trim(regexp_replace({x}, '[\s_-]+', ' ', 'g'), ' ')), '\p{{L}}+|[^\p{{L}}]+'), lambda w: upper(w[1]) || w[2:]), '')"
+_SEGS = f"""sm AS (SELECT cluster_id, {_STEM} AS stem FROM m WHERE ends_with(path, '.tscn')), sn AS (SELECT cluster_id, count(*) AS n FROM sm GROUP BY ALL),
+sx AS (SELECT cluster_id, lower(split_part(stem, '_', 1)) AS pfx, lower(coalesce(nullif(regexp_extract(split_part(stem, '_', 2), '([A-Z][a-z]*)', 1), ''), split_part(stem, '_', 2))) AS seg FROM sm WHERE split_part(stem, '_', 2) <> ''),
+px AS (SELECT cluster_id, pfx, k AS pn FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY k DESC, pfx) AS r FROM (SELECT cluster_id, pfx, count(*) AS k FROM sx GROUP BY ALL)) JOIN sn USING (cluster_id) WHERE r = 1 AND k >= 0.6 * n),
+sg AS (SELECT cluster_id, seg FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY k DESC, seg) AS r FROM (SELECT cluster_id, pfx, pn, seg, count(*) AS k FROM sx JOIN px USING (cluster_id, pfx) GROUP BY ALL)) WHERE r = 1 AND k >= 0.55 * pn AND seg <> pfx)"""
+_DEEP = f"""cc AS (SELECT cluster_id, list_filter(string_split(path, '/')[:-2], lambda x: lower(x) NOT IN ({T.sql_list(T.GENERIC_DIRS)})) AS c FROM m), ck AS (SELECT cluster_id, c[:k] AS chain, count(*) AS k FROM (SELECT cluster_id, c, unnest(range(1, len(c) + 1)) AS k FROM cc) GROUP BY ALL),
+dd AS (SELECT cluster_id, arg_max(chain, len(chain)) AS chain FROM ck JOIN (SELECT cluster_id, count(*) AS n FROM m GROUP BY ALL) USING (cluster_id) WHERE k >= 0.55 * n GROUP BY ALL)"""
+
+
+@query(f"WITH {_MEMBERS}, {_SEGS} SELECT cluster_id, seg FROM sg")
+def stem_prefixes(s, d):
+    return C.stem_prefixes(A.table(s, d, "cluster_members"), "cluster_id")
+
+
+@query(f"""WITH {_LABELS}, {_SEGS}, {_DEEP}, mc AS (SELECT cluster_id, repo, path, min(nullif(class_name, '')) AS cls FROM cluster_members GROUP BY ALL),
+ev AS (SELECT cluster_id, count(*) AS n, count(*) FILTER (WHERE ends_with(path, '.tscn')) AS scenes, arg_min(cls, (path, repo)) AS cls FROM mc GROUP BY ALL),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY k DESC, stem) AS r FROM (SELECT cluster_id, stem, count(*) AS k FROM sm GROUP BY ALL)) WHERE r = 1)
+SELECT cluster_id, CASE WHEN scenes * 2 > n AND seg IS NOT NULL THEN {_TITLE.format(x="seg")} WHEN chain IS NOT NULL THEN {_TITLE.format(x="chain[-1]")} WHEN scenes * 2 > n AND k >= 0.5 * n THEN {_TITLE.format(x="stem")} WHEN terms IS NOT NULL THEN array_to_string(terms, ' - ')
+  WHEN cls IS NOT NULL THEN {_TITLE.format(x="cls")} ELSE 'Mixed (' || n || ')' END AS label, (CASE WHEN scenes * 2 > n AND seg IS NOT NULL THEN 0.7 WHEN chain IS NOT NULL THEN 0.85 WHEN scenes * 2 > n AND k >= 0.5 * n THEN 0.8 WHEN terms IS NOT NULL THEN 0.6 WHEN cls IS NOT NULL THEN 0.35 ELSE 0.2 END)::DOUBLE AS confidence,
+  CASE WHEN scenes * 2 > n AND seg IS NOT NULL THEN 'stem' WHEN chain IS NOT NULL THEN 'dir' WHEN scenes * 2 > n AND k >= 0.5 * n THEN 'scene' WHEN terms IS NOT NULL THEN 'tfidf' WHEN cls IS NOT NULL THEN 'class' ELSE 'mixed' END AS rule
+FROM ev LEFT JOIN sg USING (cluster_id) LEFT JOIN dd USING (cluster_id) LEFT JOIN tp USING (cluster_id) LEFT JOIN lt USING (cluster_id)""")
 def cluster_labels(s, d):
     return C.cluster_labels(A.table(s, d, "cluster_members"), "cluster_id")
 
@@ -209,14 +229,17 @@ def partition_dedupe(s, d):
 
 
 @query(f"""WITH {CLASSED}, tp AS (SELECT cluster, path, indeg FROM (SELECT cluster, path, indeg, row_number() OVER (PARTITION BY cluster ORDER BY indeg DESC, path) AS r FROM (SELECT cluster, path, (SELECT count(*) FROM (SELECT DISTINCT src_key, dst_key, type FROM edges) e WHERE split_part(e.dst_key, '::', 1) = path AND split_part(e.src_key, '::', 1) <> path) AS indeg FROM membership)) WHERE r <= 3),
-sz AS (SELECT cluster, count(*) AS size FROM membership GROUP BY ALL) SELECT cluster, size, list(path ORDER BY indeg DESC, path) AS hubs FROM tp JOIN sz USING (cluster) GROUP BY ALL""")
+sz AS (SELECT cluster, count(*) AS size FROM membership GROUP BY ALL), xe AS (SELECT c, count(*) AS n FROM (SELECT a AS c FROM cl WHERE class = 'cross' UNION ALL SELECT b FROM cl WHERE class = 'cross') GROUP BY ALL)
+SELECT cluster, size, list(path ORDER BY indeg DESC, path) AS hubs, coalesce(max(xe.n), 0) AS external FROM tp JOIN sz USING (cluster) LEFT JOIN xe ON xe.c = cluster GROUP BY cluster, size""")
 def overview(s, d):
-    """Every cluster with its size and its three files of most incoming edges."""
+    """Every cluster with its size, its three files of most incoming edges, and its edges to other clusters."""
     member = A.part_membership(s, d)
     deg = G.in_degrees(A.follow_edges(s, d), member.select("path")).join(member, "path")
     best = deg.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("indeg"), "path"))).where("r <= 3")
     hubs = best.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x.path).alias("hubs"))
-    return hubs.join(member.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("cluster", "size", "hubs")
+    cross = _classed(s, d).where("class = 'cross'")
+    ext = cross.select(F.col("a").alias("cluster")).unionAll(cross.select("b")).groupBy("cluster").agg(F.count("*").alias("e"))
+    return hubs.join(member.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").join(ext, "cluster", "left").select("cluster", "size", "hubs", F.coalesce("e", F.lit(0)).alias("external"))
 
 
 @query(f"""WITH {_LABELS}, st AS (SELECT term, arg_max(df, counted_at) AS stored FROM label_terms WHERE term IS NOT NULL AND df IS NOT NULL GROUP BY ALL), tr AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL)

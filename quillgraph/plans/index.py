@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions import text as T
 from quillgraph.operators import changes as H
 from quillgraph.operators import graph as G
 from quillgraph.operators import liveness as L
@@ -25,17 +26,27 @@ def query(sql: str | None = None):
     return add
 
 
-_NORM = f"""{A.FUNCS}, {NORM_SQL}, hs AS (SELECT func_id, sha1(norm) AS h FROM nb WHERE len(string_split(norm, chr(10))) >= 3), gr AS (SELECT h, count(*) AS n FROM hs GROUP BY ALL HAVING count(*) >= 2)"""
+_DELEGATE = f"""CASE WHEN ext IN ({T.sql_list(T.INDENTED)}) THEN regexp_matches(norm, '{T.DELEGATE_INDENTED}') WHEN ext IN ({T.sql_list(T.BRACED)}) THEN regexp_matches(norm, '{T.DELEGATE_BRACED}') ELSE false END"""
+_NORM = f"""{A.FUNCS}, {NORM_SQL}, hs AS (SELECT func_id, sha1(norm) AS h, {_DELEGATE} AS dg FROM nb WHERE len(string_split(norm, chr(10))) >= 3), gr AS (SELECT h, count(*) AS n, arg_min(dg, func_id) AS delegate FROM hs GROUP BY ALL HAVING count(*) >= 2)"""
 
 
-@query(f"WITH {_NORM} SELECT left(h, 8) AS hash, func_id, n FROM hs JOIN gr USING (h)")
+@query(f"WITH {_NORM} SELECT left(h, 8) AS hash, func_id, n FROM hs JOIN gr USING (h) WHERE NOT delegate")
 def dup_exact(s, d):
-    return L.duplicate_members(A.table(s, d, "funcs"))
+    return L.duplicate_members(A.table(s, d, "funcs")).where("not delegate").drop("delegate")
 
 
-@query(f"WITH {_NORM} SELECT n AS size, count(*) AS groups FROM gr GROUP BY ALL")
+@query(f"WITH {_NORM} SELECT n AS size, delegate, count(*) AS groups FROM gr GROUP BY ALL")
 def dup_summary(s, d):
-    return L.duplicate_members(A.table(s, d, "funcs")).groupBy("n").agg((F.count("*") / F.col("n")).cast("long").alias("groups")).select(F.col("n").alias("size"), "groups")
+    """Groups by size, those of functions that only forward apart."""
+    return L.duplicate_members(A.table(s, d, "funcs")).groupBy("n", "delegate").agg((F.count("*") / F.col("n")).cast("long").alias("groups")).select(F.col("n").alias("size"), "delegate", "groups")
+
+
+@query(f"WITH {A.FUNCS}, {NORM_SQL} SELECT func_id, {_DELEGATE} AS delegate FROM nb")
+def delegates(s, d):
+    """Which functions only forward."""
+    ext = T.file_ext(F.col("path"))
+    norm = A.functions(s, d).where("body is not null").select("func_id", ext.alias("ext"), T.normal_body(F.col("body"), ext).alias("norm"))
+    return norm.select("func_id", T.is_delegate(F.col("norm"), F.col("ext")).alias("delegate"))
 
 
 _PAST = r"""bl AS (SELECT *, string_split(regexp_replace(regexp_replace(coalesce(body, ''), '\r\n?', chr(10), 'g'), chr(10) || '$', ''), chr(10)) AS ls FROM fn),

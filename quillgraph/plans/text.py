@@ -130,10 +130,12 @@ def normal_body(s, d):
     return A.functions(s, d).where("body is not null").select("func_id", T.normal_body(F.col("body"), T.file_ext(F.col("path"))).alias("norm"))
 
 
-@query(rf"""WITH {A.FUNCS} SELECT func_id, list_sort(list_distinct(regexp_extract_all(body, 'self\.([A-Za-z_]\w*)\s*=(?:[^=]|$)', 1))) AS written FROM fn WHERE body IS NOT NULL""")
+@query(rf"""WITH {A.FUNCS}, c AS (SELECT *, list_filter(regexp_extract_all(body, '{T.METHOD_CALL}'), lambda m: regexp_extract(m, '{T.METHOD_CALL}', 2) IN ({T.sql_list(T.MUTATORS)})) AS calls FROM fn WHERE body IS NOT NULL)
+SELECT func_id, list_sort(list_distinct(regexp_extract_all(body, '{T.MEMBER_WRITE}', 1))) AS written, list_sort(list_distinct(list_filter(list_transform(calls, lambda m: regexp_extract(m, '{T.METHOD_CALL}', 1)), lambda n: list_contains(list_transform(coalesce(params, []), lambda p: p.name), n)))) AS changed FROM c""")
 def io_scan(s, d):
-    found = F.regexp_extract_all("body", F.lit(r"self\.([A-Za-z_]\w*)\s*=(?:[^=]|$)"), F.lit(1))
-    return A.functions(s, d).where("body is not null").select("func_id", F.array_sort(F.array_distinct(found)).alias("written"))
+    """What each function writes on its own object and which parameters it changes."""
+    f = A.functions(s, d).where("body is not null")
+    return f.select("func_id", T.member_writes(F.col("body")).alias("written"), T.changed_params(F.col("body"), F.col("params")).alias("changed"))
 
 
 @query(r"""SELECT suffix, count(*) AS n FROM (SELECT coalesce(nullif(regexp_extract(lower(split_part(path, '/', -1)), '(\.[^.]+)$', 1), ''), split_part(path, '/', -1)) AS suffix
@@ -153,10 +155,11 @@ def json_cost(s, d):
     return t.select("doc_id", F.length(F.to_json(F.struct("doc_id", "kind", "lang"))).cast("long").alias("cost"))
 
 
-@query("""WITH m AS (SELECT unnest(['HTTP 429', 'Connection refused', 'model not found', 'read timed out', '401 unauthorized', 'odd', NULL]) AS message)
-SELECT message, CASE WHEN regexp_matches(lower(coalesce(message, '')), '429|rate.?limit') THEN 'rate limited' WHEN regexp_matches(lower(coalesce(message, '')), '401|403|unauthori[sz]ed|forbidden|api.?key') THEN 'not authorised'
- WHEN regexp_matches(lower(coalesce(message, '')), '404|not found|no such model') THEN 'model not found' WHEN regexp_matches(lower(coalesce(message, '')), 'timed? ?out|deadline') THEN 'timed out'
- WHEN regexp_matches(lower(coalesce(message, '')), 'refused|unreachable|connect') THEN 'not reachable' ELSE 'failed' END AS reason FROM m""")
+_FAILED = ("HTTP 429 too many requests", "Connection refused", "HTTP 500: model 'x' not found", "HTTP 503 overloaded", "read timed out", "the index was built with embed model a, not b", "model not found", "", None)
+
+
+@query(f"""WITH m AS (SELECT unnest([{", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in _FAILED)}]) AS message), c AS (SELECT message, lower(coalesce(message, '')) AS l, nullif(regexp_extract(coalesce(message, ''), '(?:HTTP|status) ?([1-5][0-9][0-9])', 1), '')::INT AS code FROM m)
+SELECT message, CASE WHEN contains(l, 'built with embed model') THEN 'model mismatch' WHEN code BETWEEN 400 AND 499 OR (code IS NOT NULL AND regexp_matches(l, 'model .*not found|no such model|unknown model|model .*does not exist')) THEN 'model rejected'
+  WHEN code IS NOT NULL THEN 'endpoint failing' ELSE 'unreachable' END AS reason FROM c""")
 def failure_reasons(s, d):
-    rows = [(m,) for m in ("HTTP 429", "Connection refused", "model not found", "read timed out", "401 unauthorized", "odd", None)]
-    return s.createDataFrame(rows, "message string").select("message", T.failure_reason(F.col("message")).alias("reason"))
+    return s.createDataFrame([(m,) for m in _FAILED], "message string").select("message", T.failure_reason(F.col("message")).alias("reason"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quillgraph.functions import bodies as B
 from quillgraph.functions import text as T
 from quillgraph.operators import coupling as C
+from quillgraph.operators import explore as X
 from quillgraph.operators import graph as G
 from quillgraph.operators import grouping as U
 from quillgraph.operators import textsearch as S
+from quillgraph.plans import codegraph as K
 from quillgraph.plans import recall as Q
 from quillgraph.sources import adapters as A
 
@@ -28,8 +30,8 @@ def query(sql: str | None = None):
 
 
 @query()
-def delegates(s, d):
-    """Which functions only forward, their logical lines and their intro."""
+def body_facts(s, d):
+    """The logical lines of functions and their intro."""
     return B.body_facts(A.functions(s, d))
 
 
@@ -90,9 +92,11 @@ own AS (SELECT 'cluster' AS section, cluster AS name, count(*) AS n, count(*) AS
 hub AS (SELECT 'incoming' AS section, {_ONE} AS name, (SELECT count(*) FROM ty WHERE b = {_ONE}) AS n, (SELECT count(*) FROM ty WHERE b = {_ONE}) AS total)"""
 
 
-@query(f"WITH {_CTX} SELECT * FROM top UNION ALL SELECT * FROM own UNION ALL SELECT * FROM hub")
+@query(f"""WITH {_CTX}, al AS (SELECT nb, sum(n) AS n FROM nb GROUP BY ALL), pr2 AS (SELECT a, b FROM ty UNION SELECT b, a FROM ty), rg AS (SELECT pr2.b AS nb, arg_min(al.nb, (-al.n, al.nb)) AS via, count(DISTINCT al.nb) AS n FROM pr2 JOIN al ON al.nb = pr2.a WHERE pr2.b <> {_ONE} AND pr2.b NOT IN (SELECT nb FROM al) GROUP BY ALL),
+rn AS (SELECT 'ring via ' || via AS section, nb AS name, n, (SELECT count(*) FROM rg) AS total FROM rg ORDER BY n DESC, nb LIMIT 10)
+SELECT * FROM top UNION ALL SELECT * FROM own UNION ALL SELECT * FROM hub UNION ALL SELECT * FROM rn""")
 def context(s, d):
-    """Cluster, incoming edges and first neighbours of the first file."""
+    """Cluster, incoming edges, first neighbours of the first file and the files behind those."""
     edges, member = A.follow_edges(s, d), A.part_membership(s, d)
     first = member.agg(F.min("path")).first()[0] or ""
     return U.file_context(first, G.typed_adjacency(edges), member, G.in_degrees(edges, member.select("path")))
@@ -100,13 +104,19 @@ def context(s, d):
 
 @query()
 def explore(s, d):
-    """Orientation for a question: the first hits by fair share of 20 000 characters, as numbered lines."""
-    hits = Q._boosted(s, d).where("q = 'q1' and rank <= 4").select("path", "rank")
-    lines = S.lines(A.docs(s, d).join(F.broadcast(hits.select("path")), "path", "left_semi"))
-    shown = lines.where("line <= 100").withColumn("shown", F.concat_ws("\t", F.col("line").cast("string"), "text"))
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = shown.withColumn("used", F.sum(F.length("shown") + 1).over(w)).where("used <= 5000")
-    return share.join(F.broadcast(hits), "path").select("rank", "path", "line", "shown")
+    """The answer to one question: map of 900 tokens, clusters, files and slices of the functions found."""
+    c = K.Code(s, d)
+    edges = c.edges()
+    hits = Q.function_hits(s, d, X.HITS, {"f1": Q.NAMED["f1"]}).select("key", "file", "name", "cos", "rank")
+    symbols = c.decl.select(F.concat_ws("|", "repo", "path").alias("path"), "name", "key")
+    ranks = G.pagerank(G.file_wires(edges), symbols.select("path").distinct())
+    lines = G.repo_map(ranks, symbols, G.symbol_degrees(edges, symbols), 900).select(F.col("used").alias("rank"), "line")
+    members = A.table(s, d, "cluster_members")
+    sized = members.select("cluster_id", F.concat_ws("|", "repo", "path").alias("p")).distinct().groupBy("cluster_id").agg(F.count("*").alias("size"), F.min("p").alias("p"))
+    top = sized.orderBy(F.desc("size"), "cluster_id").limit(8).join(C.cluster_labels(members, "cluster_id"), "cluster_id")
+    shown = top.orderBy(F.desc("size"), "cluster_id").select("label", "size", F.array("p").alias("paths"))
+    bodies = A.functions(s, d).select(F.concat_ws("::", F.concat_ws("|", "repo", "path"), "name").alias("key"), "line", "body")
+    return X.explore(hits, bodies, edges, lines, shown)
 
 
 def _hard(first):
@@ -120,6 +130,25 @@ def hard_easy(s, d):
     return _hard(Q._first_ranks(s, d))
 
 
+@query(f"""WITH {Q._EVAL}, eg AS (SELECT DISTINCT item_id, array_to_string(tk[i:i+2], ' ') AS gram FROM (SELECT item_id, tk, unnest(range(1, len(tk) - 1)) AS i FROM it)), dg3 AS (SELECT DISTINCT path, array_to_string(tk[i:i+2], ' ') AS gram FROM (SELECT path, tk, unnest(range(1, len(tk) - 1)) AS i FROM (SELECT path, {Q.tokens_sql('body')} AS tk FROM docs))),
+ec AS (SELECT item_id, count(DISTINCT path) AS n FROM eg JOIN dg3 USING (gram) GROUP BY ALL) SELECT item_id, item_id IN (SELECT item_id FROM tg) AS anchored, coalesce(n, 0) AS echoes FROM it LEFT JOIN ec USING (item_id)""")
+def golden_check(s, d):
+    """Of each held-out item whether its anchor stands in a document, and how many documents echo three of its tokens in a row."""
+    tok = A.table(s, d, "eval_items").select("item_id", T.recall_tokens(F.col("text")).alias("tk"))
+    there = Q.passage_targets(tok, A.docs(s, d)).select("item_id").distinct().withColumn("anchored", F.lit(True))
+    got = tok.select("item_id").join(there, "item_id", "left").join(Q.echo_3gram(s, d), "item_id", "left")
+    return got.select("item_id", F.coalesce("anchored", F.lit(False)).alias("anchored"), F.coalesce("n_docs", F.lit(0)).alias("echoes"))
+
+
+@query(f"""WITH {A.EDGES}, tk AS (SELECT src_key, dst_key, type FROM (SELECT src_key, dst_key, type, row_number() OVER (PARTITION BY type ORDER BY src_key, dst_key) AS r FROM edges) WHERE r <= 10), an AS (SELECT src_key, dst_key FROM edges WHERE type <> 'var')
+SELECT type, count(*) AS tasks, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM an WHERE an.src_key = tk.src_key AND an.dst_key = tk.dst_key)) AS solved, round(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM an WHERE an.src_key = tk.src_key AND an.dst_key = tk.dst_key)) / count(*), 4) AS share FROM tk GROUP BY ALL""")
+def task_scores(s, d):
+    """Tasks by type with those that a set of answers solves; the answers here are the edges of two types."""
+    answers = A.follow_edges(s, d).where("type <> 'var'").select("src_key", "dst_key").distinct().withColumn("hit", F.lit(1))
+    per = task_sample(s, d).join(answers, ["src_key", "dst_key"], "left").groupBy("type").agg(F.count("*").alias("tasks"), F.count("hit").alias("solved"))
+    return per.withColumn("share", F.round(F.col("solved") / F.col("tasks"), 4))
+
+
 @query(f"""WITH {A.EDGES}, x AS (SELECT src_key, dst_key, type, row_number() OVER (PARTITION BY type ORDER BY src_key, dst_key) AS r FROM edges) SELECT src_key, dst_key, type FROM x WHERE r <= 10""")
 def task_sample(s, d):
     """The first ten edges of each type: tasks for an evaluation."""
@@ -139,9 +168,9 @@ def shared_files(s, d):
 def modularity(s, d):
     """Quality of the communities of the similarity graph."""
     from quillgraph.operators import vectors as V
-    from quillgraph.plans import clusters as K
+    from quillgraph.plans import clusters as P
 
-    g = C.sim_graph(V.mutual(K._near(s, d)), K._calls(s, d))
+    g = C.sim_graph(V.mutual(P._near(s, d)), P._calls(s, d))
     parts = C.communities(g)
     n = parts.select("community").distinct().count()
     return s.createDataFrame([(n, round(C.modularity(g, parts), 6))], "communities long, modularity double")

@@ -1,13 +1,16 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillgraph import cli
 from quillgraph.functions import bodies as B
+from quillgraph.functions import text as T
 from quillgraph.operators import grouping as U
 from quillgraph.sources.predicates import Predicates, guard_store
 
 
-@pytest.mark.parametrize("body,braces,want", [
+DELEGATES = [
     ("if v is None: return None\nreturn _shared(v)", False, True),
     ("if v is None: v = []\nreturn _shared(v)", False, True),
     ("t = x or 0\nreturn _shared(t)", False, True),
@@ -21,9 +24,14 @@ from quillgraph.sources.predicates import Predicates, guard_store
     ("{\n  return g(a);\n}", True, True),
     ("int f(int a)\n{\n  return g(a);\n}", True, True),
     ("function f(a) { h(a); return g(a); }", True, False),
-])
-def test_delegates(body, braces, want):
-    assert B.is_delegate(body, braces) is want
+]
+
+
+def test_delegates(spark):
+    rows = [(k, body, ".js" if braces else ".gd", want) for k, (body, braces, want) in enumerate(DELEGATES)]
+    df = spark.createDataFrame(rows + [(99, "function f(a) { return g(a); }", ".rs", False)], "k long, body string, ext string, want boolean")
+    got = df.select("k", "want", T.is_delegate(T.normal_body(F.col("body"), F.col("ext")), F.col("ext")).alias("d")).collect()
+    assert not [(DELEGATES[r["k"]] if r["k"] < 99 else "rs") for r in got if r["d"] != r["want"]]
 
 
 def test_folding_and_intro():
