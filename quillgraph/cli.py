@@ -3,7 +3,7 @@
     python -m quillgraph.cli rescan ROOT STORE [--suffixes .py,.gd]
     python -m quillgraph.cli search STORE "words of a question" [-n 8]
     python -m quillgraph.cli find STORE PATTERN [--glob '*.py']
-    python -m quillgraph.cli count|drop STORE
+    python -m quillgraph.cli count|drop|crosstalk STORE
     python -m quillgraph.cli export-base|import-base STORE FOLDER
 """
 
@@ -26,7 +26,7 @@ STAMP = {"shape": "source-1"}
 
 
 def store_of(spark: SparkSession, path: str) -> Collection:
-    return Collection(spark, path, STAMP)
+    return Collection(spark, path, STAMP, "path")
 
 
 def rescan(spark: SparkSession, root: str, store: str, suffixes: str = "") -> dict[str, int]:
@@ -37,11 +37,16 @@ def rescan(spark: SparkSession, root: str, store: str, suffixes: str = "") -> di
     n = tree.count()
     if n == 0:
         guard_store(0, 0)
-    acts = {r["action"]: r["count"] for r in diff(old if old is not None else tree.limit(0), tree, ["path"]).groupBy("action").count().collect()}
-    if set(acts) - {"unchanged"}:
+    acts = diff(old if old is not None else tree.limit(0), tree, ["path"]).persist()
+    counts = {r["action"]: r["count"] for r in acts.groupBy("action").count().collect()}
+    if old is None:
         col.replace(tree)
+    elif set(counts) - {"unchanged"}:
+        changed = acts.where("action in ('added', 'updated', 'touched')").select("path")
+        col.upsert(tree.join(changed, "path", "left_semi"), live=tree.select("path"))
+    acts.unpersist()
     tree.unpersist()
-    return acts
+    return counts
 
 
 def documents(rows: DataFrame) -> DataFrame:
@@ -64,9 +69,21 @@ def search(spark: SparkSession, store: str, text: str, n: int = 8) -> DataFrame:
     return got.where(F.col("rank") <= min(25, max(1, n))).select("path", "bm25", "rank").orderBy("rank")
 
 
+def crosstalk(spark: SparkSession, store: str) -> DataFrame:
+    """(x, y, calls) between top-level folders of the stored sources: calls of a name that one file of another folder alone declares."""
+    rows = store_of(spark, store).read()
+    if rows is None:
+        return spark.createDataFrame([], "x string, y string, calls long")
+    ids = rows.withColumn("id", F.xxhash64("path"))
+    found = parse_sources(ids, "id", "ext", "text").join(ids.select("id", F.substring_index("path", "/", 1).alias("top"), "path"), "id")
+    only = found.where("kind = 'func'").groupBy("name").agg(F.min("path").alias("p"), F.min("top").alias("y"), F.countDistinct("path").alias("n")).where("n = 1")
+    calls = found.where("kind = 'call'").select("path", F.col("top").alias("x"), "name").distinct().join(only, "name").where("x <> y")
+    return calls.groupBy("x", "y").agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), "x", "y")
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quillgraph", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("command", choices=["rescan", "search", "find", "count", "drop", "export-base", "import-base"])
+    p.add_argument("command", choices=["rescan", "search", "find", "count", "drop", "crosstalk", "export-base", "import-base"])
     p.add_argument("args", nargs="+")
     p.add_argument("-n", type=int, default=8)
     p.add_argument("--glob")
@@ -84,6 +101,8 @@ def main(argv: list[str] | None = None) -> int:
         print(0 if rows is None else rows.count())
     elif a.command == "drop":
         col.drop()
+    elif a.command == "crosstalk":
+        crosstalk(spark, a.args[0]).show(60, False)
     elif a.command == "import-base":
         if rows is not None:
             raise SystemExit("import needs an empty store")

@@ -82,7 +82,7 @@ def keep_within(rows: DataFrame, order: list[Column], cost: str, budget: float)
         take = summed if first is None else summed.where(F.col("pos") < first)
         kept = take if kept is None else kept.unionByName(take)
         left -= float(take.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0])
-        if first is None or left <= 0:
+        if first is None:
             return kept.drop("pos", "used")
         now = summed.where(F.col("pos") > first).drop("pos", "used")
 

@@ -92,7 +92,7 @@ def test_parsers(spark):
 
 def test_duplicates_and_rescan(spark):
     body = "def t():\n  a = 1 # one\n\n  b = 2\n  return a"
-    fn = spark.createDataFrame([(1, body), (2, body.replace(" # one", "").replace("  ", "    ")), (3, "x"), (4, None)], "func_id long, body string")
+    fn = spark.createDataFrame([(1, body, "a.py"), (2, body.replace(" # one", "").replace("  ", "    "), "b.gd"), (3, "x", "a.py"), (4, None, "a.py")], "func_id long, body string, path string")
     assert {r["func_id"] for r in L.duplicate_members(fn).collect()} == {1, 2}
     schema = "k string, sha string, mtime_ns long, size long"
     old = spark.createDataFrame([("a", "1", 1, 1), ("b", "1", 1, 1), ("c", "1", 1, 1), ("d", "1", 1, 1)], schema)
@@ -157,7 +157,7 @@ def test_embedding(spark):
 
     df = spark.createDataFrame([(1, "abc"), (2, None), (3, "bad"), (4, "x" * 40_000)], "i long, t string").coalesce(1)
     got = {r["id"]: (r["embedding"], r["reason"]) for r in embed(df, "i", "t", client, batch=1, sleep=lambda s: None).collect()}
-    assert got == {1: ([3.0, 1.0], None), 2: ([0.0, 1.0], None), 3: (None, "not reachable"), 4: ([30_000.0, 1.0], None)}
+    assert got == {1: ([3.0, 1.0], None), 2: ([0.0, 1.0], None), 3: (None, "unreachable"), 4: ([30_000.0, 1.0], None)}
     stored = spark.createDataFrame([(1, [3.0, 1.0]), (2, [1.0, -9.0])], "id long, embedding array<float>")
     assert [r["id"] for r in incoherent(stored, embed(df, "i", "t", client, batch=1, sleep=lambda s: None)).collect()] == [2]
 
