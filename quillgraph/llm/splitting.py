@@ -7,8 +7,8 @@ objectives share that table:
 * ``balanced`` minimises the sum over all cuts of penalty plus squared size imbalance (a backward
   recursion over the states that can be reached);
 * ``first_cut`` orders plans lexicographically by (penalty, -position) of the first cut, then of the
-  second, and so on. For that objective the best first cut of a state doesn't depend on the rest,
-  so the table has one successor per state and is filled forwards only.
+  second, and so on. Under that order one choice of a state dominates all others whatever follows,
+  so the table shrinks to one successor per state and is filled in one forward pass.
 
 Texts are handled one by one inside a map over Arrow batches: no shuffle but for the final
 distinct of compact rows that removes redelivered records.
@@ -71,10 +71,13 @@ class _Plan:
         return (2, p + 1) if p >= 0 else (3, a + self.limit)
 
     def cuts(self, a: int) -> list[tuple[int, int]]:
-        """All (penalty, position) choices of the state ``a``; the hard cut only if there is no other."""
+        """(penalty, position) choices of the state ``a``: every line start, the last space of the range (an earlier one only makes
+        the piece smaller), and the hard cut if there is nothing else."""
         lo, hi = a + self.least, a + self.limit
         nat = set(self.natural[bisect_right(self.natural, lo) : bisect_right(self.natural, hi)])
         rows = [(int(c not in nat), c) for c in self.starts[bisect_right(self.starts, lo) : bisect_right(self.starts, hi)]]
+        if (p := self.text.rfind(" ", lo, hi)) >= 0 and (not rows or rows[-1][1] < p + 1):
+            rows.append((2, p + 1))
         return rows or [self.best_cut(a)]
 
     def next_start(self, c: int) -> int:
