@@ -6,6 +6,10 @@ stripped to letters and digits and the histogram of those characters. Level 2 co
 costly key, a digest of the sorted words, only inside level-1 classes that have two different
 members. Every aggregate is combined on the map side, so a class with a third of all rows
 sends one row per task, and no class is ever gathered in one place.
+
+Level 2 reads the texts again and drops those of other classes where they are read, by a filter of a
+fixed number of bits that the classes set; what passes is met with the classes themselves. The filter
+only saves shuffled bytes: with more classes than bits it lets more pass, and results are the same.
 """
 
 from __future__ import annotations
@@ -50,15 +54,52 @@ def costly_key(text: str, min_words: int) -> bytes | None:
     return blake2b("\n".join(found).encode(), digest_size=16).digest()
 
 
-def _level1(keep_text: bool):
+#: Bits of the filter (2 MB), and how many of them a class sets.
+FILTER_BITS, PROBES = 1 << 24, 3
+
+
+def _probes(slen: np.ndarray, hist: np.ndarray) -> np.ndarray:
+    """(class, probe): the bits of classes."""
+    with np.errstate(over="ignore"):
+        key = mix64(slen.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hist.astype(np.int64).view(np.uint64))
+        return np.stack([mix64(key + np.uint64(k)) % np.uint64(FILTER_BITS) for k in range(PROBES)], 1)
+
+
+def class_filter(classes: DataFrame) -> np.ndarray:
+    """A bit for each probe of each class (slen, hist): tasks set bits, words of 64 bits are combined, and the filter, of one size whatever the classes, comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        for b in batches:
+            p = _probes(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)).reshape(-1)
+            np.bitwise_or.at(bits, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
+        at = np.nonzero(bits)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], ["at", "bits"])
+
+    got = classes.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _passes(bits: np.ndarray, slen: np.ndarray, hist: np.ndarray) -> np.ndarray:
+    p = _probes(slen, hist)
+    return ((bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).all(axis=1)
+
+
+def _level1(held=None):
+    """(id, slen, hist); with a filter given, of what passes it and with the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [cheap_invariants(t) for t in b.column(1).to_pylist()]
-            cols = [b.column(0), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())]
-            names = ["id", "slen", "hist"]
-            if keep_text:
+            slen, hist = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+            cols, names = [b.column(0), pa.array(slen), pa.array(hist)], ["id", "slen", "hist"]
+            if held is not None:
                 cols.append(b.column(1))
                 names.append("text")
+                keep = pa.array(_passes(held.value, slen, hist)) if len(pairs) else pa.array([], pa.bool_())
+                cols = [c.filter(keep) for c in cols]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
@@ -83,14 +124,16 @@ def fold_copies(df: DataFrame, id_col: str, text_col: str, min_words: int = 8) -
     """
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     src = src.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    level1 = src.mapInArrow(_level1(False), "id long, slen long, hist long")
+    level1 = src.mapInArrow(_level1(), "id long, slen long, hist long")
     classes = (
         level1.groupBy("slen", "hist")
         .agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
         .where("lo < hi")
         .select("slen", "hist")
     )
-    inside = src.mapInArrow(_level1(True), "id long, slen long, hist long, text string").join(
+    classes = stage(classes, "p5-classes")
+    held = df.sparkSession.sparkContext.broadcast(class_filter(classes))
+    inside = src.mapInArrow(_level1(held), "id long, slen long, hist long, text string").join(
         classes, ["slen", "hist"], "left_semi"
     )
     keyed = stage(
