@@ -24,6 +24,44 @@ def fold_lines(body: str) -> list[str]:
     return [*out, held] if held else out
 
 
+_MARKS = {"(": ")", "[": "]", "{": "}"}
+_TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[()\[\]{}]")
+
+
+def balanced_span(text: str, at: int) -> int:
+    """Where the bracket at ``at`` is closed (behind the closing one), brackets within literals left out; -1 if it isn't."""
+    if text[at : at + 1] not in _MARKS:
+        return -1
+    stack: list[str] = []
+    for m in _TOKEN.finditer(text, at):
+        t = m.group()
+        if t in _MARKS:
+            stack.append(_MARKS[t])
+        elif t in _MARKS.values():
+            if stack.pop() != t:
+                return -1
+            if not stack:
+                return m.end()
+    return -1
+
+
+def indented_block(lines: list[str], start: int, base: int) -> int:
+    """Index behind the block of lines from ``start`` that are indented deeper than ``base`` columns.
+
+    Blank lines within belong to it, those at its end don't; lines inside an open triple quote belong to it whatever their indent.
+    """
+    end, quote = start, None
+    for k in range(start, len(lines)):
+        line = lines[k]
+        if quote is None and line.strip() and len(line) - len(line.lstrip(" \t")) <= base:
+            break
+        if line.strip() or quote is not None:
+            end = k + 1
+        for mark in re.findall(r"\"{3}|'{3}", line):
+            quote = mark if quote is None else None if quote == mark else quote
+    return end
+
+
 def intro(text: str, cap: int = 400) -> str:
     """The leading docstring or comment block of a text on one line, at most ``cap`` characters."""
     t = text.lstrip("﻿ \t\r\n")

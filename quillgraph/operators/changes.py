@@ -35,15 +35,22 @@ def apply_rescan(store: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
 
 
 def fingerprint(rows: DataFrame, group: str, cols: list[str]) -> DataFrame:
-    """(group, n, digest): an order-free digest of the rows of each group.
+    """(group, n, digest): an order-free digest of the rows of each group; nulls and empty texts are told apart.
 
-    The digest is the sum of the row hashes in two moduli; sums combine on the map side, so a group of
+    The digest is the sum of the first 48 bits of the SHA-256 digests of the rows; sums combine on the map side, so a group of
     any size is never gathered.
     """
-    h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*cols)), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    parts = [F.concat(F.when(F.col(c).isNull(), F.lit("0")).otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cols]
+    h = F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12), 16, 10).cast("decimal(20,0)")
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("digest"))
 
 
+def outdated(stored: DataFrame, now: DataFrame, group: str) -> DataFrame:
+    """(group): groups whose stored fingerprint (group, n, digest) isn't that of what is there now, or that are on one side only."""
+    both = stored.select(group, F.struct("n", "digest").alias("a")).join(now.select(group, F.struct("n", "digest").alias("b")), group, "full")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select(group)
+
+
 def greedy_keep(rows: DataFrame, group: str, order: list[Column], item: str, cost: str, budget: float) -> DataFrame:
     """(group, kept): items of each group in priority order that still fit, those too large being skipped.
 

@@ -183,7 +183,11 @@ def churn(s, d):
     return n.select("l_partkey", "n", F.round(F.col("n") / F.lit(most), 3).alias("churn"))
 
 
-@query()
+_HEX = " + ".join(f"(strpos('0123456789abcdef', substr(h, {k}, 1)) - 1) * {16 ** (12 - k)}::HUGEINT" for k in range(1, 13))
+
+
+@query(f"""WITH {A.FILES}, rw AS (SELECT repo, sha256(concat_ws('|', CASE WHEN path IS NULL THEN '0' ELSE '1' || path END, CASE WHEN mtime_ns IS NULL THEN '0' ELSE '1' || mtime_ns END, CASE WHEN size IS NULL THEN '0' ELSE '1' || size END)) AS h FROM lf)
+SELECT repo, count(*) AS n, sum({_HEX})::HUGEINT::VARCHAR AS digest FROM rw GROUP BY ALL""")
 def fingerprints(s, d):
     return H.fingerprint(A.live_files(s, d), "repo", ["path", "mtime_ns", "size"])
 

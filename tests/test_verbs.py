@@ -41,6 +41,13 @@ def test_folding_and_intro():
     assert B.intro("# " + "x" * 99, 48) == "x" * 48
 
 
+def test_spans_and_blocks():
+    t = 'f(a, ")", [1, {2: "]"}])(x)'
+    assert t[1 : B.balanced_span(t, 1)] == '(a, ")", [1, {2: "]"}])' and B.balanced_span(t, 0) == -1 and B.balanced_span("(]", 0) == -1 and B.balanced_span("((a)", 0) == -1
+    lines = ["def f():", "    a = 1", "", "    s = \"\"\"", "text", "\"\"\"", "    return a", "", "", "b = 2"]
+    assert B.indented_block(lines, 1, 0) == 7 and B.indented_block(lines, 9, 0) == 9 and B.indented_block(["  x", ""], 0, 0) == 1
+
+
 def test_sql_functions(spark):
     assert "rrf" in B.register(spark)
     assert spark.sql("SELECT rrf(1L, 31D) AS a, node_file('a.py::b') AS b").first() == (1.0, "a.py")
