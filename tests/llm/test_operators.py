@@ -15,7 +15,7 @@ from quillgraph.llm.distinctive import name_terms, term_scores, top_terms
 from quillgraph.llm.folding import fold_copies
 from quillgraph.llm.languages import LANGUAGES, Spectrum, code_blocks, document_labels, fit_texts, label_paragraphs, paragraphs, prose, sample_rows
 from quillgraph.llm.leakage import leaked_items
-from quillgraph.llm.neighbours import hilbert_keys, similar_vectors
+from quillgraph.llm.neighbours import Buckets, hilbert_keys, similar_vectors
 from quillgraph.llm.similar import list_pairs, pack, similar_sets, unpack
 from quillgraph.llm.splitting import boundaries, split_oversized, split_text
 from quillgraph.llm.tokenizing import DEFAULT_RANKS, SPLIT, TrieEncoder, encode
@@ -149,6 +149,40 @@ def test_similar_vectors_recall_and_dirt(spark):
     assert similar_vectors(df.limit(0), "vec_id", "embedding").count() == 0
 
 
+def test_buckets_share_their_ends():
+    """With cuts through a curve, every row lies in its bucket, rows behind a cut in the one before too."""
+    rng = np.random.default_rng(2)
+    u = rng.normal(size=(3000, 16)).astype(np.float32)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cls = rng.permutation(3000).astype(np.int64)
+    b = Buckets(u[:1000], cls[:1000], 3000, 2, 4, 5, 11, 50, 500)
+    assert b.count == 6
+    for row, bucket, pos in b.place(u, cls):
+        own = {}
+        for r, k in zip(row.tolist(), bucket.tolist()):
+            own.setdefault(r, []).append(k)
+        assert len(own) == 3000 and all(len(ks) <= 2 for ks in own.values())
+        order = sorted(range(3000), key=lambda r: (int(pos[np.nonzero(row == r)[0][0]]), int(cls[r])))
+        first = [max(own[r]) for r in order]
+        assert first == sorted(first)  # buckets follow each other on the curve
+        for k in range(1, 3000):
+            if first[k] != first[k - 1]:  # at least a window behind each cut is shared
+                assert all(len(own[r]) == 2 for r in order[k : k + 50])
+
+
+def test_a_crowd_of_near_vectors(spark):
+    rng = np.random.default_rng(4)
+    m = np.concatenate([np.ones((1500, 64)) + rng.normal(size=(1500, 64)) * 0.15, rng.normal(size=(300, 64))])
+    df = spark.createDataFrame([(int(k), [float(x) for x in v]) for k, v in enumerate(m)], "i long, v array<float>")
+    got = {}
+    for r in similar_vectors(df, "i", "v", 6, 0.85, window=256, block=128).collect():
+        got.setdefault(r["id"], []).append(r["cosine"])
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    best = np.sort(u[:1500] @ u[:1500].T - 2 * np.eye(1500), axis=1)[:, -6:]
+    assert set(got) == set(range(1500)) and all(len(v) == 6 for v in got.values())
+    assert np.mean([np.mean(got[k]) for k in range(1500)]) > best.mean() - 0.01
+
+
 def test_ties_of_copies_go_to_the_smallest_ids(spark):
     df = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(50)], "i long, v array<float>")
     got = similar_vectors(df, "i", "v", 6, 0.9, dim=2, curves=2, dims=2)
