@@ -129,7 +129,25 @@ df AS (SELECT term, count(*) AS df, sum(f)::BIGINT AS cf FROM tf GROUP BY ALL),
 k AS (SELECT count(DISTINCT cluster_id) AS k, (SELECT avg(n) FROM n) AS mean FROM cluster_members)
 """
 
+_WORDS = r"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+def _runs(rows: str, key: str, n: int) -> str:
+    """Distinct (key, g) runs of ``n`` words of rows (key, ws)."""
+    return f"(SELECT DISTINCT {key}, array_to_string(ws[i:i+{n - 1}], ' ') AS g FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM {rows} WHERE len(ws) >= {n}))"
+
+
 ORACLE: dict[str, str] = {
+    "p1_found": f"""WITH f AS (SELECT DISTINCT func_id, {_WORDS.format(x='body')} AS ws FROM funcs WHERE body IS NOT NULL), s0 AS MATERIALIZED {_runs('f', 'func_id', 3)},
+n AS (SELECT func_id, count(*) AS n FROM s0 GROUP BY ALL HAVING count(*) >= 20), s AS MATERIALIZED (SELECT func_id, hash(g) AS g FROM s0 SEMI JOIN n USING (func_id)),
+b AS (SELECT x.func_id AS a, y.func_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.func_id < y.func_id GROUP BY ALL)
+SELECT a AS func_a, b AS func_b FROM b JOIN n p ON p.func_id = a JOIN n q ON q.func_id = b WHERE k >= 0.7 * (p.n + q.n - k)""",
+    "p2_found": """WITH v AS (SELECT DISTINCT vec_id AS id, embedding::DOUBLE[] AS e FROM vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+u AS MATERIALIZED (SELECT id, list_transform(e, lambda x: x / n)::DOUBLE[64] AS w FROM (SELECT id, e, sqrt(list_inner_product(e, e)) AS n FROM v) WHERE n > 0),
+pw AS MATERIALIZED (SELECT a.id AS a, b.id AS b, array_inner_product(a.w, b.w) AS c FROM u a JOIN u b ON a.id <> b.id WHERE array_inner_product(a.w, b.w) >= 0.849999)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) AS r FROM pw) WHERE r <= 6 AND c >= 0.85""",
+    "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS.format(x='text')} AS ws FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {_WORDS.format(x='text')} AS ws FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT doc_id, item_id FROM {_runs('d', 'doc_id', 12)} x JOIN {_runs('i', 'item_id', 12)} y USING (g)""",
     "p6_found": f"""WITH {_P6_TERMS}
 SELECT cluster_id, term FROM (
   SELECT cluster_id, term, row_number() OVER (PARTITION BY cluster_id ORDER BY round(f / n * ln(1 + k / df), 9) DESC, term) AS r
