@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import B, FIELD_WEIGHTS, K1, recall_tokens
 from quillgraph.operators.vectors import hashed_vectors, knn
-from quillgraph.session import stage
+from quillgraph.session import release, stage
 
 #: Fixed values of the fusion and of the evidence floors.
 RRF_K, BOOST, FLOOR_COS, FLOOR_BM25 = 30, 0.25, 0.48, 6.0
@@ -108,8 +108,10 @@ def nearest(rows: DataFrame, text: Column, queries: dict[str, str], top: int = 4
     """
     spark = rows.sparkSession
     number = {q: -k for k, q in enumerate(queries, 1)}
-    asked = embed(spark.createDataFrame([(str(number[q]), t) for q, t in queries.items()], "id string, text string"), "id", F.col("text"))
-    held = stage(embed(rows, key, text).sort(key).withColumn("id", F.monotonically_increasing_id()), "embedded")
+    asked = embed(spark.createDataFrame([(str(number[q]), t) for q, t in queries.items()], "id string, text string").coalesce(1), "id", F.col("text"))
+    made = stage(embed(rows, key, text), "embedded")  # the sort below reads it twice, to find its ranges first
+    held = stage(made.sort(key).withColumn("id", F.monotonically_increasing_id()), "numbered")
+    release(made)
     near = knn(asked.select(F.col("id").cast("long").alias("id"), "embedding"), held.select("id", "embedding"), top)
     who = spark.createDataFrame([(k, q) for q, k in number.items()], "asked long, q string")
     found = near.join(F.broadcast(who), near.q == who.asked).select(who.q, "id", F.col("sim").alias("cos"))

@@ -110,14 +110,17 @@ def hashed_vectors(rows: DataFrame, key: str, text: Column, dim: int = 64) -> Da
         known: dict[str, tuple[int, float]] = {}
         for b in batches:
             tokens = b.column(1)
-            flat = tokens.flatten().to_pylist()
+            coded = tokens.flatten().dictionary_encode()
             if len(known) > 500_000:
                 known.clear()
-            for t in set(flat) - known.keys():
-                known[t] = token_place(t, dim)
-            place = np.array([known[t] for t in flat], np.float64).reshape(-1, 2)
+            place = np.zeros((len(coded.dictionary), 2))
+            for k, t in enumerate(coded.dictionary.to_pylist()):
+                if t not in known:
+                    known[t] = token_place(t, dim)
+                place[k] = known[t]
+            code = coded.indices.to_numpy(zero_copy_only=False)
             who = np.repeat(np.arange(b.num_rows), tokens.value_lengths().to_numpy(zero_copy_only=False))
-            out = np.bincount(who * dim + place[:, 0].astype(np.int64), place[:, 1], b.num_rows * dim).astype(np.float32)
+            out = np.bincount(who * dim + place[code, 0].astype(np.int64), place[code, 1], b.num_rows * dim).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, dim, dtype=np.int32)), pa.array(out))], [key, "embedding"])
 
     return rows.select(F.col(key).cast("string").alias(key), recall_tokens(text).alias("tokens")).mapInArrow(run, f"{key} string, embedding array<float>")
