@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators import recall as R
+from quillgraph.operators.firsts import first_ranks
 from quillgraph.plans.text import tokens_sql
 from quillgraph.session import stage
 from quillgraph.sources import adapters as A
@@ -285,11 +286,7 @@ def passage_targets(items, docs, run: int = RUN):
 
 def _first_ranks(s, d):
     """(item_id, suite, first): rank of the first target of each held-out item, null if none is found."""
-    items, docs = A.table(s, d, "eval_items"), A.docs(s, d)
-    tok = items.select("item_id", "suite", R.recall_tokens(F.col("text")).alias("tk"))
-    asked = {str(r["item_id"]): r["text"] or "" for r in items.select("item_id", "text").collect()}
-    rank = R.ranked(R.bm25f(docs, asked), "bm25", ["q"], "path").select(F.col("q").cast("long").alias("item_id"), "path", "rank")
-    return tok.select("item_id", "suite").join(passage_targets(tok, docs), "item_id", "left").join(rank, ["item_id", "path"], "left").groupBy("item_id", "suite").agg(F.min("rank").alias("first"))
+    return first_ranks(A.table(s, d, "eval_items"), A.docs(s, d), RUN)
 
 
 def _hits(first):
