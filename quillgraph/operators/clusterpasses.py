@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import dir_parts, pack_key, seed_chain, stem
-from quillgraph.operators.grouping import chained_linkage
+from quillgraph.operators.grouping import linkage_merges, merged_groups
 from quillgraph.session import release, stage
 
 #: Evidence under which a unit is loose, sizes of clusters, and similarities of merges and of coarse groups.
@@ -191,20 +191,21 @@ def fold_tiny(members: DataFrame, where: Path, tiny: int = TINY, cap: int = SOFT
 def coarse_groups(centroids: DataFrame, least_sim: float = COARSE_SIM, least: int = COARSE_LEAST, most: int = COARSE_MOST) -> DataFrame:
     """(comm, grp) of cluster means (comm, embedding): average linkage cut at ``least_sim``, the cut moved in steps of 0.05 until there are ``least`` to ``most`` groups or it can't be.
 
-    One row a cluster goes to one task; sums of groups are held, not the table of similarities.
+    One row a cluster goes to one task; sums of groups are held, not the table of similarities. The clusters are linked once, down to -1, and every cut is read from those merges.
     """
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("comm")
         x = np.array(pdf["embedding"].tolist(), np.float64)
-        cut, own = least_sim, chained_linkage(x, least_sim)
+        merges = linkage_merges(x, -1.0)
+        cut, own = least_sim, merged_groups(len(x), *merges, least_sim)
         for _ in range(40):
             n = len(set(own.tolist()))
             step = 0.05 if n < min(least, len(x)) else -0.05 if n > most else 0.0
             if not step or not -1 < cut + step < 1:
                 break
             cut += step
-            new = chained_linkage(x, cut)
+            new = merged_groups(len(x), *merges, cut)
             if step > 0 and len(set(new.tolist())) > most or step < 0 and len(set(new.tolist())) < least:
                 break
             own = new

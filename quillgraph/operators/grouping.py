@@ -61,52 +61,74 @@ def average_linkage(vectors: np.ndarray, least_sim: float) -> np.ndarray:
     return np.unique(own, return_inverse=True)[1]
 
 
-def chained_linkage(vectors: np.ndarray, least_sim: float) -> np.ndarray:
-    """The groups of ``average_linkage`` from the sums of the groups' unit vectors, in memory that grows with the rows.
+def linkage_merges(vectors: np.ndarray, least_sim: float) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, sims): every merge (a, b), a < b, of average linkage down to ``least_sim``, in an order in which b may be put to a, from the
+    sums of the groups' unit vectors, in memory that grows with the rows.
 
     The mean cosine of two groups is the product of their sums over their sizes. Chains of nearest
     groups end in pairs that are each other's nearest; with average linkage a merge never brings two groups
     nearer than the nearer of them was, so such pairs may merge in any order, and a group whose nearest
-    is under ``least_sim`` is done. Only among equal cosines may the order of merges matter.
+    is under ``least_sim`` is done. So the merges of one run hold the groups of every higher similarity; ``sims`` never rise from a
+    merge to those above it. Only among equal cosines may the order of merges matter.
     """
-    n = len(vectors)
     sums = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    size, own, live = np.ones(n), np.arange(n), np.arange(n)
-    left = np.ones(n, bool)
-    chain: list[int] = []
-    first = 0
+    usable = np.isfinite(sums).all(axis=1)
+    sums, name = sums[usable], np.nonzero(usable)[0]
+    size, low, gone = np.ones(len(name)), np.full(len(name), np.inf), np.zeros(len(name))
+    pairs, sims, chain = [], [], []
+    first, alive = 0, len(name)
     while True:
+        if 2 * alive < len(name):
+            stay = gone == 0
+            to = np.cumsum(stay) - 1
+            sums, name, size, low, gone = sums[stay], name[stay], size[stay], low[stay], gone[stay]
+            chain, first = [int(to[c]) for c in chain], 0
         if not chain:
-            while first < n and not left[first]:
+            while first < len(name) and gone[first]:
                 first += 1
-            if first == n:
+            if first == len(name):
                 break
             chain.append(first)
         a = chain[-1]
-        if len(live) > 2 * left[live].sum():
-            live = live[left[live]]
-        sim = np.where(left[live] & (live != a), sums[live] @ sums[a] / (size[live] * size[a]), -np.inf)
-        at = int(np.argmax(np.where(np.isnan(sim), -np.inf, sim)))
-        if not sim[at] >= least_sim:
-            left[a] = False
+        sim = sums @ sums[a] / (size * size[a])
+        sim += gone
+        sim[a] = -np.inf
+        b = int(np.argmax(sim))
+        if not sim[b] >= least_sim or sim[b] == -np.inf:
+            gone[a] = -np.inf
+            alive -= 1
             chain.pop()
-            continue
-        b = int(live[at])
-        if len(chain) > 1 and sim[np.searchsorted(live, chain[-2])] >= sim[at] - 1e-12:
+        elif len(chain) > 1 and sim[chain[-2]] >= sim[b] - 1e-12:
             b = chain[-2]
             chain = chain[:-2]
+            low[min(a, b)] = min(sim[b], low[a], low[b])
             a, b = min(a, b), max(a, b)
+            pairs.append((name[a], name[b]))
+            sims.append(low[a])
             sums[a] += sums[b]
             size[a] += size[b]
-            left[b] = False
-            own[b] = a
+            gone[b] = -np.inf
+            alive -= 1
         else:
             chain.append(b)
+    return np.array(pairs, np.int64).reshape(-1, 2), np.array(sims, np.float64)
+
+
+def merged_groups(n: int, pairs: np.ndarray, sims: np.ndarray, least_sim: float) -> np.ndarray:
+    """Group number of each of ``n`` rows by the merges of at least ``least_sim``."""
+    own = np.arange(n)
+    kept = pairs[sims >= least_sim]
+    own[kept[:, 1]] = kept[:, 0]
     while (own != own[own]).any():
         own = own[own]
     return np.unique(own, return_inverse=True)[1]
 
 
+def chained_linkage(vectors: np.ndarray, least_sim: float) -> np.ndarray:
+    """The groups of ``average_linkage`` in memory that grows with the rows."""
+    return merged_groups(len(vectors), *linkage_merges(vectors, least_sim), least_sim)
+
+
 def split_groups(rows: DataFrame, least_sim: float = SPLIT_SIM, most: int = 1500) -> DataFrame:
     """(grp, id, part) of rows (grp, id, embedding): each group split by average linkage.
 
