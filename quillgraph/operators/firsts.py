@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import _HUMPS, B, FIELD_WEIGHTS, K1, recall_tokens
 from quillgraph.session import release, stage
 
-#: Items of one pass over the documents, words a worker remembers, scores held at once.
-BLOCK, KNOWN, CELLS = 4096, 500_000, 4_000_000
+#: Items of one pass over the documents, words a worker remembers, texts and scores held at once.
+BLOCK, KNOWN, TEXTS, CELLS = 4096, 500_000, 2048, 1_000_000
 _POSTINGS = "path string, wlen double, term array<int>, wtf array<float>, hit array<int>"
 
 
@@ -142,7 +142,7 @@ def _postings(docs: DataFrame, held) -> DataFrame:
                 return n
 
         code = Codes().__getitem__
-        for b in batches:
+        for b in (x.slice(k, TEXTS) for x in batches for k in range(0, x.num_rows, TEXTS)):
             m = b.num_rows
             wlen, keys, weight, hit = np.zeros(m), [], [], (np.zeros(0, np.int64), np.zeros(0, np.int64))
             for k, f in enumerate(fields):

@@ -74,3 +74,8 @@ def test_blocks_of_items_tell_the_same(spark, odd):
 def test_hard_easy_moves_little(spark, crowd):
     assert same_as_sql(spark, crowd, "hard_easy")
     assert shuffled(spark, lambda: entry.queries()["hard_easy"](spark, crowd).collect()) < 1
+
+
+def test_mrr_by_kind_moves_little(spark, crowd):
+    assert same_as_sql(spark, crowd, "mrr_by_kind")
+    assert shuffled(spark, lambda: entry.queries()["mrr_by_kind"](spark, crowd).collect()) < 1
