@@ -79,3 +79,8 @@ def test_hard_easy_moves_little(spark, crowd):
 def test_mrr_by_kind_moves_little(spark, crowd):
     assert same_as_sql(spark, crowd, "mrr_by_kind")
     assert shuffled(spark, lambda: entry.queries()["mrr_by_kind"](spark, crowd).collect()) < 1
+
+
+def test_golden_ranks_moves_little(spark, crowd):
+    assert same_as_sql(spark, crowd, "golden_ranks")
+    assert shuffled(spark, lambda: entry.queries()["golden_ranks"](spark, crowd).collect()) < 1
